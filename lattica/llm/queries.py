@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import common, langid, mixing, sharding, token_count, topk, url_filter
+from lattica.llm import common, langid, mixing, near_dup, sharding, token_count, topk, url_filter
 
 N_SHARDS = 8
 WORD_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -54,11 +54,15 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(common.table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(common.table(spark, sf_dir, "documents"), near_dup.Measure(words=3, num=85, den=100))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op4_mixture, op6_tokens, op7_language, op8_urls, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_shards, op4_mixture, op6_tokens, op7_language, op8_urls, op9_near_duplicates, op10_nearest)}
 
 _URL_PARTS = r"""
     SELECT page_id, host, path FROM (
