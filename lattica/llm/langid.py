@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -253,3 +254,21 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", carry
             yield pa.RecordBatch.from_arrays([*batch.columns[:carry_n], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*carry, "lang_pred", "score"])
 
     return docs.select(*carry, text_col).mapInArrow(rows, f"{fields}, lang_pred string, score double")
+
+
+def in_a_language(docs: DataFrame, model: LanguageModel, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose text is in one of the model's languages with at least `least_score`, with the columns of `docs`.
+
+    Rejected: texts that are null or have no letter, and texts whose likeliest
+    language has a lower posterior. No shuffle.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.languages, model.probability))
+
+    @F.pandas_udf("boolean")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(LanguageModel(*shared.value))
+        for texts in batches:
+            got = (scorer.text(t) for t in texts)
+            yield pd.Series([lang != UNDETERMINED and score >= least_score for lang, score in got], dtype=bool)
+
+    return docs.where(known(F.col(text_col)))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import common, langid, mixing, near_dup, sharding, token_count, topk, url_filter
+from lattica.llm import common, decontam, langid, mixing, near_dup, sharding, token_count, topk, url_filter
 
 N_SHARDS = 8
 WORD_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -38,6 +38,10 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, DOMAINS, MIX_WEIGHTS, budget_share=0.8, max_epochs=4, seed=MIX_SEED).drop("text_hash")
 
 
+def op5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(common.table(spark, sf_dir, "documents"), WORD_VOCABULARY, TOKEN_LIMIT)
 
@@ -62,7 +66,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op4_mixture, op6_tokens, op7_language, op8_urls, op9_near_duplicates, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_shards, op4_mixture, op5_leaks, op6_tokens, op7_language, op8_urls, op9_near_duplicates, op10_nearest)}
 
 _URL_PARTS = r"""
     SELECT page_id, host, path FROM (
