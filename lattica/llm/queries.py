@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import common, decontam, langid, mixing, near_dup, sharding, token_count, topk, url_filter
+from lattica.llm import common, decontam, langid, license_scan, line_dedup, mixing, near_dup, sharding, token_count, topk, url_filter
 
 N_SHARDS = 8
 WORD_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -33,6 +33,14 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(docs, N_SHARDS, f"{common.shared_dir(spark)}/slot-maps/{uuid.uuid4().hex}")
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(common.table(spark, sf_dir, "documents"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_findings(common.table(spark, sf_dir, "documents"))
+
+
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return mixing.mix(docs, DOMAINS, MIX_WEIGHTS, budget_share=0.8, max_epochs=4, seed=MIX_SEED).drop("text_hash")
@@ -66,7 +74,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op4_mixture, op5_leaks, op6_tokens, op7_language, op8_urls, op9_near_duplicates, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_lines, op3_licenses, op4_mixture, op5_leaks, op6_tokens, op7_language, op8_urls, op9_near_duplicates, op10_nearest)}
 
 _URL_PARTS = r"""
     SELECT page_id, host, path FROM (
