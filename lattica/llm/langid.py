@@ -9,6 +9,7 @@ backward) over word counts of a bounded sample of labelled rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sample bound: labelled rows of each language that training reads, in expectation.
@@ -29,8 +30,12 @@ EM_ROUNDS = 3
 #: Added to each piece's expected count.
 SMOOTHING = 0.05
 #: Words whose scores a worker keeps; the table is emptied when it is full.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
 CACHE_CHARS = 64
+#: Words up to this length are scored many at a time; no product of so many probabilities underflows.
+TOGETHER_CHARS = 32
+#: Words scored in one vector step, and characters of text whose words are gathered before that.
+TOGETHER_WORDS, GATHERED_CHARS = 8192, 3_000_000
 #: Forward values below this are scaled up; the scale is kept as a logarithm.
 TINY = 1e-120
 #: Starts a word, as in the vocabulary.
@@ -77,6 +82,58 @@ def spans(word: str, tree: dict) -> list[list[tuple[int, int]]]:
     return out
 
 
+class PieceTable:
+    """The vocabulary's tree as a hash table from (node, character) to node, for many words at a time."""
+
+    def __init__(self, name: str):
+        edges, pieces, todo = [], [], [piece_tree(name)]
+        number = {id(todo[0]): 0}
+        for node in todo:
+            pieces.append(node.get(0, -1))
+            for c, child in node.items():
+                if c != 0:
+                    number[id(child)] = len(todo)
+                    edges.append((number[id(node)] << 21 | ord(c), len(todo)))
+                    todo.append(child)
+        self.piece = np.array(pieces, np.int64)
+        self.bits = max(10, (4 * len(edges)).bit_length())
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        left = np.array(edges, np.int64).reshape(-1, 2)
+        slot = self._slot(left[:, 0])
+        while len(left):  # in turns: one edge of each slot, the rest one slot on
+            free = self.keys[slot] < 0
+            _, first = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)
+            won = np.zeros(len(slot), bool)
+            won[first] = True
+            won &= free
+            self.keys[slot[won]], self.to[slot[won]] = left[won, 0], left[won, 1]
+            left, slot = left[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes one character on, -1 where there is none."""
+        key = node << 21 | char
+        slot = self._slot(key)
+        held = self.keys[slot]
+        out = np.where(held == key, self.to[slot], -1)
+        open_ = np.flatnonzero((held != key) & (held >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot[open_]]
+            match = held == key[open_]
+            out[open_[match]] = self.to[slot[open_[match]]]
+            open_ = open_[~match & (held >= 0)]
+        return out
+
+
+@lru_cache(maxsize=2)
+def piece_table(name: str) -> PieceTable:
+    return PieceTable(name)
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """Piece probabilities by language; the last row stands for any unknown character."""
@@ -116,6 +173,37 @@ class LanguageModel:
         return [(math.log(x) if x > 0 else -800.0) + s for x, s in zip(alpha[n], scale, strict=True)]
 
 
+    def many(self, words: list[str]) -> np.ndarray:
+        """`word` for each of `words`, of at most TOGETHER_CHARS characters: the same sums, in vector steps."""
+        table, words = piece_table(self.vocabulary), [EDGE + w for w in words]
+        length = np.array([len(w) for w in words])
+        order = np.argsort(-length, kind="stable")
+        length = length[order]
+        m, n = len(words), int(length[0])
+        flat = np.frombuffer("".join(words[k].ljust(n, "\0") for k in order.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars = np.ascontiguousarray(flat.reshape(m, n).astype(np.int64).T)
+        alpha = np.zeros((n + 1, m, len(self.languages)))
+        alpha[0] = 1.0
+        for i in range(n):
+            at = np.arange(int(np.searchsorted(-length, -i, "left")))  # words longer than i
+            start, lone, j, node = alpha[i], np.ones(len(at), bool), i, np.zeros(len(at), np.int64)
+            while len(at) and j < n:
+                node = table.step(node, chars[j, at])
+                on = node >= 0
+                at, node, j = at[on], node[on], j + 1
+                piece = table.piece[node]
+                ends = piece >= 0
+                to = at[ends]
+                alpha[j, to] += start[to] * self.probability[piece[ends]]
+                if j == i + 1:
+                    lone[to] = False
+            alone = np.flatnonzero(lone)
+            alpha[i + 1, alone] += start[alone] * self.probability[-1]
+        out = np.empty((m, len(self.languages)))
+        out[order] = np.log(np.maximum(alpha[length, np.arange(m)], 1e-300))
+        return out
+
+
 _ROWS: dict[int, tuple[np.ndarray, list]] = {}
 
 
@@ -190,46 +278,82 @@ def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["lang", "word", "n"])
 
     counted = rows.where(keep).select("lang", "text").mapInArrow(words, "lang string, word string, n bigint").where(F.length("word") <= CACHE_CHARS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {lang: {} for lang in share}
-    for lang in share:
-        for r in counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(max_words).collect():
-            counts[lang][r["word"]] = r["n"]
-    return fit({k: v for k, v in counts.items() if v}, vocabulary)
+    # The sample's words only; of each language at most max_words rows leave.
+    most = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= max_words)
+    counts: dict[str, dict[str, int]] = {}
+    for r in most.select("lang", "word", "n").collect():
+        counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
+    return fit(counts, vocabulary)
 
 
 class Scorer:
     """Scores whole texts; keeps the scores of words it has met, up to a bound."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.number, self.table, self.used = model, {}, np.zeros((1024, len(model.languages))), 0
+        self.model = model
+        self._forget()
 
-    def _add(self, word: str) -> int:
-        if self.used == len(self.table):
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.table, self.used = np.zeros((1024, len(self.model.languages))), 0
+
+    def _learn(self, words: list[str]) -> None:
+        while self.used + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.used] = self.model.word(word)
-        self.used += 1
-        return self.used - 1
-
-    def text(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its posterior, all languages being equally likely before."""
-        if not text or not self.model.languages or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
-        known = self.number
-        if self.used >= CACHE_WORDS:
-            known.clear()
-            self.used = 0
-        total, at = np.zeros(len(self.model.languages)), []
-        for w in text.lower().split():
-            k = known.get(w)
-            if k is None:
-                if len(w) > CACHE_CHARS:
-                    total += self.model.word(w)
-                    continue
-                k = known[w] = self._add(w)
-            at.append(k)
-        total += self.table[at].sum(axis=0)
-        best = int(total.argmax())
-        return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
+        words.sort(key=len)
+        for lo in range(0, len(words), TOGETHER_WORDS):
+            part = words[lo : lo + TOGETHER_WORDS]
+            scores = self.model.many(part) if len(part[-1]) < TOGETHER_CHARS else np.array([self.model.word(w) for w in part])
+            self.table[self.used : self.used + len(part)] = scores
+            self.number.update(zip(part, range(self.used, self.used + len(part)), strict=True))
+            self.used += len(part)
+
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        """The likeliest language of each text and its posterior, all languages being equally likely before."""
+        lo = 0
+        while lo < len(texts):  # some texts at a time, so that their words fit
+            hi, size = lo, 0
+            while hi < len(texts) and size < GATHERED_CHARS:
+                size += len(texts[hi] or "")
+                hi += 1
+            yield from self._some(texts[lo:hi])
+            lo = hi
+
+    def _some(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        lang, split = self.model.languages, [t.lower().split() if t and any(map(str.isalpha, t)) else None for t in texts]
+        if lang:
+            met = set().union(*filter(None, split))
+            short = {w for w in met if len(w) <= CACHE_CHARS}
+            new = short - self.number.keys()
+            if self.used + len(new) > CACHE_WORDS:
+                self._forget()
+                new = short
+            some, more = [w for w in new if len(w) < TOGETHER_CHARS], [w for w in new if len(w) >= TOGETHER_CHARS]
+            self._learn(some)
+            self._learn(more)
+        for words in split:
+            if words is None or not lang:
+                yield UNDETERMINED, 0.0
+                continue
+            known = self.number
+            at = [known[w] for w in words if len(w) <= CACHE_CHARS] if any(len(w) > CACHE_CHARS for w in words) else list(map(known.__getitem__, words))
+            total = self.table[at].sum(axis=0)
+            if len(at) < len(words):
+                total = total + sum(np.array(self.model.word(w)) for w in words if len(w) > CACHE_CHARS)
+            best = int(total.argmax())
+            yield lang[best], float(1 / np.exp(total - total[best]).sum())
+
+
+_SCORERS: dict[bytes, Scorer] = {}
+
+
+def scorer(model: LanguageModel) -> Scorer:
+    """The process's scorer for a model, so that tasks share the words met."""
+    name = hashlib.blake2b(model.probability.tobytes() + repr((model.vocabulary, model.languages)).encode()).digest()
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(model)
+    return _SCORERS[name]
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -248,9 +372,9 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", carry
     carry_n = len(carry)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(LanguageModel(*shared.value))
+        own = scorer(LanguageModel(*shared.value))
         for batch in batches:
-            got = [scorer.text(t) for t in batch.column(carry_n).to_pylist()]
+            got = list(own.texts(batch.column(carry_n).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:carry_n], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*carry, "lang_pred", "score"])
 
     return docs.select(*carry, text_col).mapInArrow(rows, f"{fields}, lang_pred string, score double")
@@ -266,9 +390,9 @@ def in_a_language(docs: DataFrame, model: LanguageModel, least_score: float, tex
 
     @F.pandas_udf("boolean")
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(LanguageModel(*shared.value))
+        own = scorer(LanguageModel(*shared.value))
         for texts in batches:
-            got = (scorer.text(t) for t in texts)
+            got = own.texts(texts.tolist())
             yield pd.Series([lang != UNDETERMINED and score >= least_score for lang, score in got], dtype=bool)
 
     return docs.where(known(F.col(text_col)))

@@ -29,6 +29,21 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(model.word(word), enumerated(model, word)), word
 
 
+def test_many_words_at_once_equal_one_by_one(monkeypatch):
+    model = langid.fit({k: {w: 1 for w in v.split()} for k, v in PARTS.items()}, PIECE_VOCABULARY)
+    words = sorted({w for v in PARTS.values() for w in v.split()} | {"x", "žluť", "不明字", "a-b,c", "", "q" * 31, "the" * 10, "é\U0001f600z"}, key=len)
+    assert np.allclose(model.many(words), [model.word(w) for w in words])
+    texts = ["the cat", None, "1 2", "q" * 40 + " le chat " + "z" * 200, " ".join(words), "die Katze die Katze"]
+    want = list(langid.Scorer(model).texts(texts))
+    monkeypatch.setattr(langid, "CACHE_WORDS", 3)
+    monkeypatch.setattr(langid, "GATHERED_CHARS", 5)
+    monkeypatch.setattr(langid, "TOGETHER_WORDS", 2)
+    got = list(langid.Scorer(model).texts(texts))
+    assert [x for x, _ in got] == [x for x, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
+    total = sum(np.array(model.word(w)) for w in texts[3].split())
+    assert want[3][0] == model.languages[int(total.argmax())]
+
+
 def test_long_words_do_not_underflow():
     model = langid.fit({k: {w: 1 for w in v.split()} for k, v in PARTS.items()}, PIECE_VOCABULARY)
     one, two = np.array(model.word("thecat" * 400)), np.array(model.word("thecat" * 800))
@@ -40,7 +55,7 @@ def test_fit_sums_to_one_and_prefers_own_words():
     assert np.allclose(model.probability.sum(axis=0), 1)
     scorer = langid.Scorer(model)
     for lang, text in PARTS.items():
-        got, score = scorer.text(text)
+        ((got, score),) = scorer.texts([text])
         assert got == lang and 0 < score <= 1
 
 
