@@ -149,7 +149,7 @@ def kb_merge_net_new(spark, sf_dir):
     return new.crossJoin(total)  # one row each
 
 
-@register(f"WITH e AS ({EVENT_SQL}) SELECT s, p, o, count(*) AS n, string_agg(source, '; ' ORDER BY e."at", source) AS sources FROM e GROUP BY s, p, o")
+@register(f"WITH e(s, p, o, source, at_) AS ({EVENT_SQL}) SELECT s, p, o, count(*) AS n, string_agg(source, '; ' ORDER BY e.at_, source) AS sources FROM e GROUP BY s, p, o")
 def kb_provenance(spark, sf_dir):
     triplify.views(spark, sf_dir)
     return store.provenance_index(spark.sql(EVENT_SQL))
