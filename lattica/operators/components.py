@@ -30,6 +30,14 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def merged(links: DataFrame) -> DataFrame:
+    """(node, component) after a single round: whole for stars about a hub; elsewhere parts of components, each named by a node of it.
+
+    A node may come several times, with names of one component.
+    """
+    return _star(_star(links.select("a", "b").where("a <> b"), True), False).select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of `links` (a, b): the smallest node that it reaches.
 
