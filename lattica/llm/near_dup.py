@@ -9,32 +9,37 @@ reach the threshold are confirmed on their full sets.
 
 Equal sets are one node from the start, so copies never meet in pairs. Lists of
 near copies are not paired out either: in the first rounds each node meets one
-leader, which joins most of a group; then only nodes of different components that
-still share a list are paired, all of them, so no link between components is lost.
+leader, which joins most of a group. Then only nodes outside the leader's component
+meet all of another component in the list. Where more than a few are outside, the
+list's nodes (a passage that many share fills most of their sketches) are listed
+anew by larger sketches, whose overlap is known more closely, and meet there. So no
+link between components is lost, and lists of unlike documents are not paired out.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import shingles
-from lattica.llm.common import cut
-from lattica.llm.components import components
+from lattica.llm.common import cut, release
+from lattica.operators.components import components, merged
 
-#: Values in a sketch.
-K = 64
+#: Values in a sketch, and in the larger sketch of nodes in crowded lists.
+K, LARGE_K = 64, 512
 #: At most this likely is a pair at the threshold to share fewer sketch values than asked for.
 MISS = 1e-8
 #: Rounds in which each node meets one leader, and the lists by which it finds it.
 LEADER_ROUNDS = 2
 LEADER_LISTS = 6
+#: A list is crowded if more nodes than this are outside its leader's component.
+OUTSIDE = 6
 
 
 @dataclass(frozen=True)
@@ -46,6 +51,10 @@ class Measure:
     den: int
     k: int = K
 
+    @property
+    def larger(self) -> Measure:
+        return replace(self, k=max(self.k, LARGE_K))
+
     @property
     def shared(self) -> int:
         """The overlap that two full sketches have, but for a chance below MISS (Chernoff's bound)."""
@@ -95,23 +104,48 @@ def sketches(docs: DataFrame, m: Measure, id_col: str, text_col: str) -> DataFra
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary")).mapInArrow(rows, "id bigint, n bigint, key binary, sketch array<bigint>")
 
 
+def _least_overlap(m: Measure, n: str) -> Column:
+    """`Measure.least_overlap` of a column."""
+    return F.when(F.col(n) * m.den <= m.k * m.num, F.ceil(F.col(n) * m.num / m.den)).otherwise(F.least(F.lit(m.shared), F.col(n)))
+
+
+def _prefix_size(m: Measure) -> Column:
+    """`Measure.prefix` of the column n."""
+    return (F.least(F.lit(m.k), F.col("n")) - _least_overlap(m, "n") + 1).cast("int")
+
+
+def _by_rarity(nodes: DataFrame, m: Measure) -> DataFrame:
+    """(node, n, own, keys): of each node's sketch the values that it is listed under, rarest first; only those that another node has.
+
+    `own`: the sketch's values that no other node has.
+    """
+    values = nodes.select("node", "n", F.explode("sketch").alias("v"))
+    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    ordered = values.join(counted, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"))  # at most k values
+    # Values that no other node has come first; what they leave of the prefix is listed.
+    ordered = ordered.withColumn("own", F.least(F.lit(m.k), F.col("n")) - F.size("vs"))
+    left = _prefix_size(m) - F.col("own")
+    return cut(ordered.where(left > 0).select("node", "n", "own", F.slice(F.col("vs.v"), F.lit(1), left.cast("int")).alias("keys")))
+
+
 def listed(nodes: DataFrame, m: Measure) -> DataFrame:
-    """(node, n, keys): the values that each node is listed under, rarest first; nodes without a shared one are left out."""
-    by_size = F.col("n") * m.den <= m.k * m.num
-    overlap = F.when(by_size, F.ceil(F.col("n") * m.num / m.den)).otherwise(F.least(F.lit(m.shared), F.col("n")))
-    size = (F.least(F.lit(m.k), F.col("n")) - overlap + 1).cast("int")
-    # First by the hashes' own order: who shares none of these values has nobody near it.
-    first = nodes.select("node", "n", F.explode(F.slice("sketch", F.lit(1), size)).alias("v"))
+    """`_by_rarity` of (node, n, sketch), after leaving out nodes that have nobody near by their smallest values alone."""
+    first = nodes.select("node", F.explode(F.slice("sketch", F.lit(1), _prefix_size(m))).alias("v"))
     shared = first.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v")
     some = first.join(shared, "v", "left_semi").select("node").distinct()
-    some = cut(nodes.join(some, "node", "left_semi").select("node", "n", "sketch", size.alias("size")))
-    # Then, among those left, by frequency.
-    values = some.select("node", "n", "size", F.size("sketch").alias("held"), F.explode("sketch").alias("v"))
-    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    ordered = values.join(counted, "v").groupBy("node", "n", "size", "held").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"))  # at most k values
-    # Values that no other node has come first; what they leave of the prefix is listed.
-    left = F.col("size") - (F.col("held") - F.size("vs"))
-    return cut(ordered.where(left > 0).select("node", "n", F.slice(F.col("vs.v"), F.lit(1), left).alias("keys")))
+    some = cut(nodes.join(some, "node", "left_semi").select("node", "n", "sketch"))
+    return _by_rarity(some, m)
+
+
+def larger_sketches(sets: DataFrame, m: Measure) -> DataFrame:
+    """(node, n, sketch) with the larger sketch, of (node, n, whole)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [np.frombuffer(x, np.int64)[: m.larger.k] for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(some, pa.list_(pa.int64()))], names=["node", "n", "sketch"])
+
+    return sets.select("node", "n", "whole").mapInArrow(rows, "node bigint, n bigint, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, m: Measure, id_col: str, text_col: str) -> DataFrame:
@@ -149,39 +183,102 @@ def confirmed(pairs: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
         both = len(np.intersect1d(x, y, assume_unique=True))
         return m.near(both, len(x) + len(y) - both)
 
-    likely = cut(_tested(pairs, sets, "sketch", m.may_be_near).distinct())
-    return _tested(likely, sets, "whole", full).distinct()
+    likely = cut(_tested(pairs, sets, "sketch", m.may_be_near))
+    return _tested(likely, sets, "whole", full)
+
+
+def _fits(m: Measure) -> Column:
+    """Whether two nodes that meet at `pos` and `other_pos` of their values by rarity may be near.
+
+    Read as their first common value: what comes before is not in the other set. A
+    pair also meets at later ones, where this refuses too much; but it is kept where
+    it is due, at the first.
+    """
+    n, k, at, other_at = F.col("n"), F.col("other_n"), F.col("pos") - 1, F.col("other_pos") - 1
+    sizes = (n * m.den >= k * m.num) & (k * m.den >= n * m.num)
+    held = F.least(F.least(n, F.lit(m.k)) - at, F.least(k, F.lit(m.k)) - other_at)
+    overlap = held >= F.greatest(_least_overlap(m, "n"), _least_overlap(m, "other_n"))
+    # Where the sketches are the whole sets, the union has what either lacks.
+    whole = (n > m.k) | (k > m.k) | (held * m.den >= F.greatest(n + other_at, k + at) * m.num)
+    return sizes & overlap & whole
+
+
+def _heads(entries: DataFrame, seed: int) -> DataFrame:
+    """(v, other...): the leader of each list with several components: the node with the fewest rarer values.
+
+    Edited copies have rare values of their own, so this is the original, or near it.
+    """
+    leader = F.min(F.struct("pos", F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "label"))
+    heads = entries.groupBy("v").agg(leader.alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return heads.select("v", *[F.col(f"head.{c}").alias(f"other{'' if c == 'node' else '_' + c}") for c in ("node", "n", "pos", "label")])
+
+
+def _leader_pairs(entries: DataFrame, m: Measure, seed: int) -> DataFrame:
+    """(node, other): each node with one leader of another component, the one with which it shares most lists."""
+    met = entries.join(_heads(entries, seed), "v").where((F.col("label") != F.col("other_label")) & _fits(m))
+    met = met.groupBy("node", "other").agg(F.count(F.lit(1)).alias("c"))
+    return met.groupBy("node").agg(F.max(F.struct("c", "other")).alias("best")).select("node", F.col("best.other").alias("other"))
+
+
+def _outside(entries: DataFrame, seed: int) -> DataFrame:
+    """The entries (v, node, n, pos, label) outside the component of their list's leader."""
+    return entries.join(_heads(entries, seed), "v").where("label <> other_label").select("v", "node", "n", "pos", "label")
+
+
+def _all_pairs(mine: DataFrame, entries: DataFrame, m: Measure) -> DataFrame:
+    """(node, other): every node outside with everyone of another component in the list."""
+    others = entries.select("v", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("label").alias("other_label"))
+    return mine.join(others, "v").where((F.col("label") != F.col("other_label")) & _fits(m)).select("node", "other")
+
+
+def _entries(lists: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
+    """(v, node, n, label, pos) of each node's lists, or of so many first or last of them; pos: the value's place by rarity in the node's sketch."""
+    rows = lists.select("node", "n", "own", "label", F.size("keys").alias("size"), F.posexplode("keys").alias("at", "v"))
+    if first:
+        rows = rows.where(F.col("at") < first)
+    if last:
+        rows = rows.where(F.col("at") >= F.col("size") - last)
+    return rows.select("v", "node", "n", "label", (F.col("own") + F.col("at") + 1).alias("pos"))
+
+
+def _labelled(lists: DataFrame, found: DataFrame | None) -> DataFrame:
+    """`lists` with `label`: nodes with one label are linked by the links found. Not all that are linked have one: that only costs comparisons."""
+    plain = lists.drop("label")
+    if found is None:
+        return plain.withColumn("label", F.col("node"))
+    joined = merged(found).groupBy("node").agg(F.min("component").alias("label"))
+    # The named node itself has its own name.
+    return cut(plain.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")))
 
 
 def links(lists: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
     """(a, b): links that give the components of all near pairs."""
-    found, label = None, lists.select("node", F.col("node").alias("label")).distinct()
-    sized = lambda: F.col("n") * m.den >= F.col("other_n") * m.num
-    fits = lambda: sized() & (F.col("other_n") * m.den >= F.col("n") * m.num)
-    for r in range(LEADER_ROUNDS + 1):
-        last = r == LEADER_ROUNDS
-        keys = F.col("keys") if last else F.slice("keys", 1 if r == 0 else F.greatest(F.lit(1), F.size("keys") - LEADER_LISTS + 1), LEADER_LISTS)
-        entries = lists.join(label, "node").select("node", "n", "label", F.explode(keys).alias("v"))
-        leader = F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "n", "label"))
-        heads = entries.groupBy("v").agg(leader.alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        heads = heads.select("v", F.col("head.node").alias("other"), F.col("head.n").alias("other_n"), F.col("head.label").alias("other_label"))
-        away = entries.join(heads, "v").where("label <> other_label")
-        if last:
-            # Everyone outside the leader's component meets everyone of another component in the list.
-            mine = away.select("v", "node", "n", "label")
-            open_lists = mine.select("v").distinct()
-            others = entries.join(open_lists, "v", "left_semi").select("v", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-            met = mine.join(others, "v").where((F.col("label") != F.col("other_label")) & fits())
-        else:
-            met = away.where(fits()).groupBy("node", "other").agg(F.count(F.lit(1)).alias("c"))
-            met = met.groupBy("node").agg(F.max(F.struct("c", "other")).alias("best")).select("node", F.col("best.other").alias("other"))
-        pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a <> b").distinct()
-        near = cut(confirmed(cut(pairs), sets, m))
+    spark, found = lists.sparkSession, None
+
+    def confirm(met: DataFrame) -> None:
+        nonlocal found
+        pairs = cut(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a <> b"))
+        near = cut(confirmed(pairs, sets, m))
         found = near if found is None else found.unionByName(near)
-        if not last:
-            # A node without links keeps its own label.
-            joined = components(found)
-            label = cut(lists.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("label")))
+        release(spark)
+
+    # By the rarest lists, then by the most frequent.
+    now = _labelled(lists, None)
+    confirm(_leader_pairs(_entries(now, first=LEADER_LISTS), m, 0))
+    now = _labelled(lists, found)
+    confirm(_leader_pairs(_entries(now, last=LEADER_LISTS), m, 1))
+    now = _labelled(lists, found)
+    outside = cut(_outside(_entries(now), 2))
+    size = outside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    confirm(_all_pairs(outside.join(size.where(F.col("c") <= OUTSIDE), "v", "left_semi"), _entries(now), m).distinct())
+    crowded = cut(_entries(now).join(size.where(F.col("c") > OUTSIDE), "v", "left_semi").select("node").distinct())
+    if not crowded.isEmpty():
+        again = _by_rarity(larger_sketches(sets.join(crowded, "node", "left_semi"), m), m.larger)
+        release(spark)
+        now = _labelled(again, found)
+        confirm(_leader_pairs(_entries(now), m.larger, 3))
+        now = _labelled(again, found)
+        confirm(_all_pairs(_outside(_entries(now), 4), _entries(now), m.larger).distinct())
     return found
 
 
@@ -196,13 +293,16 @@ def near_duplicates(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_co
     null and they are kept. Rows that repeat an id are one document, which has the
     links of each. An empty table gives no rows; other columns aren't read.
     """
+    spark = docs.sparkSession
     all_rows = cut(sketches(docs, m, id_col, text_col))
     rows = all_rows.where("n > 0 AND id IS NOT NULL")
     node_of = rows.groupBy("key").agg(F.min("id").alias("node"))
-    by_node = cut(rows.join(node_of, "key").select("id", "key", "n", "node", F.when(F.col("id") == F.col("node"), F.col("sketch")).alias("sketch")))
-    nodes = by_node.where("id = node").select("node", "n", "sketch")
-    lists = listed(nodes, m)
+    by_node = cut(rows.select("id", "key").join(node_of, "key").select("id", "node", "key"))
+    own = by_node.where("id = node").select(F.col("id").alias("node"), "key").distinct()
+    lists = listed(rows.withColumnRenamed("id", "node").join(own, ["node", "key"], "left_semi").select("node", "n", "sketch"), m)
+    release(spark)
     sets = cut(full_sets(docs, lists, m, id_col, text_col))
+    release(spark)
     # A copy is linked with its node; where an id has several texts, so are its nodes.
     copies = by_node.where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
     label = components(cut(links(lists, sets, m)).unionByName(copies))
