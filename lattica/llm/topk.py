@@ -38,7 +38,13 @@ class Shard:
     """Vectors of one shard, column by column, with the bounds of each column."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        first = {(i, r.tobytes()): k for k, (i, r) in enumerate(zip(ids.tolist(), rows, strict=True))} if len(np.unique(ids)) < len(ids) else None
+        if first is not None:  # of rows that repeat an id and vector one counts
+            at = np.array(sorted(first.values()))
+            ids, rows = ids[at], rows[at]
         self.ids, self.rows = ids, rows
+        #: One row of each id: so many have different places in a ranking.
+        self.single = np.unique(ids, return_index=True)[1]
         self.columns = np.ascontiguousarray(rows.T)  # the postings of each term
         self.low, self.high = rows.min(axis=0), rows.max(axis=0)
         self.top = float(np.abs(rows).max(initial=0.0))
@@ -69,14 +75,14 @@ class Shard:
             probe = terms[at : at + PROBE]
             score = score + query[probe] @ self.columns[np.ix_(probe, alive)]
             at += PROBE
-        if len(score) > 4 * k:  # only ties with the k-th need their ids compared
+        if len(score) > 4 * k and len(self.single) == len(self.ids):  # only ties with the k-th need their ids compared
             keep = score >= np.partition(score, len(score) - k)[len(score) - k]
             alive, score = alive[keep], score[keep]
-        return sorted(zip((-score).astype(np.int64).tolist(), self.ids[alive].tolist(), strict=True))[:k]
+        return sorted(set(zip((-score).astype(np.int64).tolist(), self.ids[alive].tolist(), strict=True)))[:k]
 
     def _seed(self, query_id: int, query: np.ndarray, k: int) -> float | None:
         """A score that k rows here reach, or None."""
-        some = np.unique(np.linspace(0, len(self.ids) - 1, min(len(self.ids), SEED_ROWS)).astype(np.int64))
+        some = self.single[np.unique(np.linspace(0, len(self.single) - 1, min(len(self.single), SEED_ROWS)).astype(np.int64))]
         some = some[self.ids[some] != query_id]
         return float(np.sort(self.rows[some] @ query)[-k]) if len(some) >= k else None
 
@@ -85,7 +91,7 @@ class Shard:
         whole = [int(x) for x in query.tolist()]
         held = lambda s: min(LONG_MAX, max(LONG_MIN, s))
         scores = (held(sum(a * int(b) for a, b in zip(whole, r, strict=True))) for r in self.rows.tolist())
-        return sorted((-s, i) for s, i in zip(scores, self.ids.tolist(), strict=True) if i != query_id)[:k]
+        return sorted({(-s, i) for s, i in zip(scores, self.ids.tolist(), strict=True) if i != query_id})[:k]
 
 
 def _pack(limit: int, width: int):

@@ -39,6 +39,13 @@ def test_unsound_short_and_few_vectors(spark):
     assert top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_repeated_rows_count_once(spark):
+    rnd = random.Random(8)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(400)]
+    best = max(rows[1:], key=lambda r: sum(a * b for a, b in zip(r[1], rows[0][1])))
+    assert run(spark, rows + [best] * 60) == brute(rows, 10)
+
+
 def test_large_components_are_exact(spark):
     rows = [(0, [1e6, 2.0**-10])] + [(i, [1e6, i * 2.0**-10]) for i in range(1, 15)]
     assert run(spark, rows, k=3) == brute(rows, 3)
