@@ -7,6 +7,7 @@ be read gives no facts. `facts` runs them over a table of files.
 from __future__ import annotations
 
 import ast
+import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -614,14 +615,32 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, module, source) of a tree's files of known kinds; hidden and vendored folders are left out.
 
     Python modules are named from the outermost package, other files from the root.
+    A folder that driver and executors share is listed by name on the driver and
+    read by the executors. In any other store Spark's own reader lists it, which
+    leaves out names that begin with an underscore.
     """
     suffixes = "|".join(s[1:] for s in READERS)
     skipped = "|".join(VENDORED)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("content").cast("string").alias("source"))
-    base = F.regexp_replace(F.lit(root.rstrip("/")), r"^file:(//)?", "")
-    inside = F.regexp_replace(F.regexp_replace("path", r"^file:(//)?", ""), F.concat(F.lit("^"), base, F.lit("/")), F.lit(""))
-    files = files.withColumn("inside", inside).where(F.rlike("inside", F.lit(rf"\.({suffixes})$")) & ~F.rlike("inside", F.lit(rf"(^|/)(\.[^/]*|{skipped})/")) & ~F.rlike("inside", F.lit(r"(^|/)\.[^/]*$")))
-    return files.select(F.col("inside").alias("path"), module_of(F.col("inside")).alias("module"), "source")
+    wanted = F.rlike("path", F.lit(rf"\.({suffixes})$")) & ~F.rlike("path", F.lit(rf"(^|/)(\.[^/]*|{skipped})/")) & ~F.rlike("path", F.lit(r"(^|/)\.[^/]*$"))
+    if re.match(r"file:|(?![A-Za-z][\w+.-]*:)", root):
+        top = os.path.abspath(re.sub(r"^file:(//)?", "", root))
+        names = [os.path.relpath(os.path.join(folder, f), top) for folder, folders, found in os.walk(top) for f in found]
+        listed = spark.createDataFrame([(n,) for n in sorted(names)], "path string").where(wanted)
+
+        def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                texts = []
+                for name in batch["path"]:
+                    with open(os.path.join(top, name), encoding="utf-8", errors="replace") as f:
+                        texts.append(f.read())
+                yield batch.assign(source=texts)
+
+        files = listed.mapInPandas(read, "path string, source string")
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        inside = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("://")[-1]) + "/", "")
+        files = found.select(inside.alias("path"), F.col("content").cast("string").alias("source")).where(wanted)
+    return files.select("path", module_of(F.col("path")).alias("module"), "source")
 
 
 def module_of(path: Column) -> Column:
