@@ -4,8 +4,9 @@ Two lines within `edits` edits share, at nearly the same place, at least one of
 the edits + 1 segments into which either is cut. Each distinct line is listed under
 its segments, by its length, the segment's number and its text; and it looks up the
 substrings of its own that may equal a segment of a line as long or a little
-shorter. Pairs so found are verified by a bit-parallel edit distance over a band of
-2 * edits + 1 diagonals. Equal lines are one from the start.
+shorter. Pairs so found whose counts of characters are too far apart for so few
+edits are refused where they meet; the others are verified by a bit-parallel edit
+distance over a band of 2 * edits + 1 diagonals. Equal lines are one from the start.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import cut
-from lattica.llm.components import components
+from lattica.operators.components import components
 
 EDITS = 2
 #: Shorter lines are neither compared nor dropped.
@@ -104,6 +105,24 @@ def segment_hashes(line: str, found: list[tuple[int, int, int, int]]) -> list[in
     return [xxhash.xxh3_64_intdigest(data[4 * at : 4 * (at + size)], n << 8 | k) for n, k, at, size in found]
 
 
+def character_counts(line: str) -> int:
+    """How often characters of each of eight kinds occur, modulo 256, as the bytes of a signed integer.
+
+    An edit changes two counts by one at most, so lines within k edits differ by 2 * k in all.
+    """
+    kinds = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) & 7
+    return int(np.bincount(kinds, minlength=8).astype(np.uint8).view(np.int64)[0])
+
+
+def counts_apart(a: str, b: str) -> Column:
+    """By how much two columns of `character_counts` differ; never more than the counts themselves do."""
+    total = F.lit(0)
+    for k in range(8):
+        d = F.abs(F.shiftright(F.col(a), 8 * k).bitwiseAND(F.lit(255)) - F.shiftright(F.col(b), 8 * k).bitwiseAND(F.lit(255)))
+        total = total + F.least(d, 256 - d)
+    return total
+
+
 def line_key(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
@@ -136,12 +155,12 @@ def line_rows(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> Da
 
 
 def _listed(docs: DataFrame, min_chars: int, text_col: str, of: Callable[[int], list[tuple[int, int, int, int]]]) -> DataFrame:
-    """(segment, id): hashes of the places that `of` gives for a line's length, for every distinct line (one may come again from another task)."""
+    """(segment, id, counts): hashes of the places that `of` gives for a line's length, for every distinct line (one may come again from another task)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            segment, ids = [], []
+            segment, ids, counts = [], [], []
             for text in batch.column(0).to_pylist():
                 for line in lines_of(text):
                     if len(line) < min_chars:
@@ -155,9 +174,10 @@ def _listed(docs: DataFrame, min_chars: int, text_col: str, of: Callable[[int],
                     got = segment_hashes(line, of(len(line)))
                     segment += got
                     ids += [own] * len(got)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(segment, np.uint64).view(np.int64)), pa.array(ids, pa.int64())], names=["segment", "id"])
+                    counts += [character_counts(line)] * len(got)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(segment, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], names=["segment", "id", "counts"])
 
-    return docs.select(text_col).mapInArrow(rows, "segment bigint, id bigint")
+    return docs.select(text_col).mapInArrow(rows, "segment bigint, id bigint, counts bigint")
 
 
 def bit_table(ids: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
@@ -199,8 +219,8 @@ def near_lines(docs: DataFrame, edits: int, min_chars: int, text_col: str) -> Da
     """(a, b): keys of all pairs of different lines within `edits` edits."""
     listed = _listed(docs, min_chars, text_col, lambda n: [(n, k, at, size) for k, (at, size) in enumerate(segments(n, edits + 1))])
     looked = _listed(docs, min_chars, text_col, lambda n: [x for x in probes(n, edits) if x[0] >= min_chars])
-    other = listed.select("segment", F.col("id").alias("other")).distinct()
-    met = looked.join(other, "segment").where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    other = listed.select("segment", F.col("id").alias("other"), F.col("counts").alias("other_counts")).distinct()
+    met = looked.join(other, "segment").where((F.col("id") != F.col("other")) & (counts_apart("counts", "other_counts") <= 2 * edits)).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     pairs = cut(met)
     texts = cut(_texts(docs, pairs, min_chars, text_col))
     first = texts.select(F.col("id").alias("a"), F.col("key").alias("a_key"), F.col("line").alias("a_line"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lattica.llm.line_dedup import edit_distance, probes, repeated_lines, segments, without_repeats
+from lattica.llm.line_dedup import character_counts, counts_apart, edit_distance, probes, repeated_lines, segments, without_repeats
 
 
 def plain_distance(a, b):
@@ -52,6 +52,17 @@ def test_every_near_pair_shares_a_segment(edits):
         assert any((n, k, long_[at : at + size]) in listed for n, k, at, size in probes(len(long_), edits))
 
 
+def test_counts_are_never_further_apart_than_edits_allow(spark):
+    rnd = random.Random(11)
+    rows = []
+    for _ in range(400):
+        a = "".join(rnd.choice("abcdeé日 ") for _ in range(rnd.choice([3, 30, 900])))
+        n = rnd.randrange(0, 5)
+        rows.append((character_counts(a), character_counts(edited(rnd, a, n, "xyé")), n))
+    df = spark.createDataFrame(rows, "a bigint, b bigint, n int")
+    assert df.where(counts_apart("a", "b") > 2 * df["n"]).count() == 0 and df.where(counts_apart("a", "b") > 0).count() > 200
+
+
 def brute(docs, edits, min_chars):
     """(doc, line no) of a repeated line to (first doc, first line, equal); docs have different ids."""
     lines = [(d, n, x) for d, t in docs for n, x in enumerate((t or "").split("\n")) if len(x) >= min_chars]
