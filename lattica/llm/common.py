@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.runtime import cut, release, shared_dir
 
-__all__ = ["cut", "release", "shared_dir", "table"]
+__all__ = ["cut", "pieces", "release", "shared_dir", "table"]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that what is made of a batch's texts is made of a few at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

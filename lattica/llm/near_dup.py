@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import shingles
-from lattica.llm.common import cut, release
+from lattica.llm.common import cut, pieces, release
 from lattica.operators.components import components, merged
 
 #: Values in a sketch, and in the larger sketch of nodes in crowded lists.
@@ -94,7 +94,7 @@ def sketches(docs: DataFrame, m: Measure, id_col: str, text_col: str) -> DataFra
     """(id, n, key, sketch) of each row of `docs`: set size, name of the set, its k smallest hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [shingles.shingle_set(t, m.words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([shingles.set_key(s) for s in sets], pa.binary()), pa.array([s[: m.k] for s in sets], pa.list_(pa.int64()))],
@@ -152,7 +152,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, m: Measure, id_col: str, text_
     """(node, n, whole, sketch) of the documents named in `wanted` (node)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [shingles.shingle_set(t, m.words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s[: m.k].tobytes() for s in sets], pa.binary())],
