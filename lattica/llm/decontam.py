@@ -1,16 +1,16 @@
-"""Benchmark decontamination by SimHash of item-sized windows.
+"""Benchmark decontamination by exact shares of item-sized windows.
 
 For each benchmark item, every window of a document with as many words as the item
-has is a candidate. Windows and items get fingerprints of 128 bits over their
-five-word shingles. The fingerprints are cut into blocks; two that differ in at
-most RADIUS bits differ in at most RADIUS / BLOCKS in some block, so an index by
-block that lists each item under all values that close finds every such pair.
-What it finds is checked by full distance and then, exactly, by the weight of the
-item's shingles that the window holds.
-
-A window that reaches the similarity holds so many of some item's shingles that
-most windows are ruled out by counting; only the others are fingerprinted. This
-loses nothing, as the final check would refuse them.
+has is a candidate. A window is a leak if it holds enough of the weight of the
+item's five-word shingles. Most windows are ruled out by counting how many of any
+item's shingles they hold. In the others an item is met by its heaviest shingles:
+a window without any of so many that they outweigh what may be missing can't reach
+the similarity. What an item's shingles weigh in each window is then summed up over
+all windows at once. So nothing is missed, however the weights are spread.
+
+The best window and its item also get SimHash fingerprints of 128 bits, whose
+distance is told but decides nothing: where an item's shingles weigh little, a few
+foreign ones turn a window's fingerprint whatever the similarity.
 """
 
 from __future__ import annotations
@@ -30,16 +30,14 @@ from lattica.llm import shingles
 
 WORDS = 5
 SIMILARITY = 0.8
-BITS, BLOCKS = 128, 16
-#: At a cosine of 0.8, 26 of 128 bits differ on average and more than 45 in one of 80,000 pairs.
+BITS = 128
+#: Fingerprints of a leak seldom differ in more bits, unless the item's shingles weigh little; no window is refused for it.
 RADIUS = 45
 #: Items that are indexed, and sent to the executors, together: their number and their bytes.
 ITEM_BLOCK, ITEM_BLOCK_BYTES = 4000, 16_000_000
 #: Membership is first looked up in a table of so many bits' places.
 TABLE_BITS = 22
 
-_CLOSE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= RADIUS // BLOCKS
-
 
 @dataclass(frozen=True)
 class Leak:
@@ -88,12 +86,21 @@ class Items:
         for (i, h), r in zip(known, runs, strict=True):
             by_size[len(h)].append((i, r))
         for size, own in by_size.items():
-            sets = [np.unique(r) for _, r in own]
-            weights = [np.array([self.weight[x] for x in s.tolist()]) for s in sets]
-            prints = np.concatenate([fingerprints(r, np.array([self.weight[x] for x in r.tolist()]), np.array([0]), len(r)) for _, r in own])
+            alike: dict[bytes, list] = {}  # items of the same shingles are looked for once
+            for i, r in own:
+                places = np.searchsorted(self.hashes, np.unique(r))
+                alike.setdefault(places.tobytes(), [places, []])[1].append((i, r))
+            sets = [places for places, _ in alike.values()]
+            weights = [self.weights[places] for places in sets]
             # So few of its heaviest shingles make up the similarity: a window must hold as many.
             need = min(int(np.searchsorted(np.cumsum(np.sort(w)[::-1]), SIMILARITY * w.sum() - 1e-9) + 1) for w in weights)
-            self.by_size[size] = {"ids": [i for i, _ in own], "sets": sets, "weights": weights, "total": [w.sum() for w in weights], "prints": prints, "close": [_CLOSE[:, prints[:, b]] for b in range(BLOCKS)], "need": need}
+            # So many of its heaviest weigh more than what may be missing: a window must hold one.
+            met = defaultdict(list)
+            for n, (places, w) in enumerate(zip(sets, weights, strict=True)):
+                order = np.argsort(-w, kind="stable")
+                for place in places[order[: int(np.searchsorted(np.cumsum(w[order]), (1 - SIMILARITY + 2e-9) * w.sum(), "right")) + 1]].tolist():
+                    met[place].append(n)
+            self.by_size[size] = {"items": [[(i, self._print(r)) for i, r in items] for _, items in alike.values()], "sets": sets, "weights": weights, "need": need, "met": dict(met)}
 
     def known(self, runs: np.ndarray) -> np.ndarray:
         """Which runs are some item's shingle."""
@@ -125,41 +132,43 @@ class Items:
     def _in_windows(self, own: dict, size: int, runs: np.ndarray, hit: np.ndarray, upto: np.ndarray) -> Iterator[Leak]:
         span = min(len(runs), size - min(WORDS, size) + 1)  # shingles in a window; a shorter text is one window
         starts = np.flatnonzero(upto[span:] - upto[: len(upto) - span] >= own["need"])
-        best: dict[int, list] = {}
-        for part in self._together(starts, span):
-            lo, hi = int(part[0]), int(part[-1]) + span
-            region = runs[lo:hi]
-            weights = np.ones(len(region))
-            inside = np.flatnonzero(hit[lo:hi])
-            weights[inside] = self.weights[np.searchsorted(self.hashes, region[inside])]
-            prints = fingerprints(region, weights, part - lo, span)
-            candidates = np.zeros((len(part), len(own["ids"])), bool)
-            for b, close in enumerate(own["close"]):
-                candidates |= close[prints[:, b]]
-            for w, item in np.argwhere(candidates).tolist():
-                distance = int(np.bitwise_count(prints[w] ^ own["prints"][item]).sum())
-                if distance > RADIUS:
-                    continue
-                at = int(part[w])
-                held = np.isin(own["sets"][item], runs[at : at + span])
-                similarity = float(own["weights"][item][held].sum() / own["total"][item])
-                if similarity < SIMILARITY - 1e-9:
-                    continue
-                b = best.setdefault(item, [-1.0, 0, 0, 0])
-                b[3] += 1
-                if similarity > b[0] + 1e-12:
-                    b[:3] = similarity, at, distance
-        for item, (similarity, at, distance, windows) in best.items():
-            yield Leak(own["ids"][item], at, span + min(WORDS, size) - 1, min(1.0, similarity), distance, windows)
+        if not len(starts):
+            return
+        at = np.flatnonzero(hit)
+        k = np.searchsorted(starts, at, "right")
+        at = at[(k > 0) & (at - starts[np.maximum(k - 1, 0)] < span)]  # in some window
+        places = np.searchsorted(self.hashes, runs[at])
+        for n in sorted({n for place in np.unique(places).tolist() for n in own["met"].get(place, ())}):
+            held = self._held(own["sets"][n], own["weights"][n], at, places, starts, span) / own["weights"][n].sum()
+            enough = np.flatnonzero(held >= SIMILARITY - 1e-9)
+            if not len(enough):
+                continue
+            best = int(np.flatnonzero(held >= held.max() - 1e-12)[0])
+            start, similarity = int(starts[best]), min(1.0, float(held[best]))
+            window = self._print(runs[start : start + span])
+            for item, own_print in own["items"][n]:
+                yield Leak(item, start, span + min(WORDS, size) - 1, similarity, int(np.bitwise_count(window ^ own_print).sum()), len(enough))
 
     @staticmethod
-    def _together(starts: np.ndarray, span: int, most: int = 8192) -> Iterator[np.ndarray]:
-        """Starts whose windows are near each other, so that a long text is taken piece by piece."""
-        lo = 0
-        for k in range(1, len(starts) + 1):
-            if k == len(starts) or starts[k] - starts[k - 1] > span or starts[k] - starts[lo] > most:
-                yield starts[lo:k]
-                lo = k
+    def _held(item: np.ndarray, weights: np.ndarray, at: np.ndarray, places: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+        """The weight of the item's distinct shingles in each window: one that comes again counts by its last place."""
+        k = np.minimum(np.searchsorted(item, places), len(item) - 1)
+        own = np.flatnonzero(item[k] == places)
+        k, at = k[own], at[own]
+        order = np.lexsort((at, k))
+        k, at = k[order], at[order]
+        # The windows that hold a shingle at this place and not at its next one.
+        lo, hi = np.searchsorted(starts, at - span + 1), np.searchsorted(starts, at, "right")
+        again = np.flatnonzero(k[1:] == k[:-1])
+        hi[again] = np.minimum(hi[again], np.searchsorted(starts, at[again + 1] - span + 1))
+        size = len(starts) + 1
+        return np.cumsum(np.bincount(lo, weights[k], size) - np.bincount(hi, weights[k], size))[:-1]
+
+    def _print(self, runs: np.ndarray) -> np.ndarray:
+        weights = np.ones(len(runs))
+        inside = np.flatnonzero(self.known(runs))
+        weights[inside] = self.weights[np.searchsorted(self.hashes, runs[inside])]
+        return fingerprints(runs, weights, np.array([0]), len(runs))[0]
 
 
 def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, str | None]]]:
@@ -176,7 +185,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """Rows (`id_col`, `item_col`, start_word, n_words, similarity, distance, n_windows): a document's best window for each item that it holds.
 
     Similarity: the weight of the item's distinct shingles that the window holds, as
-    a share of all of them; at least 0.8, and fingerprints within RADIUS. A shingle
+    a share of all of them; at least 0.8. distance: bits by which their fingerprints
+    differ; mostly within RADIUS, more where an item's shingles weigh little. A shingle
     weighs one over the number of items that have it (in its block of items, see
     ITEM_BLOCK). Words are runs of characters other than ASCII white space, A-Z
     lower-cased; items of fewer than five words are one shingle; documents shorter

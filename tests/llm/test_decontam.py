@@ -112,3 +112,24 @@ def test_fingerprints_of_windows_equal_those_of_their_words():
     for s, g in zip(starts, got):
         assert (fingerprints(h[s : s + 30], w[s : s + 30], np.array([0]), 30)[0] == g).all()
     assert got.shape == (3, BITS // 8)
+
+
+def test_edited_copies_of_repeated_items():
+    """Shared wording weighs little beside a few foreign words; copies must be found all the same."""
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(500)}"
+    common = [word() for _ in range(20)]
+    texts = [[word() for _ in range(n)] for n in (24, 40, 40)] + [common + [word() for _ in range(20)], ["la"] * 8 + [word() for _ in range(30)]]
+    items = [(10 * k + n, " ".join(t)) for k, t in enumerate(texts) for n in range(10)]
+    items += [(100 + n, " ".join(common + [word() for _ in range(20)])) for n in range(10)]  # near-identical: half of their wording is shared
+    docs = []
+    for d in range(120):
+        w = rnd.choice(items)[1].split()
+        for _ in range(rnd.choice([0, 1, 1, 2])):
+            w[rnd.randrange(len(w))] = rnd.choice([word(), "la"])
+        docs.append((d, " ".join([word() for _ in range(20)] + w + [word() for _ in range(20)])))
+    index = Items(items)
+    got = {(d, x.item): (round(x.similarity, 9), x.windows) for d, t in docs for x in index.leaks(t)}
+    want = brute(docs, items)
+    assert len(want) > 500 and {k: s for k, (s, _) in got.items()} == {k: round(v, 9) for k, v in want.items()}
+    assert all(n >= 1 for _, n in got.values())
