@@ -24,7 +24,7 @@ from lattica.llm.common import cut
 from lattica.operators.components import components
 
 EDITS = 2
-#: Shorter lines are neither compared nor dropped.
+#: Shorter lines aren't compared for edits, and are left alone unless `equal_chars` says otherwise.
 MIN_CHARS = 12
 #: A task leaves out lines that it has listed already, as long as it remembers so many.
 REMEMBERED = 300_000
@@ -235,21 +235,23 @@ def near_lines(docs: DataFrame, edits: int, min_chars: int, text_col: str) -> Da
     return both.mapInArrow(rows, "a_key binary, b_key binary").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", equal_chars: int | None = None) -> DataFrame:
     """Rows (`id_col`, text_hash, line, first_doc, first_line, equal): every line that repeats an earlier one, whole.
 
     Lines are what stands between newlines, numbered from 0. Lines of at least
     `min_chars` characters are in one class if they are equal or linked by steps of
     at most `edits` edits; the class's first line stays: the smallest id, then text
-    hash, then line. `equal`: the line equals the one that stays. Shorter lines are
-    left alone, as are null and empty texts. Rows with a null id count as one
+    hash, then line. `equal`: the line equals the one that stays. Shorter lines of at
+    least `equal_chars` characters (`min_chars`, if not given) are in one class only
+    if they are equal; still shorter ones are left alone, as are null and empty texts. Rows with a null id count as one
     document before all others. Rows that repeat an id and a text are one document;
     with other texts they come in order of their texts' hashes. An empty table gives
     no rows. Other columns aren't read.
     """
     if not 0 <= edits < 100 or min_chars < edits + 1:
         raise ValueError("lines need at least a character for each segment, and fewer than 100 edits")
-    lines = cut(line_rows(docs, min_chars, id_col, text_col).distinct())
+    least = min_chars if equal_chars is None else min(equal_chars, min_chars)
+    lines = cut(line_rows(docs, least, id_col, text_col).distinct())
     place = F.struct("doc", "text_hash", "line")
     classes = lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     label = components(near_lines(docs, edits, min_chars, text_col)) if edits else None

@@ -34,7 +34,8 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(common.table(spark, sf_dir, "documents"))
+    # Exact repeats of every length; edits from the length that the segments need.
+    return line_dedup.repeated_lines(common.table(spark, sf_dir, "documents"), min_chars=line_dedup.EDITS + 1, equal_chars=1)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,3 +123,12 @@ def test_repeated_rows_and_empty(spark):
     assert repeated_lines(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
         repeated_lines(df, 5, 5)
+
+
+def test_query_reports_short_lines(spark, tmp_path):
+    from lattica.llm.queries import op2_lines
+
+    texts = [(1, "Les.\nok\n\na menu word"), (2, "Les.\nok\n\na menu ward\nHome page"), (3, "Home page\nx"), (4, "x\nunrelated, and long enough")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["line"]): (r["first_doc"], r["first_line"], r["equal"]) for r in op2_lines(spark, str(tmp_path)).collect()}
+    assert got == {(2, 0): (1, 0, True), (2, 1): (1, 1, True), (2, 3): (1, 3, False), (3, 0): (2, 4, True), (4, 0): (3, 1, True)}
