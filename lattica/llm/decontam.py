@@ -15,7 +15,7 @@ foreign ones turn a window's fingerprint whatever the similarity.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import shingles
+from lattica.llm.common import cut
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -71,14 +72,19 @@ def fingerprints(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, si
 class Items:
     """An index of benchmark items."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], shared: tuple[np.ndarray, np.ndarray] | None = None):
+        """`shared`: the shingles that several items of the whole benchmark have, in order, and how many have them; counted over `items` if not given."""
         known = [(i, h) for i, t in items if len(h := shingles.word_hashes(t))]
         runs = [shingles.run_hashes(h, WORDS) for _, h in known]
-        seen = Counter(x for r in runs for x in set(r.tolist()))
+        self.hashes, seen = np.unique(np.concatenate([np.empty(0, np.uint64), *map(np.unique, runs)]), return_counts=True)
+        if shared is not None:
+            seen = np.ones(len(self.hashes))
+            at = np.searchsorted(shared[0], self.hashes)
+            at[at == len(shared[0])] = 0
+            several = np.flatnonzero(shared[0][at] == self.hashes) if len(shared[0]) else []
+            seen[several] = shared[1][at[several]]
         #: A shingle of many items says little: its weight is shared among them.
-        self.weight = {x: 1.0 / c for x, c in seen.items()}
-        self.hashes = np.array(sorted(seen), np.uint64)
-        self.weights = np.array([self.weight[x] for x in self.hashes.tolist()])
+        self.weights = 1.0 / seen
         self.maybe = np.zeros(1 << TABLE_BITS, bool)
         self.maybe[(self.hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         self.by_size: dict[int, dict] = {}
@@ -171,14 +177,29 @@ class Items:
         return fingerprints(runs, weights, np.array([0]), len(runs))[0]
 
 
-def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The benchmark's items in blocks of bounded number and size."""
+def _item_shingles(benchmark: DataFrame, text_col: str) -> DataFrame:
+    """(shingle) of every item, once for each item that has it."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles.shingle_set(text, WORDS))], names=["shingle"])
+
+    return benchmark.select(text_col).mapInArrow(rows, "shingle bigint")
+
+
+def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple]:
+    """The benchmark's items in blocks of bounded number and size, each with the counts of its shingles over all blocks (see `Items`)."""
+    shared = cut(_item_shingles(benchmark, text_col).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     size = benchmark.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b")).first()
     blocks = max(1, -(-size["n"] // ITEM_BLOCK), -(-size["b"] // ITEM_BLOCK_BYTES))
     for k in range(blocks):
         own = benchmark.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(blocks)) == k)
-        # In one order, so that ties and weights don't depend on partitions.
-        yield sorted(((r[0], r[1]) for r in own.select(item_col, text_col).collect()), key=str)
+        counts = shared.join(_item_shingles(own, text_col).distinct(), "shingle", "left_semi").toArrow()  # no more than the block's shingles
+        hashes, n = counts["shingle"].to_numpy().astype(np.int64).view(np.uint64), counts["n"].to_numpy()
+        order = np.argsort(hashes)
+        # In one order, so that ties don't depend on partitions.
+        yield sorted(((r[0], r[1]) for r in own.select(item_col, text_col).collect()), key=str), (hashes[order], n[order])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -187,8 +208,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Similarity: the weight of the item's distinct shingles that the window holds, as
     a share of all of them; at least 0.8. distance: bits by which their fingerprints
     differ; mostly within RADIUS, more where an item's shingles weigh little. A shingle
-    weighs one over the number of items that have it (in its block of items, see
-    ITEM_BLOCK). Words are runs of characters other than ASCII white space, A-Z
+    weighs one over the number of items of the whole benchmark that have it. Words are runs of characters other than ASCII white space, A-Z
     lower-cased; items of fewer than five words are one shingle; documents shorter
     than an item are one window. Null, empty and blank texts and items hold and
     match nothing. Repeated rows of `docs` give their rows each; a null id stays
@@ -202,7 +222,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most ITEM_BLOCK_BYTES or so
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value)
+            items = Items(*shared.value)
             for batch in batches:
                 at, got = [], []
                 for k, text in enumerate(batch.column(1).to_pylist()):
@@ -232,7 +252,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 def _leaky(shared):
     @F.pandas_udf("boolean")
     def leaky(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        items = Items(shared.value)
+        items = Items(*shared.value)
         for texts in batches:
             yield pd.Series([bool(items.leaks(t)) for t in texts], dtype=bool)
 

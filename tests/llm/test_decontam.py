@@ -133,3 +133,18 @@ def test_edited_copies_of_repeated_items():
     want = brute(docs, items)
     assert len(want) > 500 and {k: s for k, (s, _) in got.items()} == {k: round(v, 9) for k, v in want.items()}
     assert all(n >= 1 for _, n in got.values())
+
+
+def test_weights_do_not_depend_on_blocks(spark, monkeypatch):
+    """A shingle's weight is shared among the items of all blocks."""
+    rnd = random.Random(6)
+    word = lambda: f"w{rnd.randrange(2000)}"
+    common = [word() for _ in range(20)]
+    items = [(k, " ".join(common + [word() for _ in range(24)])) for k in range(12)] + [(12, "a b"), (13, "a b"), (14, None)]
+    docs = [(k, " ".join([word() for _ in range(20)] + items[k][1].split()[20 - 3 * k % 20 :])) for k in range(12)]
+    df, bench = spark.createDataFrame([(*d, 1) for d in docs], DOCS), spark.createDataFrame([(*i, "x") for i in items], ITEMS)
+    want = {k: round(v, 9) for k, v in brute(docs, items).items()}
+    for size in (4000, 3):
+        monkeypatch.setattr("lattica.llm.decontam.ITEM_BLOCK", size)
+        assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in leaks(df, bench).collect()} == want
+    assert len(want) > 8 and {r["doc_id"] for r in without_leaks(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
