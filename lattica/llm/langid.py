@@ -216,17 +216,23 @@ def _rows(model: LanguageModel) -> list[list[float]]:
     return kept[1]
 
 
+def parts(word: str) -> list[str]:
+    """A run in consecutive pieces of at most CACHE_CHARS characters; a space, which no run has, marks those that don't start it."""
+    return [" " * (lo > 0) + word[lo : lo + CACHE_CHARS] for lo in range(0, len(word), CACHE_CHARS)]
+
+
 def fit(counts: dict[str, dict[str, int]], vocabulary: str, rounds: int = EM_ROUNDS, smoothing: float = SMOOTHING) -> LanguageModel:
     """Expectation maximisation over word counts by language.
 
     All languages start from equal piece probabilities, discounted by length;
-    each round sums a piece's posterior over every segmentation of every word.
+    each round sums a piece's posterior over every segmentation of every word. Longer
+    runs, as of scripts without spaces, count by their `parts`.
     """
     languages = tuple(sorted(counts))
     tree, n_pieces = piece_tree(vocabulary), len(vocabulary_pieces(vocabulary))
     p = np.full((n_pieces + 1, max(1, len(languages))), 1.0 / (n_pieces + 1))
     for k, lang in enumerate(languages):
-        words = [(EDGE + w, c) for w, c in counts[lang].items() if len(w) <= CACHE_CHARS]
+        words = [(w[1:] if w[0] == " " else EDGE + w, c) for run, c in counts[lang].items() for w in ([run] if run[:1] == " " else parts(run))]
         cut = [(spans(w, tree), c) for w, c in words]
         own = p[:, k].tolist()
         for _ in range(rounds):
@@ -256,8 +262,8 @@ def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     """Fits on rows of `docs` with a text and a language.
 
     Of each language, rows with the smallest hashes of their id are taken, about
-    `max_docs` of them (all, if fewer), whole; of their words the `max_words` most
-    frequent. So what reaches the driver is bounded whatever the table's size.
+    `max_docs` of them (all, if fewer), whole; of their words, longer ones cut into
+    `parts`, the `max_words` most frequent. So what reaches the driver is bounded whatever the table's size.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.abs(F.xxhash64(F.col(id_col)) % 1_000_000) / 1e6).alias("draw")
@@ -273,11 +279,11 @@ def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             found: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(text.lower().split())
+                found.setdefault(lang, Counter()).update(p for w in text.lower().split() for p in ((w,) if len(w) <= CACHE_CHARS else parts(w)))
             for lang, c in found.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["lang", "word", "n"])
 
-    counted = rows.where(keep).select("lang", "text").mapInArrow(words, "lang string, word string, n bigint").where(F.length("word") <= CACHE_CHARS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = rows.where(keep).select("lang", "text").mapInArrow(words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # The sample's words only; of each language at most max_words rows leave.
     most = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= max_words)
     counts: dict[str, dict[str, int]] = {}

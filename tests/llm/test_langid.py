@@ -78,3 +78,15 @@ def test_held_out_accuracy(spark):
     right = sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held)
     print("held-out accuracy", right, len(held))
     assert right > 0.95
+
+
+def test_language_without_spaces(spark):
+    zh, ja = "今天天气很好我们一起去公园散步然后回家吃饭" * 8, "これはとてもよいほんですからぜひよんでみてください" * 8
+    docs = spark.createDataFrame([(1, zh, "zh"), (2, ja, "ja"), (3, PARTS["en"], "en")], "doc_id bigint, text string, lang string")
+    model = langid.train(docs, PIECE_VOCABULARY)
+    assert model.languages == ("en", "ja", "zh")
+    new = spark.createDataFrame([(1, "我们今天去公园吃饭"), (2, "よいほんですよ"), (3, "the cat")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(new, model).collect()} == {1: "zh", 2: "ja", 3: "en"}
+    run = zh[:150]
+    assert [p.lstrip(" ") for p in langid.parts(run)] == [run[:64], run[64:128], run[128:]]
+    assert (langid.fit({"zh": {run: 2}}, PIECE_VOCABULARY).probability == langid.fit({"zh": dict.fromkeys(langid.parts(run), 2)}, PIECE_VOCABULARY).probability).all()
