@@ -19,11 +19,13 @@ class DeadlineExceeded(RuntimeError):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made and set.
+    Where the session names none, one is made and set, but only if the session runs
+    on one machine, as in tests; on a cluster that raises ValueError.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="lattica-")
         spark.sparkContext.setCheckpointDir(named)
     return named
