@@ -1,16 +1,17 @@
-"""Benchmark decontamination by exact shares of item-sized windows.
-
-For each benchmark item, every window of a document with as many words as the item
-has is a candidate. A window is a leak if it holds enough of the weight of the
-item's five-word shingles. Most windows are ruled out by counting how many of any
-item's shingles they hold. In the others an item is met by its heaviest shingles:
-a window without any of so many that they outweigh what may be missing can't reach
-the similarity. What an item's shingles weigh in each window is then summed up over
-all windows at once. So nothing is missed, however the weights are spread.
-
-The best window and its item also get SimHash fingerprints of 128 bits, whose
-distance is told but decides nothing: where an item's shingles weigh little, a few
-foreign ones turn a window's fingerprint whatever the similarity.
+"""Benchmark decontamination by SimHash over item-sized windows.
+
+Every window of a document with as many words as a benchmark item has is compared
+with the items of that size. Its five-word shingles that no item has tell nothing
+and are left out; a window with too few of the others is no leak of any item. The
+rest get SimHash fingerprints of 512 bits, in which a shingle counts by the root of
+its weight: so the cosine of a window that holds a share s of an item's weight is
+the root of s, and 0.89 at the similarity asked for, however weights are spread.
+
+Fingerprints are cut into 64 blocks of eight bits. Of two within the radius of 143
+bits at least 17 blocks differ in at most two bits; each item is listed, by block,
+under the 37 values so near its own, and the lists that a window's blocks name are
+counted. That finds all within the radius, and 1 in 200 of unlike pairs. What an
+item's shingles weigh in each window is then summed up exactly.
 """
 
 from __future__ import annotations
@@ -25,17 +26,25 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lattica.llm import shingles
 from lattica.llm.common import cut
 
 WORDS = 5
 SIMILARITY = 0.8
-BITS = 128
-#: Fingerprints of a leak seldom differ in more bits, unless the item's shingles weigh little; no window is refused for it.
-RADIUS = 45
+BITS, BLOCKS = 512, 64
+#: Bits in which a leak's fingerprint may differ: of 512, 76 are expected at the similarity, and 105 if also the words in place of the missing ones are some other item's.
+RADIUS = 143
+#: Bits in which a block may differ, and how many blocks then must not differ in more.
+BLOCK_RADIUS = 2
+LEAST_BLOCKS = BLOCKS - RADIUS // (BLOCK_RADIUS + 1)
+#: Block values by block values: whether they are that near.
+NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= BLOCK_RADIUS
 #: Items that are indexed, and sent to the executors, together: their number and their bytes.
-ITEM_BLOCK, ITEM_BLOCK_BYTES = 4000, 16_000_000
+ITEM_BLOCK, ITEM_BLOCK_BYTES = 2000, 16_000_000
+#: Shingles whose signs, and windows by items whose blocks, are unpacked together.
+TOGETHER, COUNTED = 8192, 1 << 16
 #: Membership is first looked up in a table of so many bits' places.
 TABLE_BITS = 22
 
@@ -44,7 +53,7 @@ TABLE_BITS = 22
 class Leak:
     """The best window of a document for an item."""
 
-    item: int | None
+    item: object
     start: int
     words: int
     similarity: float
@@ -53,26 +62,43 @@ class Leak:
 
 
 def fingerprints(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of the runs of `size` shingles at `starts`: rows of BITS / 8 bytes."""
-    n = len(hashes)
-    both = np.empty((n, 2), np.uint64)
-    both[:, 0] = hashes
-    with np.errstate(over="ignore"):
-        both[:, 1] = shingles.mixed(hashes + np.uint64(0x5851F42D4C957F2D))
-    raw = both.view(np.uint8).reshape(n, BITS // 8)
+    """SimHash of the runs of `size` shingles at `starts` (in order): rows of BITS / 8 bytes. A run's repeated shingles count once."""
     out = np.empty((len(starts), BITS // 8), np.uint8)
-    sums = np.zeros((n + 1, 8))
-    for byte in range(BITS // 8):  # eight bits at a time, to bound memory on long texts
-        signs = np.unpackbits(raw[:, byte, None], axis=1) * 2.0 - 1.0
-        np.cumsum(signs * weights[:, None], axis=0, out=sums[1:])
-        out[:, byte] = np.packbits(sums[starts + size] - sums[starts] > 1e-9, axis=1)[:, 0]
+    lo = 0
+    while lo < len(starts):  # some runs at a time, to bound memory on long texts
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + TOGETHER)))
+        first, last = int(starts[lo]), int(starts[hi - 1]) + size
+        _some_fingerprints(hashes[first:last], weights[first:last], starts[lo:hi] - first, size, out[lo:hi])
+        lo = hi
     return out
 
 
+def _some_fingerprints(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: int, out: np.ndarray) -> None:
+    n = len(hashes)
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    again, before = order[same + 1], order[same]  # a shingle and its last place before
+    near = (again - before < size) & (weights[again] != 0)
+    again, before = again[near], before[near]
+    sums = np.zeros((n + 1, 64))
+    for word in range(BITS // 64):
+        with np.errstate(over="ignore"):
+            bits = shingles.mixed(hashes + np.uint64(0x5851F42D4C957F2D) * np.uint64(word + 1))
+        signs = (np.unpackbits(bits.view(np.uint8).reshape(n, 8), axis=1) * 2.0 - 1.0) * weights[:, None]
+        np.cumsum(signs, axis=0, out=sums[1:])
+        total = sums[starts + size] - sums[starts]
+        if len(again):  # taken back from the runs that hold both
+            back = np.zeros((len(starts) + 1, 64))
+            np.add.at(back, np.searchsorted(starts, again - size + 1), signs[again])
+            np.subtract.at(back, np.searchsorted(starts, before, "right"), signs[again])
+            total -= np.cumsum(back, axis=0)[:-1]
+        out[:, 8 * word : 8 * word + 8] = np.packbits(total > 1e-9, axis=1)
+
+
 class Items:
     """An index of benchmark items."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], shared: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, items: list[tuple[object, str | None]], shared: tuple[np.ndarray, np.ndarray] | None = None):
         """`shared`: the shingles that several items of the whole benchmark have, in order, and how many have them; counted over `items` if not given."""
         known = [(i, h) for i, t in items if len(h := shingles.word_hashes(t))]
         runs = [shingles.run_hashes(h, WORDS) for _, h in known]
@@ -85,6 +111,7 @@ class Items:
             seen[several] = shared[1][at[several]]
         #: A shingle of many items says little: its weight is shared among them.
         self.weights = 1.0 / seen
+        self.roots = np.sqrt(self.weights)
         self.maybe = np.zeros(1 << TABLE_BITS, bool)
         self.maybe[(self.hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         self.by_size: dict[int, dict] = {}
@@ -100,13 +127,15 @@ class Items:
             weights = [self.weights[places] for places in sets]
             # So few of its heaviest shingles make up the similarity: a window must hold as many.
             need = min(int(np.searchsorted(np.cumsum(np.sort(w)[::-1]), SIMILARITY * w.sum() - 1e-9) + 1) for w in weights)
-            # So many of its heaviest weigh more than what may be missing: a window must hold one.
-            met = defaultdict(list)
-            for n, (places, w) in enumerate(zip(sets, weights, strict=True)):
-                order = np.argsort(-w, kind="stable")
-                for place in places[order[: int(np.searchsorted(np.cumsum(w[order]), (1 - SIMILARITY + 2e-9) * w.sum(), "right")) + 1]].tolist():
-                    met[place].append(n)
-            self.by_size[size] = {"items": [[(i, self._print(r)) for i, r in items] for _, items in alike.values()], "sets": sets, "weights": weights, "need": need, "met": dict(met)}
+            prints = np.array([self._print(self.hashes[places], self.roots[places]) for places in sets])
+            self.by_size[size] = {
+                "items": [[i for i, _ in items] for _, items in alike.values()], "sets": sets, "weights": weights, "need": need, "prints": prints,
+                "near": np.ascontiguousarray(NEAR[:, prints].transpose(2, 0, 1)).view(np.uint8),  # block x value x item: the inverted lists
+            }
+
+    @staticmethod
+    def _print(hashes: np.ndarray, roots: np.ndarray) -> np.ndarray:
+        return fingerprints(hashes, roots, np.array([0]), len(hashes))[0]
 
     def known(self, runs: np.ndarray) -> np.ndarray:
         """Which runs are some item's shingle."""
@@ -141,19 +170,38 @@ class Items:
         if not len(starts):
             return
         at = np.flatnonzero(hit)
-        k = np.searchsorted(starts, at, "right")
-        at = at[(k > 0) & (at - starts[np.maximum(k - 1, 0)] < span)]  # in some window
         places = np.searchsorted(self.hashes, runs[at])
-        for n in sorted({n for place in np.unique(places).tolist() for n in own["met"].get(place, ())}):
+        roots = np.zeros(len(runs))
+        roots[at] = self.roots[places]
+        prints = fingerprints(runs, roots, starts, span)
+        k = np.searchsorted(starts, at, "right")
+        inside = (k > 0) & (at - starts[np.maximum(k - 1, 0)] < span)  # in some window
+        at, places = at[inside], places[inside]
+        for n in self.candidates(own, prints):
             held = self._held(own["sets"][n], own["weights"][n], at, places, starts, span) / own["weights"][n].sum()
             enough = np.flatnonzero(held >= SIMILARITY - 1e-9)
             if not len(enough):
                 continue
             best = int(np.flatnonzero(held >= held.max() - 1e-12)[0])
             start, similarity = int(starts[best]), min(1.0, float(held[best]))
-            window = self._print(runs[start : start + span])
-            for item, own_print in own["items"][n]:
-                yield Leak(item, start, span + min(WORDS, size) - 1, similarity, int(np.bitwise_count(window ^ own_print).sum()), len(enough))
+            distance = int(np.bitwise_count(prints[best] ^ own["prints"][n]).sum())
+            for item in own["items"][n]:
+                yield Leak(item, start, span + min(WORDS, size) - 1, similarity, distance, len(enough))
+
+    @staticmethod
+    def candidates(own: dict, prints: np.ndarray) -> list[int]:
+        """The items of one size with a fingerprint within RADIUS of one of `prints`, found by their blocks."""
+        found: set[int] = set()
+        step = max(1, COUNTED // len(own["prints"]))
+        for lo in range(0, len(prints), step):
+            some = prints[lo : lo + step]
+            count = np.zeros((len(some), len(own["prints"])), np.uint8)
+            for block in range(BLOCKS):
+                count += own["near"][block, some[:, block]]
+            window, item = np.nonzero(count >= LEAST_BLOCKS)
+            within = np.bitwise_count(some[window] ^ own["prints"][item]).sum(axis=1) <= RADIUS
+            found.update(item[within].tolist())
+        return sorted(found)
 
     @staticmethod
     def _held(item: np.ndarray, weights: np.ndarray, at: np.ndarray, places: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
@@ -170,12 +218,6 @@ class Items:
         size = len(starts) + 1
         return np.cumsum(np.bincount(lo, weights[k], size) - np.bincount(hi, weights[k], size))[:-1]
 
-    def _print(self, runs: np.ndarray) -> np.ndarray:
-        weights = np.ones(len(runs))
-        inside = np.flatnonzero(self.known(runs))
-        weights[inside] = self.weights[np.searchsorted(self.hashes, runs[inside])]
-        return fingerprints(runs, weights, np.array([0]), len(runs))[0]
-
 
 def _item_shingles(benchmark: DataFrame, text_col: str) -> DataFrame:
     """(shingle) of every item, once for each item that has it."""
@@ -206,15 +248,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """Rows (`id_col`, `item_col`, start_word, n_words, similarity, distance, n_windows): a document's best window for each item that it holds.
 
     Similarity: the weight of the item's distinct shingles that the window holds, as
-    a share of all of them; at least 0.8. distance: bits by which their fingerprints
-    differ; mostly within RADIUS, more where an item's shingles weigh little. A shingle
-    weighs one over the number of items of the whole benchmark that have it. Words are runs of characters other than ASCII white space, A-Z
-    lower-cased; items of fewer than five words are one shingle; documents shorter
-    than an item are one window. Null, empty and blank texts and items hold and
-    match nothing. Repeated rows of `docs` give their rows each; a null id stays
-    null; of items that repeat an id each gives a row. Empty tables give no rows;
-    other columns aren't read. Documents are read whole and never shuffled.
+    a share of all of them; at least 0.8. A shingle weighs one over the number of
+    items of the whole benchmark that have it. distance: bits by which the
+    fingerprints differ. Words are runs of characters other than ASCII white space,
+    A-Z lower-cased; items of fewer than five words are one shingle; documents shorter
+    than an item are one window. Null, empty and blank texts and items hold and match
+    nothing. Repeated rows of `docs` give their rows each; a null id stays null; of
+    items that repeat an id each gives a row. Ids may be of any type; equal names for
+    `id_col` and `item_col` raise ValueError. Empty tables give no rows; other columns
+    aren't read. Documents are read whole, however long, and never shuffled: once for
+    each ITEM_BLOCK items, as the index of one block is what a task keeps.
     """
+    if id_col == item_col:
+        raise ValueError("documents and items need ids of different names")
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     name = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, start_word bigint, n_words bigint, similarity double, distance int, n_windows bigint"
     found = []
@@ -231,7 +278,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                         got.append(x)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(at, pa.int64())), pa.array([x.item for x in got], pa.int64()),
+                        batch.column(0).take(pa.array(at, pa.int64())), pa.array([x.item for x in got], item_type),
                         pa.array([x.start for x in got], pa.int64()), pa.array([x.words for x in got], pa.int64()), pa.array([x.similarity for x in got], pa.float64()),
                         pa.array([x.distance for x in got], pa.int32()), pa.array([x.windows for x in got], pa.int64()),
                     ],

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 
 from lattica.llm import shingles
-from lattica.llm.decontam import BITS, RADIUS, SIMILARITY, Items, fingerprints, leaks, without_leaks
+from lattica.llm.decontam import BITS, LEAST_BLOCKS, NEAR, RADIUS, SIMILARITY, Items, fingerprints, leaks, without_leaks
 
 DOCS, ITEMS = "doc_id bigint, text string, item_id int", "item_id bigint, text string, source string"
 
@@ -148,3 +149,44 @@ def test_weights_do_not_depend_on_blocks(spark, monkeypatch):
         monkeypatch.setattr("lattica.llm.decontam.ITEM_BLOCK", size)
         assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in leaks(df, bench).collect()} == want
     assert len(want) > 8 and {r["doc_id"] for r in without_leaks(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_index_finds_all_within_the_radius_and_few_others():
+    rng = np.random.default_rng(1)
+    item = rng.integers(0, 256, (1, BITS // 8), np.uint8)
+    own = {"prints": item, "near": np.ascontiguousarray(NEAR[:, item].transpose(2, 0, 1)).view(np.uint8)}
+    for _ in range(400):  # as many bits differ as may, spread or crowded
+        bits = np.unpackbits(item[0])
+        places = rng.permutation(BITS)[:RADIUS] if rng.random() < 0.5 else (np.arange(RADIUS) + rng.integers(0, BITS - RADIUS))
+        bits[places] ^= 1
+        assert Items.candidates(own, np.packbits(bits)[None, :]) == [0]
+    unlike = rng.integers(0, 256, (20_000, BITS // 8), np.uint8)
+    passed = (sum(own["near"][block, unlike[:, block], 0].astype(int) for block in range(BITS // 8)) >= LEAST_BLOCKS).mean()
+    assert 0 < passed < 0.01
+
+
+def test_recall_at_the_similarity():
+    """Of passages cut to hardly enough, between passages of other items, next to none is missed."""
+    rnd = random.Random(7)
+    items = [(k, " ".join(f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([30, 40, 55])))) for k in range(60)]
+    index, missed, there = Items(items), 0, 0
+    for _ in range(60):
+        parts = []
+        for k in rnd.sample(range(60), 20):
+            w = items[k][1].split()
+            parts += w[: len(w) - int(0.2 * (len(w) - 4))]
+        text = " ".join(parts)
+        got = {x.item for x in index.leaks(text)}
+        want = {i for _, i in brute([(0, text)], items)}
+        there, missed = there + len(want), missed + len(want - got)
+        assert got <= want
+    assert there > 1000 and missed <= there // 1000
+
+
+def test_ids_of_any_type_and_names(spark):
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    assert [tuple(r)[:2] for r in leaks(df, spark.createDataFrame([("i", text)], "item_id string, text string")).collect()] == [("d", "i")]
+    assert [tuple(r)[:2] for r in leaks(df, spark.createDataFrame([(3, text)], "item_id int, text string")).collect()] == [("d", 3)]
+    with pytest.raises(ValueError):
+        leaks(df, df, item_col="doc_id")
