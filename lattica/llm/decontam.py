@@ -44,7 +44,7 @@ NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256,
 #: Items that are indexed, and sent to the executors, together: their number and their bytes.
 ITEM_BLOCK, ITEM_BLOCK_BYTES = 2000, 16_000_000
 #: Shingles whose signs, and windows by items whose blocks, are unpacked together.
-TOGETHER, COUNTED = 8192, 1 << 16
+TOGETHER, COUNTED = 2048, 1 << 18
 #: Membership is first looked up in a table of so many bits' places.
 TABLE_BITS = 22
 
@@ -68,31 +68,56 @@ def fingerprints(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, si
     while lo < len(starts):  # some runs at a time, to bound memory on long texts
         hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + TOGETHER)))
         first, last = int(starts[lo]), int(starts[hi - 1]) + size
-        _some_fingerprints(hashes[first:last], weights[first:last], starts[lo:hi] - first, size, out[lo:hi])
+        at = first + np.flatnonzero(weights[first:last])
+        out[lo:hi] = Signs(hashes[at], weights[at], at).prints(starts[lo:hi], size)
         lo = hi
     return out
 
 
-def _some_fingerprints(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: int, out: np.ndarray) -> None:
-    n = len(hashes)
-    order = np.argsort(hashes, kind="stable")
-    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
-    again, before = order[same + 1], order[same]  # a shingle and its last place before
-    near = (again - before < size) & (weights[again] != 0)
-    again, before = again[near], before[near]
-    sums = np.zeros((n + 1, 64))
-    for word in range(BITS // 64):
+class Signs:
+    """The signs of a text's weighed shingles, added up from its beginning: fingerprints of any of its runs are differences."""
+
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, at: np.ndarray):
+        n, self.at = len(hashes), at
         with np.errstate(over="ignore"):
-            bits = shingles.mixed(hashes + np.uint64(0x5851F42D4C957F2D) * np.uint64(word + 1))
-        signs = (np.unpackbits(bits.view(np.uint8).reshape(n, 8), axis=1) * 2.0 - 1.0) * weights[:, None]
-        np.cumsum(signs, axis=0, out=sums[1:])
-        total = sums[starts + size] - sums[starts]
-        if len(again):  # taken back from the runs that hold both
-            back = np.zeros((len(starts) + 1, 64))
-            np.add.at(back, np.searchsorted(starts, again - size + 1), signs[again])
-            np.subtract.at(back, np.searchsorted(starts, before, "right"), signs[again])
-            total -= np.cumsum(back, axis=0)[:-1]
-        out[:, 8 * word : 8 * word + 8] = np.packbits(total > 1e-9, axis=1)
+            bits = shingles.mixed(hashes[:, None] + np.uint64(0x5851F42D4C957F2D) * np.arange(1, BITS // 64 + 1, dtype=np.uint64))
+        self.signs = (np.unpackbits(bits.view(np.uint8), axis=1) * 2.0 - 1.0) * weights[:, None]
+        self.sums = np.zeros((n + 1, BITS))
+        np.cumsum(self.signs, axis=0, out=self.sums[1:])
+        order = np.argsort(hashes, kind="stable")
+        same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+        self.again, self.before = order[same + 1], order[same]  # a shingle and its last place before
+
+    def prints(self, starts: np.ndarray, size: int) -> np.ndarray:
+        total = self.sums[np.searchsorted(self.at, starts + size)] - self.sums[np.searchsorted(self.at, starts)]
+        if len(self.again):
+            near = self.at[self.again] - self.at[self.before] < size
+            again, before = self.again[near], self.before[near]
+            if len(again):  # taken back from the runs that hold both
+                back = np.zeros((len(starts) + 1, BITS))
+                np.add.at(back, np.searchsorted(starts, self.at[again] - size + 1), self.signs[again])
+                np.subtract.at(back, np.searchsorted(starts, self.at[before], "right"), self.signs[again])
+                total -= np.cumsum(back, axis=0)[:-1]
+        return np.packbits(total > 1e-9, axis=1)
+
+
+class Runs:
+    """A text's shingles, and those that some item has: their places in the text and among the items' shingles."""
+
+    def __init__(self, items: Items, runs: np.ndarray, hit: np.ndarray):
+        self.runs, self.at, self.upto = runs, np.flatnonzero(hit), np.concatenate([[0], np.cumsum(hit)])
+        self.places = np.searchsorted(items.hashes, runs[self.at])
+        self.roots = items.roots[self.places]
+        self.signs: Signs | None = None
+
+    def prints(self, starts: np.ndarray, span: int) -> np.ndarray:
+        if len(self.at) > TOGETHER:
+            weights = np.zeros(len(self.runs))
+            weights[self.at] = self.roots
+            return fingerprints(self.runs, weights, starts, span)
+        if self.signs is None:
+            self.signs = Signs(self.runs[self.at], self.roots, self.at)
+        return self.signs.prints(starts, span)
 
 
 class Items:
@@ -158,25 +183,20 @@ class Items:
             if width not in prepared:
                 runs = shingles.run_hashes(words, width)
                 hit = self.known(runs)
-                prepared[width] = runs, hit, np.concatenate([[0], np.cumsum(hit)]) if hit.any() else None
-            runs, hit, upto = prepared[width]
-            if upto is not None:
-                found += self._in_windows(own, size, runs, hit, upto)
+                prepared[width] = Runs(self, runs, hit) if hit.any() else None
+            if prepared[width] is not None:
+                found += self._in_windows(own, size, prepared[width])
         return sorted(found, key=lambda x: (x.start, x.words, str(x.item)))
 
-    def _in_windows(self, own: dict, size: int, runs: np.ndarray, hit: np.ndarray, upto: np.ndarray) -> Iterator[Leak]:
-        span = min(len(runs), size - min(WORDS, size) + 1)  # shingles in a window; a shorter text is one window
-        starts = np.flatnonzero(upto[span:] - upto[: len(upto) - span] >= own["need"])
+    def _in_windows(self, own: dict, size: int, text: Runs) -> Iterator[Leak]:
+        span = min(len(text.runs), size - min(WORDS, size) + 1)  # shingles in a window; a shorter text is one window
+        starts = np.flatnonzero(text.upto[span:] - text.upto[: len(text.upto) - span] >= own["need"])
         if not len(starts):
             return
-        at = np.flatnonzero(hit)
-        places = np.searchsorted(self.hashes, runs[at])
-        roots = np.zeros(len(runs))
-        roots[at] = self.roots[places]
-        prints = fingerprints(runs, roots, starts, span)
-        k = np.searchsorted(starts, at, "right")
-        inside = (k > 0) & (at - starts[np.maximum(k - 1, 0)] < span)  # in some window
-        at, places = at[inside], places[inside]
+        prints = text.prints(starts, span)
+        k = np.searchsorted(starts, text.at, "right")
+        inside = (k > 0) & (text.at - starts[np.maximum(k - 1, 0)] < span)  # in some window
+        at, places = text.at[inside], text.places[inside]
         for n in self.candidates(own, prints):
             held = self._held(own["sets"][n], own["weights"][n], at, places, starts, span) / own["weights"][n].sum()
             enough = np.flatnonzero(held >= SIMILARITY - 1e-9)
@@ -192,12 +212,10 @@ class Items:
     def candidates(own: dict, prints: np.ndarray) -> list[int]:
         """The items of one size with a fingerprint within RADIUS of one of `prints`, found by their blocks."""
         found: set[int] = set()
-        step = max(1, COUNTED // len(own["prints"]))
+        step = max(1, COUNTED // (BLOCKS * len(own["prints"])))
         for lo in range(0, len(prints), step):
             some = prints[lo : lo + step]
-            count = np.zeros((len(some), len(own["prints"])), np.uint8)
-            for block in range(BLOCKS):
-                count += own["near"][block, some[:, block]]
+            count = own["near"][np.arange(BLOCKS), some].sum(axis=1, dtype=np.uint8)
             window, item = np.nonzero(count >= LEAST_BLOCKS)
             within = np.bitwise_count(some[window] ^ own["prints"][item]).sum(axis=1) <= RADIUS
             found.update(item[within].tolist())
