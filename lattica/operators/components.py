@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.runtime import cut
+from lattica.runtime import cut, release
 
 #: Far beyond what any graph needs (the rounds grow with the logarithm of its size); reached only by a defect.
 MAX_ROUNDS = 100
@@ -49,6 +49,7 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         now = cut(_star(_star(now, True), False))
         last, sign = sign, now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b")), F.bit_xor(F.xxhash64("a", "b"))).first()
+        release(links.sparkSession)  # the last round's shuffles
         if sign == last:
             # A fixed point is a star about each component's smallest node.
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
