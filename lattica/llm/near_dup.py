@@ -12,8 +12,10 @@ near copies are not paired out either: in the first rounds each node meets one
 leader, which joins most of a group. Then only nodes outside the leader's component
 meet all of another component in the list. Where more than a few are outside, the
 list's nodes (a passage that many share fills most of their sketches) are listed
-anew by larger sketches, whose overlap is known more closely, and meet there. So no
-link between components is lost, and lists of unlike documents are not paired out.
+anew by far larger sketches, for nearly all texts their whole sets, so that only
+nodes meet that have almost everything in common. Two nodes meet where their common
+values start, not again in each list that they share. So no link between components
+is lost, and lists of unlike documents are not paired out.
 """
 
 from __future__ import annotations
@@ -24,20 +26,29 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import shingles
-from lattica.llm.common import cut, pieces, release
+from lattica.llm.common import batches_of, cut, integers, pieces, release
 from lattica.operators.components import components, merged
 
 #: Values in a sketch, and in the larger sketch of nodes in crowded lists.
-K, LARGE_K = 64, 512
+K, LARGE_K = 64, 4096
 #: At most this likely is a pair at the threshold to share fewer sketch values than asked for.
 MISS = 1e-8
-#: Rounds in which each node meets one leader, and the lists by which it finds it.
-LEADER_ROUNDS = 2
+#: The lists by which a node finds the leader that it meets.
 LEADER_LISTS = 6
+#: Rounds, at most, in which the nodes of crowded lists meet a few leaders each; they end when few links are new.
+LARGE_ROUNDS, LARGE_LEADERS, FEW_LINKS = 4, 4, 0.05
+#: Words of 64 bits in the parity table of a set.
+PARITY = 8
+#: Two nodes don't meet in a list if they have one of so many values before it in common.
+BEFORE = 8
+#: Full sets, or pairs of them, that a worker unpacks together.
+SETS_TOGETHER = 256
+#: Keys with more rows than this share of all: fewer than HOT_KEYS, whatever the table's size.
+HOT_KEYS = 1024
 #: A list is crowded if more nodes than this are outside its leader's component.
 OUTSIDE = 6
 
@@ -137,15 +148,23 @@ def listed(nodes: DataFrame, m: Measure) -> DataFrame:
     return _by_rarity(some, m)
 
 
+def parity(whole: np.ndarray) -> np.ndarray:
+    """Which places of a table of 64 * PARITY bits an odd number of the set's values take."""
+    odd = np.bincount(whole.view(np.uint64) >> np.uint64(64 - (64 * PARITY - 1).bit_length()), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def larger_sketches(sets: DataFrame, m: Measure) -> DataFrame:
-    """(node, n, sketch) with the larger sketch, of (node, n, whole)."""
+    """(node, n, sketch, odd) with the larger sketch and the `parity`, of (node, n, whole)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = [np.frombuffer(x, np.int64)[: m.larger.k] for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(some, pa.list_(pa.int64()))], names=["node", "n", "sketch"])
+        for batch in pieces(batches, SETS_TOGETHER):
+            whole = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array([x[: m.larger.k] for x in whole], pa.list_(pa.int64())), pa.array([parity(x) for x in whole], pa.list_(pa.int64()))], names=["node", "n", "sketch", "odd"]
+            )
 
-    return sets.select("node", "n", "whole").mapInArrow(rows, "node bigint, n bigint, sketch array<bigint>")
+    return sets.select("node", "n", "whole").mapInArrow(rows, "node bigint, n bigint, sketch array<bigint>, odd array<bigint>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, m: Measure, id_col: str, text_col: str) -> DataFrame:
@@ -169,7 +188,7 @@ def _tested(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
     right = sets.select(F.col("node").alias("b"), F.col(column).alias("of_b"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, SETS_TOGETHER):
             whole = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()], [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
             yield batch.select([0, 1]).filter(pa.array([test(x, y) for x, y in zip(*whole, strict=True)], pa.bool_()))
 
@@ -203,50 +222,65 @@ def _fits(m: Measure) -> Column:
     return sizes & overlap & whole
 
 
-def _heads(entries: DataFrame, seed: int) -> DataFrame:
-    """(v, other...): the leader of each list with several components: the node with the fewest rarer values.
+def _heads(entries: DataFrame, seed: int, drawn: bool = False) -> DataFrame:
+    """(v, other...): the leader of each list with several components: the node with the fewest rarer values, or one `drawn` by chance.
 
-    Edited copies have rare values of their own, so this is the original, or near it.
+    Edited copies have rare values of their own, so the former is the original, or near it.
     """
-    leader = F.min(F.struct("pos", F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "label"))
+    leader = F.min(F.struct((F.lit(0) if drawn else F.col("pos")).alias("first"), F.xxhash64("node", F.lit(seed), *(["v"] if drawn else [])).alias("h"), "node", "n", "pos", "label"))
     heads = entries.groupBy("v").agg(leader.alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     return heads.select("v", *[F.col(f"head.{c}").alias(f"other{'' if c == 'node' else '_' + c}") for c in ("node", "n", "pos", "label")])
 
 
-def _leader_pairs(entries: DataFrame, m: Measure, seed: int) -> DataFrame:
-    """(node, other): each node with one leader of another component, the one with which it shares most lists."""
-    met = entries.join(_heads(entries, seed), "v").where((F.col("label") != F.col("other_label")) & _fits(m))
+def _leader_pairs(entries: DataFrame, m: Measure, seed: int, drawn: bool = False, most: int = 1) -> DataFrame:
+    """(node, other): each node with the leader of another component with which it shares most lists, or with so many."""
+    met = entries.join(_heads(entries, seed, drawn), "v").where((F.col("label") != F.col("other_label")) & _fits(m))
     met = met.groupBy("node", "other").agg(F.count(F.lit(1)).alias("c"))
-    return met.groupBy("node").agg(F.max(F.struct("c", "other")).alias("best")).select("node", F.col("best.other").alias("other"))
+    best = Window.partitionBy("node").orderBy(F.desc("c"), F.desc("other"))  # a node meets as many leaders as it has lists, at most
+    return met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).select("node", "other")
 
 
 def _outside(entries: DataFrame, seed: int) -> DataFrame:
-    """The entries (v, node, n, pos, label) outside the component of their list's leader."""
-    return entries.join(_heads(entries, seed), "v").where("label <> other_label").select("v", "node", "n", "pos", "label")
+    """The entries outside the component of their list's leader."""
+    return entries.join(_heads(entries, seed), "v").where("label <> other_label").select(*entries.columns)
 
 
 def _all_pairs(mine: DataFrame, entries: DataFrame, m: Measure) -> DataFrame:
-    """(node, other): every node outside with everyone of another component in the list."""
-    others = entries.select("v", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("label").alias("other_label"))
-    return mine.join(others, "v").where((F.col("label") != F.col("other_label")) & _fits(m)).select("node", "other")
+    """(node, other): every node outside with everyone of another component in the list, if the list may be the first that both are in.
+
+    Where both have one of the values just before it, they have met already. At the
+    first value that two nodes share nothing before it is common, so each pair meets.
+    """
+    others = entries.select("v", *[F.col(c).alias("other" if c == "node" else f"other_{c}") for c in entries.columns if c != "v"])
+    met = (F.col("label") != F.col("other_label")) & _fits(m) & ~F.arrays_overlap("before", "other_before")
+    if "odd" in entries.columns:
+        # A place where the parities differ is taken by a value that one set alone has.
+        apart = sum((F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("other_odd")[k])) for k in range(PARITY)), F.lit(0))
+        met &= apart * (m.den + m.num) <= (F.col("n") + F.col("other_n")) * (m.den - m.num)
+    return mine.join(others, "v").where(met).select("node", "other")
 
 
 def _entries(lists: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
-    """(v, node, n, label, pos) of each node's lists, or of so many first or last of them; pos: the value's place by rarity in the node's sketch."""
-    rows = lists.select("node", "n", "own", "label", F.size("keys").alias("size"), F.posexplode("keys").alias("at", "v"))
+    """(v, node, n, label, before, pos, and odd where `lists` has it) of each node's lists, or of so many first or last of them.
+
+    pos: the value's place by rarity in the node's sketch; before: the last of the node's lists before this one.
+    """
+    more = [c for c in lists.columns if c == "odd"]
+    rows = lists.select("node", "n", "own", "label", "keys", *more, F.size("keys").alias("size"), F.posexplode("keys").alias("at", "v"))
     if first:
         rows = rows.where(F.col("at") < first)
     if last:
         rows = rows.where(F.col("at") >= F.col("size") - last)
-    return rows.select("v", "node", "n", "label", (F.col("own") + F.col("at") + 1).alias("pos"))
+    before = F.slice("keys", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE)))
+    return rows.select("v", "node", "n", "label", *more, before.alias("before"), (F.col("own") + F.col("at") + 1).alias("pos"))
 
 
-def _labelled(lists: DataFrame, found: DataFrame | None) -> DataFrame:
-    """`lists` with `label`: nodes with one label are linked by the links found. Not all that are linked have one: that only costs comparisons."""
+def _labelled(lists: DataFrame, found: DataFrame | None, whole: bool = False) -> DataFrame:
+    """`lists` with `label`: nodes with one label are linked by the links found. Not all that are linked have one, unless asked for: that only costs comparisons."""
     plain = lists.drop("label")
     if found is None:
         return plain.withColumn("label", F.col("node"))
-    joined = merged(found).groupBy("node").agg(F.min("component").alias("label"))
+    joined = (components if whole else merged)(found).groupBy("node").agg(F.min("component").alias("label"))
     # The named node itself has its own name.
     return cut(plain.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")))
 
@@ -255,12 +289,14 @@ def links(lists: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
     """(a, b): links that give the components of all near pairs."""
     spark, found = lists.sparkSession, None
 
-    def confirm(met: DataFrame) -> None:
+    def confirm(met: DataFrame) -> DataFrame:
         nonlocal found
-        pairs = cut(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a <> b"))
-        near = cut(confirmed(pairs, sets, m))
+        pairs = cut(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a <> b").distinct())
+        with batches_of(spark, SETS_TOGETHER):
+            near = cut(confirmed(pairs, sets, m))
         found = near if found is None else found.unionByName(near)
         release(spark)
+        return near
 
     # By the rarest lists, then by the most frequent.
     now = _labelled(lists, None)
@@ -270,18 +306,33 @@ def links(lists: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
     now = _labelled(lists, found)
     outside = cut(_outside(_entries(now), 2))
     size = outside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    confirm(_all_pairs(outside.join(size.where(F.col("c") <= OUTSIDE), "v", "left_semi"), _entries(now), m).distinct())
+    confirm(_all_pairs(outside.join(size.where(F.col("c") <= OUTSIDE), "v", "left_semi"), _entries(now), m))
     crowded = cut(_entries(now).join(size.where(F.col("c") > OUTSIDE), "v", "left_semi").select("node").distinct())
     if not crowded.isEmpty():
-        again = _by_rarity(larger_sketches(sets.join(crowded, "node", "left_semi"), m), m.larger)
+        with batches_of(spark, SETS_TOGETHER):
+            larger = cut(larger_sketches(sets.join(crowded, "node", "left_semi"), m))
+        again = cut(_by_rarity(larger, m.larger).join(larger.select("node", "odd"), "node"))
         release(spark)
-        now = _labelled(again, found)
-        confirm(_leader_pairs(_entries(now), m.larger, 3))
-        now = _labelled(again, found)
-        confirm(_all_pairs(_outside(_entries(now), 4), _entries(now), m.larger).distinct())
+        few = FEW_LINKS * again.count()
+        for k in range(LARGE_ROUNDS):
+            now = _labelled(again, found)
+            if confirm(_leader_pairs(_entries(now), m.larger, 3 + k, drawn=k > 0, most=LARGE_LEADERS)).count() <= few:
+                break
+        now = _labelled(again, found, whole=True)
+        confirm(_all_pairs(_outside(_entries(now), 2), _entries(now), m.larger))
     return found
 
 
+def _with_node(rows: DataFrame) -> DataFrame:
+    """(id, node, key) of (id, key): node is the smallest id of the key. The rows of the most frequent keys stay where they are."""
+    named = cut(rows.groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("rows")))
+    total = named.agg(F.sum("rows")).first()[0] or 0
+    hot = F.col("rows") * HOT_KEYS > total  # so fewer than HOT_KEYS keys
+    marked = rows.join(F.broadcast(named.where(hot).select("key", F.col("node").alias("hot_node"))), "key", "left")
+    apart = marked.where("hot_node IS NULL").drop("hot_node").join(named.where(~hot).drop("rows"), "key").select("id", "node", "key")
+    return apart.unionByName(marked.where("hot_node IS NOT NULL").select("id", F.col("hot_node").alias("node"), "key"))
+
+
 def near_duplicates(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (`id_col`, n_shingles, component_id, kept), one for each row of `docs`.
 
@@ -291,13 +342,14 @@ def near_duplicates(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_co
     kept: it is the row's own. Null, empty and blank texts have empty sets and are
     linked with nothing. Rows with a null id take no part: their component_id is
     null and they are kept. Rows that repeat an id are one document, which has the
-    links of each. An empty table gives no rows; other columns aren't read.
+    links of each. An empty table gives no rows; other columns aren't read. Very long
+    texts are taken whole. Ids are integers; another type of `id_col` raises TypeError.
     """
     spark = docs.sparkSession
+    integers(docs, id_col)
     all_rows = cut(sketches(docs, m, id_col, text_col))
     rows = all_rows.where("n > 0 AND id IS NOT NULL")
-    node_of = rows.groupBy("key").agg(F.min("id").alias("node"))
-    by_node = cut(rows.select("id", "key").join(node_of, "key").select("id", "node", "key"))
+    by_node = cut(_with_node(rows.select("id", "key")))
     own = by_node.where("id = node").select(F.col("id").alias("node"), "key").distinct()
     lists = listed(rows.withColumnRenamed("id", "node").join(own, ["node", "key"], "left_semi").select("node", "n", "sketch"), m)
     release(spark)

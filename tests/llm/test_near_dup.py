@@ -5,6 +5,7 @@ import random
 import pytest
 
 from lattica.operators.components import components
+from lattica.llm import near_dup
 from lattica.llm.near_dup import Measure, near_duplicates, one_of_each
 
 CONTRACT, PIPELINE = Measure(3, 85, 100), Measure(5, 80, 100)
@@ -107,6 +108,43 @@ def test_large_group_without_all_pairs(spark):
     assert {r["component_id"] for r in near_duplicates(df, CONTRACT).collect()} == {0}
 
 
+def copies_without_original(n, seed=3):
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(900)}" for _ in range(100)]
+    docs = []
+    for i in range(n):
+        new = list(base)
+        for _ in range(rnd.randrange(1, 5)):
+            new[rnd.randrange(100)] = f"w{rnd.randrange(900)}"
+        docs.append((i, " ".join(new)))
+    return docs
+
+
+def test_copies_without_original_match_brute_force(spark):
+    docs = copies_without_original(700)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert sorted(map(tuple, near_duplicates(df, CONTRACT).collect()), key=str) == brute(docs, CONTRACT)
+
+
+def test_pairs_met_grow_with_the_group_not_its_square(spark, monkeypatch):
+    met, plain = [], near_dup._all_pairs
+
+    def counted(*args):
+        out = near_dup.cut(plain(*args))
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "_all_pairs", counted)
+    df = spark.createDataFrame(copies_without_original(3000), "doc_id bigint, text string")
+    assert near_duplicates(df, CONTRACT).count() == 3000
+    assert sum(met) < 20 * 3000
+
+
+def test_ids_are_integers(spark):
+    with pytest.raises(TypeError):
+        near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"), CONTRACT)
+
+
 def test_components_of_a_long_chain(spark):
     n = 400
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000), (5000, 5000)], "a bigint, b bigint")
