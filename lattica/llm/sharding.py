@@ -17,6 +17,8 @@ from lattica.llm.common import cut
 
 SLOTS = 4096
 SEED = 20240229
+#: Parts of a slot whose rows are numbered apart.
+CELLS = 64
 
 
 @dataclass(frozen=True)
@@ -81,6 +83,16 @@ class SlotMap:
         rows = [(s, x, before.get(s), self.n_shards) for s, x in enumerate(self.shards)]
         spark.createDataFrame(rows, "slot int, shard int, moved_from int, n_shards int").coalesce(1).write.mode("error").parquet(f"{path}/version={self.version}")
 
+    @staticmethod
+    def latest(spark: SparkSession, path: str) -> int | None:
+        """The highest version that is stored whole at `path`; None if there is none."""
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            return None
+        names = [f.getPath().getName() for f in fs.listStatus(where) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        return max((int(n.removeprefix("version=")) for n in names if n.startswith("version=")), default=None)
+
     @staticmethod
     def load(spark: SparkSession, path: str, version: int) -> SlotMap:
         rows = sorted(spark.read.parquet(f"{path}/version={version}").collect())  # as many rows as slots
@@ -93,17 +105,17 @@ def record_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def hot_groups(sized: DataFrame, group_col: str, bytes_col: str, n_slots: int) -> DataFrame:
-    """Groups of several rows with more than a slot's share of all bytes or of all rows: fewer than two for each slot."""
-    total = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(bytes_col), F.lit(0)).alias("b")).first()
+def hot_groups(sized: DataFrame, group_col: str, bytes_col: str, n_shards: int) -> DataFrame:
+    """Groups of several rows with more bytes than half a shard's even share: fewer than two for each shard, whatever the table's size."""
+    total = sized.agg(F.coalesce(F.sum(bytes_col), F.lit(0)).alias("b")).first()["b"]
     sums = sized.groupBy(F.col(group_col).alias("__group")).agg(F.sum(bytes_col).alias("__b"), F.count(F.lit(1)).alias("__n"))
-    return sums.where((F.col("__n") > 1) & ((F.col("__b") * n_slots > total["b"]) | (F.col("__n") * n_slots > total["n"]))).select("__group")
+    return sums.where((F.col("__n") > 1) & (F.col("__b") * 2 * n_shards > total)).select("__group")
 
 
 def with_slots(rows: DataFrame, hot: DataFrame, id_col: str, group_col: str, out_col: str, n_slots: int = SLOTS, seed: int = SEED) -> DataFrame:
     """`rows` with the slot of each in `out_col`: rows of one group share a slot, but those of `hot` groups spread by id.
 
-    So a group of copies that holds a third of all rows still gives even shards.
+    So a group of copies that holds a third of all bytes still gives even shards.
     The broadcast is bounded, see `hot_groups`.
     """
     spread = rows.join(F.broadcast(hot), F.col(group_col) == F.col("__group"), "left")
@@ -111,18 +123,23 @@ def with_slots(rows: DataFrame, hot: DataFrame, id_col: str, group_col: str, out
     return spread.withColumn(out_col, F.pmod(key, F.lit(n_slots)).cast("int")).drop("__group")
 
 
-def slot_sums(slotted: DataFrame, slot_col: str, bytes_col: str) -> dict[int, tuple[int, int]]:
-    """Bytes and rows of each slot; at most as many entries as there are slots."""
-    sums = slotted.groupBy(slot_col).agg(F.sum(bytes_col).alias("b"), F.count(F.lit(1)).alias("n")).collect()
-    return {r[slot_col]: (r["b"], r["n"]) for r in sums}
+def slot_bytes(slotted: DataFrame, slot_col: str, bytes_col: str) -> dict[int, int]:
+    """Bytes of each slot; at most as many entries as there are slots."""
+    return {r[slot_col]: r["b"] for r in slotted.groupBy(slot_col).agg(F.sum(bytes_col).alias("b")).collect()}
 
 
-def _stored_maps(spark: SparkSession, sums: dict[int, tuple[int, int]], n_shards: int, n_slots: int, path: str) -> SlotMap:
-    """Stores the round-robin map and its rebalanced next version; returns the latter."""
-    before = SlotMap.fresh(n_shards, n_slots)
-    after = before.rebalanced({s: b for s, (b, _) in sums.items()})
-    for version in (before, after):
-        version.save(spark, path)
+def next_map(spark: SparkSession, sums: dict[int, int], n_shards: int, n_slots: int, path: str) -> SlotMap:
+    """The latest map stored at `path` (a round-robin one, stored as version 0, if there is none), edited for these bytes and stored as the next version."""
+    version = SlotMap.latest(spark, path)
+    if version is None:
+        now = SlotMap.fresh(n_shards, n_slots)
+        now.save(spark, path)
+    else:
+        now = SlotMap.load(spark, path, version)
+        if (now.n_shards, len(now.shards)) != (n_shards, n_slots):
+            raise ValueError(f"the map at {path} has {now.n_shards} shards and {len(now.shards)} slots")
+    after = now.rebalanced(sums)
+    after.save(spark, path)
     return after
 
 
@@ -130,28 +147,31 @@ def shard_rows(docs: DataFrame, n_shards: int, map_path: str, id_col: str = "doc
     """Rows (`id_col`, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version), one for each of `docs`.
 
     Shards get nearly equal bytes (the law is `bytes`; grown_shard is null): the
-    round-robin map, version 0, is rebalanced by the slots' bytes to version 1, and
-    both are stored below `map_path`. `slot` is the row's place in its shard,
-    gapless from 0: shards list their virtual slots in order, and these their rows
-    by id. Null texts have size 1 and a null checksum and count as one group, as
-    empty texts do; null ids come first in their slot; repeated rows are placed
-    each; an empty table gives no rows. Other columns of `docs` aren't read. Texts
-    are read once, whole, and never shuffled.
+    latest map stored below `map_path`, or a round-robin one, is rebalanced by the
+    slots' bytes and stored as the next version. Rows of equal text are in one shard,
+    unless together they have more bytes than half a shard's even share: then they
+    spread by id. `slot` is the row's place in its shard, gapless from 0: shards list
+    their virtual slots in order, and these their rows by a hash of the id and by id.
+    Null texts have size 1 and a null checksum and count as one group, as empty texts
+    do; null ids come first in their part of a slot; repeated rows are placed each;
+    very long texts count whole; an empty table gives no rows. Ids may be of any type
+    with an order. Other columns of `docs` aren't read. Texts are read once, whole,
+    and never shuffled.
     """
     sized = cut(docs.select(F.col(id_col), record_bytes(F.col(text_col)).alias("size"), F.crc32(F.col(text_col).cast("binary")).alias("text_crc32"), F.xxhash64(F.col(text_col)).alias("__text")))
-    hot = cut(hot_groups(sized, "__text", "size", n_slots))
-    slotted = with_slots(sized, hot, id_col, "__text", "virtual_slot", n_slots, seed)
-    sums = slot_sums(slotted, "virtual_slot", "size")
+    hot = cut(hot_groups(sized, "__text", "size", n_shards))
+    slotted = with_slots(sized, hot, id_col, "__text", "virtual_slot", n_slots, seed).withColumn("__cell", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(CELLS)).cast("int"))
+    # A row for each slot's cell that is taken: at most n_slots * CELLS, whatever the table's size.
+    cells = cut(slotted.groupBy("virtual_slot", "__cell").agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__b")))
+    sums = {r["virtual_slot"]: r["b"] for r in cells.groupBy("virtual_slot").agg(F.sum("__b").alias("b")).collect()}
     spark = docs.sparkSession
-    after = _stored_maps(spark, sums, n_shards, n_slots, map_path)
-    start, first = [0] * n_shards, []
-    for s, shard in enumerate(after.shards):
-        first.append((s, shard, start[shard]))
-        start[shard] += sums.get(s, (0, 0))[1]
-    places = F.broadcast(spark.createDataFrame(first, "virtual_slot int, shard int, __first long"))  # a row for each slot
-    in_slot = Window.partitionBy("virtual_slot").orderBy(F.col(id_col).asc_nulls_first(), "__text")
+    after = next_map(spark, sums, n_shards, n_slots, map_path)
+    shards = F.broadcast(spark.createDataFrame(list(enumerate(after.shards)), "virtual_slot int, shard int"))  # a row for each slot
+    in_shard = Window.partitionBy("shard").orderBy("virtual_slot", "__cell")
+    first = F.broadcast(cells.join(shards, "virtual_slot").select("virtual_slot", "__cell", "shard", (F.sum("__n").over(in_shard) - F.col("__n")).alias("__first")))
+    in_cell = Window.partitionBy("virtual_slot", "__cell").orderBy(F.col(id_col).asc_nulls_first(), "__text")
     return (
-        slotted.withColumn("__at", F.row_number().over(in_slot)).join(places, "virtual_slot")
+        slotted.withColumn("__at", F.row_number().over(in_cell)).join(first, ["virtual_slot", "__cell"])
         .select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__first") + F.col("__at") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(after.version).alias("map_version"))
     )
 
@@ -159,13 +179,13 @@ def shard_rows(docs: DataFrame, n_shards: int, map_path: str, id_col: str = "doc
 def assign_shards(docs: DataFrame, n_shards: int, map_path: str, id_col: str = "doc_id", text_col: str = "text", n_slots: int = SLOTS, seed: int = SEED) -> DataFrame:
     """`docs` with its columns and `shard`, by the same law and map as `shard_rows`; texts are not shuffled.
 
-    A column of `docs` named `shard` is replaced. Null, empty and repeated rows as in `shard_rows`.
+    A column of `docs` named `shard` is replaced. Null, empty, very long and repeated rows as in `shard_rows`.
     """
     keyed = docs.drop("shard").withColumn("__size", record_bytes(F.col(text_col))).withColumn("__text", F.xxhash64(F.col(text_col)))
     light = cut(keyed.select(id_col, "__size", "__text"))
-    hot = cut(hot_groups(light, "__text", "__size", n_slots))
-    sums = slot_sums(with_slots(light, hot, id_col, "__text", "__slot", n_slots, seed), "__slot", "__size")
-    after = _stored_maps(docs.sparkSession, sums, n_shards, n_slots, map_path)
+    hot = cut(hot_groups(light, "__text", "__size", n_shards))
+    sums = slot_bytes(with_slots(light, hot, id_col, "__text", "__slot", n_slots, seed), "__slot", "__size")
+    after = next_map(docs.sparkSession, sums, n_shards, n_slots, map_path)
     places = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(after.shards)), "__slot int, shard int"))  # a row for each slot
     slotted = with_slots(keyed, hot, id_col, "__text", "__slot", n_slots, seed)
     return slotted.join(places, "__slot").select(*[c for c in docs.columns if c != "shard"], "shard")

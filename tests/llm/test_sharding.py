@@ -37,13 +37,72 @@ def test_hot_groups_nulls_and_repeats(spark, tmp_path):
     for r in rows:
         if r["size"] > 1 and r["text_crc32"] != zlib.crc32(("copy " * 30).encode()):
             kept.setdefault(r["text_crc32"], set()).add(r["shard"])
-    assert all(len(s) == 1 for s in kept.values())  # small groups of copies stay together
+    assert all(len(s) == 1 for s in kept.values())  # groups of copies stay together, but hot ones
     assert len({r["shard"] for r in rows if r["size"] == 151}) == 8
     again = assign_shards(df, 8, str(tmp_path / "b"))
     assert again.columns == ["doc_id", "text", "slot", "shard"]
     assert Counter((r["doc_id"], r["shard"]) for r in again.collect()) == Counter((r["doc_id"], r["shard"]) for r in rows)
 
 
+def test_equal_texts_share_a_shard_at_every_size(spark, tmp_path):
+    """Whatever the table's size, the same share of it decides whether a group spreads."""
+    for n in (300, 3000):
+        docs = [(i, f"copy {i % 40} " * 20) for i in range(n // 3)] + [(n + i, f"text {i} " * 40) for i in range(n)]
+        df = spark.createDataFrame(docs, "doc_id bigint, text string")
+        shards = {}
+        for r in shard_rows(df, 8, str(tmp_path / str(n))).collect():
+            shards.setdefault(r["text_crc32"], set()).add(r["shard"])
+        assert all(len(s) == 1 for s in shards.values())
+
+
+def test_documents_of_equal_text_share_a_shard(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = op1_shards(spark, sf).collect()
+    total, by = sum(r["size"] for r in rows), {}
+    for r in rows:
+        by.setdefault((r["text_crc32"], r["size"]), []).append(r["shard"])
+    assert max(map(len, by.values())) > 1
+    for (_, size), shards in by.items():
+        assert len(set(shards)) == 1 or size * len(shards) * 16 > total
+
+
+def test_map_is_the_plain_greedy_one(spark, tmp_path):
+    """The shards, from the rows' slots alone: one slot at a time from the fullest shard to the emptiest."""
+    docs = [(i, "w " * (i * 37 % 211)) for i in range(2000)]
+    rows = shard_rows(spark.createDataFrame(docs, "doc_id bigint, text string"), 5, str(tmp_path / "m"), n_slots=64).collect()
+    size = Counter()
+    for r in rows:
+        size[r["virtual_slot"]] += r["size"]
+    now = {s: s % 5 for s in range(64)}
+    while True:
+        total = [sum(size[s] for s in now if now[s] == k) for k in range(5)]
+        full, empty = max(range(5), key=lambda k: (total[k], -k)), min(range(5), key=lambda k: (total[k], k))
+        gap = total[full] - total[empty]
+        fit = [s for s in now if now[s] == full and 0 < size[s] < gap]
+        if not fit:
+            break
+        below, above = [s for s in fit if size[s] <= gap // 2], [s for s in fit if size[s] > gap // 2]
+        near = [max(below, key=lambda s: (size[s], s))] if below else []
+        near += [min(above, key=lambda s: (size[s], s))] if above else []
+        now[min(near, key=lambda s: (abs(2 * size[s] - gap), s))] = empty
+    assert {r["virtual_slot"]: r["shard"] for r in rows} == {s: now[s] for s in size}
+
+
+def test_stored_map_is_edited_again(spark, tmp_path):
+    path = str(tmp_path / "maps")
+    one = spark.createDataFrame([(i, "a " * (i % 97)) for i in range(900)], "doc_id bigint, text string")
+    more = one.unionByName(spark.createDataFrame([(900 + i, "b " * (i % 13) + str(i)) for i in range(900)], "doc_id bigint, text string"))
+    assert {r["map_version"] for r in shard_rows(one, 4, path).collect()} == {1}
+    rows = shard_rows(more, 4, path).collect()
+    first, second = SlotMap.load(spark, path, 1), SlotMap.load(spark, path, SlotMap.latest(spark, path))
+    assert second.version == 2 and {r["map_version"] for r in rows} == {2}
+    moved = {s for s, _, _ in second.edits}
+    assert 0 < len(moved) < 2000 and all(first.shards[s] == second.shards[s] for s in range(4096) if s not in moved)
+    assert {r["shard"] for r in rows if r["virtual_slot"] not in moved} <= {0, 1, 2, 3} and all(second.shards[r["virtual_slot"]] == r["shard"] for r in rows)
+    with pytest.raises(ValueError):
+        shard_rows(one, 5, path)
+
+
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert shard_rows(df, 8, str(tmp_path / "a")).collect() == []
