@@ -11,13 +11,17 @@ best are merged.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.llm.common import integers
+
 #: Vectors in a packed shard; with 64 components, 1 MB.
 SHARD_ROWS = 2048
 #: Queries that meet a shard together.
@@ -34,26 +38,31 @@ LONG_MAX, LONG_MIN = 2**63 - 1, -(2**63)
 Found = list[tuple[int, int]]
 
 
+def whole(rows: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x), infinite where a double can't hold it."""
+    with np.errstate(over="ignore"):
+        return np.floor(rows * scale)
+
+
+def whole_exactly(row: np.ndarray, scale: float) -> list[int]:
+    """floor(scale * x) of finite components as Python's integers."""
+    return [math.floor(y) if math.isfinite(y := x * scale) else math.floor(Fraction(x) * Fraction(scale)) for x in row.tolist()]
+
+
 class Shard:
     """Vectors of one shard, column by column, with the bounds of each column."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        first = {(i, r.tobytes()): k for k, (i, r) in enumerate(zip(ids.tolist(), rows, strict=True))} if len(np.unique(ids)) < len(ids) else None
-        if first is not None:  # of rows that repeat an id and vector one counts
-            at = np.array(sorted(first.values()))
-            ids, rows = ids[at], rows[at]
-        self.ids, self.rows = ids, rows
-        #: One row of each id: so many have different places in a ranking.
-        self.single = np.unique(ids, return_index=True)[1]
-        self.columns = np.ascontiguousarray(rows.T)  # the postings of each term
-        self.low, self.high = rows.min(axis=0), rows.max(axis=0)
-        self.top = float(np.abs(rows).max(initial=0.0))
-
-    def best(self, query_id: int, query: np.ndarray, k: int, known: Found) -> Found:
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, scale: float):
+        self.ids, self.raw, self.scale, self.rows = ids, raw, scale, whole(raw, scale)
+        self.columns = np.ascontiguousarray(self.rows.T)  # the postings of each term
+        self.low, self.high = self.rows.min(axis=0), self.rows.max(axis=0)
+        self.top = float(np.abs(self.rows).max(initial=0.0))
+
+    def best(self, query_id: int, raw: np.ndarray, k: int, known: Found) -> Found:
         """The query's k best rows here that can still enter its k best `known`."""
-        n, width = self.rows.shape
-        if self.top * float(np.abs(query).max(initial=0.0)) * max(1, width) >= 2**53:
-            return self._in_integers(query_id, query, k)
+        query, width = whole(raw, self.scale), self.rows.shape[1]
+        if max(self.top, 1.0) * max(float(np.abs(query).max(initial=0.0)), 1.0) * max(1, width) >= 2**53:
+            return self._in_integers(query_id, raw, k)
         beat = -known[-1][0] if len(known) >= k else self._seed(query_id, query, k)
         least, most = np.minimum(query * self.low, query * self.high), np.maximum(query * self.low, query * self.high)
         gain = most - least
@@ -75,23 +84,23 @@ class Shard:
             probe = terms[at : at + PROBE]
             score = score + query[probe] @ self.columns[np.ix_(probe, alive)]
             at += PROBE
-        if len(score) > 4 * k and len(self.single) == len(self.ids):  # only ties with the k-th need their ids compared
+        if len(score) > 4 * k:  # only ties with the k-th need their ids compared
             keep = score >= np.partition(score, len(score) - k)[len(score) - k]
             alive, score = alive[keep], score[keep]
-        return sorted(set(zip((-score).astype(np.int64).tolist(), self.ids[alive].tolist(), strict=True)))[:k]
+        return sorted(zip((-score).astype(np.int64).tolist(), self.ids[alive].tolist(), strict=True))[:k]
 
     def _seed(self, query_id: int, query: np.ndarray, k: int) -> float | None:
         """A score that k rows here reach, or None."""
-        some = self.single[np.unique(np.linspace(0, len(self.single) - 1, min(len(self.single), SEED_ROWS)).astype(np.int64))]
+        some = np.unique(np.linspace(0, len(self.ids) - 1, min(len(self.ids), SEED_ROWS)).astype(np.int64))
         some = some[self.ids[some] != query_id]
         return float(np.sort(self.rows[some] @ query)[-k]) if len(some) >= k else None
 
-    def _in_integers(self, query_id: int, query: np.ndarray, k: int) -> Found:
+    def _in_integers(self, query_id: int, raw: np.ndarray, k: int) -> Found:
         """Where floats would round: every row scored in Python's integers."""
-        whole = [int(x) for x in query.tolist()]
+        query = whole_exactly(raw, self.scale)
         held = lambda s: min(LONG_MAX, max(LONG_MIN, s))
-        scores = (held(sum(a * int(b) for a, b in zip(whole, r, strict=True))) for r in self.rows.tolist())
-        return sorted({(-s, i) for s, i in zip(scores, self.ids.tolist(), strict=True) if i != query_id})[:k]
+        scores = (held(sum(a * b for a, b in zip(query, whole_exactly(r, self.scale), strict=True))) for r in self.raw)
+        return sorted((-s, i) for s, i in zip(scores, self.ids.tolist(), strict=True) if i != query_id)[:k]
 
 
 def _pack(limit: int, width: int):
@@ -103,7 +112,7 @@ def _pack(limit: int, width: int):
                 part = batch.slice(lo, limit)
                 lists = part.column(1)
                 lengths = np.diff(lists.offsets.to_numpy())
-                flat = np.floor(lists.flatten().to_numpy(zero_copy_only=False))
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
                 block = np.zeros((len(lists), width))
                 within = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 block[np.repeat(np.arange(len(lists)), lengths), within] = flat
@@ -117,27 +126,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     """Rows (query_id, rank, vec_id, score): each query's `k` best rows by inner product of floor(scale * x).
 
     `is_query` is a boolean column over `vectors` that states the query set; every
-    row but those with the query's own id is a candidate. Fewer than `k` candidates
-    give as many rows; equal scores go to the smaller id. Rows whose id or vector is
-    null, or whose vector holds a null, NaN or infinity, take no part; shorter
-    vectors count as padded with zeros, so an empty one scores 0. Of rows that
-    repeat an id and vector one counts; a query id with several vectors is asked
-    with each, and their rows compete for its k places. Scores beyond a long are
-    held at its ends. Empty tables give no rows; other columns aren't read.
+    row but those with the query's own id is a candidate, repeated rows each. Fewer
+    than `k` candidates give as many rows; equal scores go to the smaller id. Rows
+    whose id or vector is null, or whose vector holds a null, NaN or infinity, take no
+    part; finite components count however large. Shorter vectors count as padded with
+    zeros, so an empty one scores 0; long ones widen all. A query row that repeats an
+    id and vector is asked once; an id with several vectors is asked with each, and
+    their rows compete for its k places. Scores beyond a long are held at its ends.
+    Empty tables give no rows; other columns aren't read. Ids are integers; another
+    type of `id_col` raises TypeError.
 
     Rows are packed into shards, queries into blocks, and each block meets each
     shard in a join on the shard's number. A task carries a query's k-th best score
     from shard to shard as the score to beat and hands on k rows of a query.
     """
-    x = F.col(vector_col)
-    whole = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: v.cast("double") * F.lit(scale)).alias("v"), is_query.alias("asked"))
-    sound = whole.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    integers(vectors, id_col)
+    taken = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asked"))
+    sound = taken.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
     size = sound.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.count_if("asked").alias("asked")).first()
     n, width = size["n"], size["width"] or 1
     n_shards = max(1, -(-n // (4 * shard_rows)))  # a few packed shards to each number
     packed = "ids binary, block binary"
     shards = sound.select("id", "v").mapInArrow(_pack(shard_rows, width), packed).select(F.pmod(F.xxhash64("ids"), F.lit(n_shards)).alias("shard"), F.col("ids").alias("s_ids"), F.col("block").alias("s_block"))
-    asked = sound.where("asked").select("id", "v").repartition(max(1, size["asked"] // query_rows), "id").mapInArrow(_pack(query_rows, width), packed)
+    asked = sound.where("asked").select("id", "v").distinct().repartition(max(1, size["asked"] // query_rows), "id").mapInArrow(_pack(query_rows, width), packed)
     asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard"), F.col("ids").alias("q_ids"), F.col("block").alias("q_block"))
     met = shards.join(asked, "shard").select("s_ids", "s_block", "q_ids", "q_block")
 
@@ -148,17 +159,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
             for s_ids, s_block, q_ids, q_block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last != s_ids:
                     ids = np.frombuffer(s_ids, np.int64)
-                    last, shard = s_ids, Shard(ids, np.frombuffer(s_block).reshape(len(ids), width))
+                    last, shard = s_ids, Shard(ids, np.frombuffer(s_block).reshape(len(ids), width), scale)
                 asked_ids = np.frombuffer(q_ids, np.int64)
                 for q, query in zip(asked_ids.tolist(), np.frombuffer(q_block).reshape(len(asked_ids), width), strict=True):
                     known = held.get(q, [])
-                    held[q] = sorted({*known, *shard.best(q, query, k, known)})[:k]
+                    held[q] = sorted([*known, *shard.best(q, query, k, known)])[:k]
                 if len(held) > HELD_QUERIES:
                     yield _out(held)
                     held = {}
         yield _out(held)
 
-    found = met.mapInArrow(rows, "query_id bigint, score bigint, vec_id bigint").distinct()
+    found = met.mapInArrow(rows, "query_id bigint, score bigint, vec_id bigint")
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

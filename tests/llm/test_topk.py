@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -9,17 +10,17 @@ from lattica.llm.topk import top_k
 
 
 def brute(rows, k):
-    sound = [(i, [math.floor(1024 * x) for x in v]) for i, v in dict.fromkeys((i, tuple(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v))]
+    sound = [(i, tuple(math.floor(1024 * Fraction(x)) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in sound:
+    for q, a in dict.fromkeys(sound):
         if q % 100 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in sound if i != q)[:k]
+            scores = sorted((max(-(2**63) + 1, min(2**63, -sum(x * y for x, y in zip(a, b)))), i) for i, b in sound if i != q)[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
     return sorted(out)
 
 
-def run(spark, rows, **options):
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("x"))
+def run(spark, rows, kind="float", **options):
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>").withColumn("score", F.lit("x"))
     return sorted(map(tuple, top_k(df, F.col("vec_id") % 100 == 0, **options).collect()))
 
 
@@ -39,13 +40,27 @@ def test_unsound_short_and_few_vectors(spark):
     assert top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), F.col("vec_id") % 100 == 0).collect() == []
 
 
-def test_repeated_rows_count_once(spark):
+def test_repeated_rows_count_each(spark):
     rnd = random.Random(8)
     rows = [(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(400)]
     best = max(rows[1:], key=lambda r: sum(a * b for a, b in zip(r[1], rows[0][1])))
-    assert run(spark, rows + [best] * 60) == brute(rows, 10)
+    got = run(spark, rows + [best] * 60)
+    assert got == brute(rows + [best] * 60, 10) and [r[2] for r in got if r[0] == 0] == [best[0]] * 10
+    assert run(spark, rows + [rows[0]] * 3) == brute(rows + [rows[0]] * 3, 10)  # asked once
 
 
 def test_large_components_are_exact(spark):
     rows = [(0, [1e6, 2.0**-10])] + [(i, [1e6, i * 2.0**-10]) for i in range(1, 15)]
     assert run(spark, rows, k=3) == brute(rows, 3)
+
+
+def test_finite_components_beyond_a_scaled_double(spark):
+    rows = [(0, [1e307, 0.0]), (1, [1.0, 2.0]), (2, [-1.0, 2.0]), (3, [0.0, 5.0]), (100, [1e307, -2e306]), (4, [1.0, 5.0]), (5, [1.0, 5.1])]
+    got = run(spark, rows, kind="double")
+    assert got == brute(rows, 10) and {r[0] for r in got} == {0, 100}
+
+
+def test_many_components(spark):
+    rnd = random.Random(1)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(3000)]) for i in (0, 1, 2)] + [(3, [1.0])]
+    assert run(spark, rows) == brute(rows, 10)
