@@ -18,7 +18,7 @@ from lattica.llm.common import cut
 SLOTS = 4096
 SEED = 20240229
 #: Parts of a slot whose rows are numbered apart.
-CELLS = 64
+CELLS = 16
 
 
 @dataclass(frozen=True)
