@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from lattica.runtime import cut, release, shared_dir
 
-__all__ = ["batches_of", "cut", "integers", "pieces", "release", "shared_dir", "table"]
+__all__ = ["batches_of", "claim", "cut", "integers", "pieces", "release", "shared_dir", "table"]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -21,6 +21,18 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(lo, rows)
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, drop: Callable[[], None]) -> None:
+    """Says that `owner` keeps tables in this process until another owner claims it; theirs are dropped first, as workers live on from stage to stage."""
+    if owner not in _HELD:
+        for other in _HELD.values():
+            other()
+        _HELD.clear()
+        _HELD[owner] = drop
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Hands Python workers so many rows at a time in what is computed inside; for rows that may be large."""

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.llm.common import claim, pieces
+
 #: Sample bound: labelled rows of each language that training reads, in expectation.
 MAX_DOCS_PER_LANG = 500
 #: Sample bound: each language's most frequent words of those rows that training keeps.
@@ -30,7 +32,7 @@ EM_ROUNDS = 3
 #: Added to each piece's expected count.
 SMOOTHING = 0.05
 #: Words whose scores a worker keeps; the table is emptied when it is full.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 CACHE_CHARS = 64
 #: Words up to this length are scored many at a time; no product of so many probabilities underflows.
 TOGETHER_CHARS = 32
@@ -353,8 +355,16 @@ class Scorer:
 _SCORERS: dict[bytes, Scorer] = {}
 
 
+def _drop_tables() -> None:
+    for kept in (_SCORERS, _ROWS):
+        kept.clear()
+    for made in (piece_tree, piece_table):
+        made.cache_clear()
+
+
 def scorer(model: LanguageModel) -> Scorer:
     """The process's scorer for a model, so that tasks share the words met."""
+    claim("language", _drop_tables)
     name = hashlib.blake2b(model.probability.tobytes() + repr((model.vocabulary, model.languages)).encode()).digest()
     if name not in _SCORERS:
         _SCORERS.clear()
@@ -379,7 +389,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", carry
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(LanguageModel(*shared.value))
-        for batch in batches:
+        for batch in pieces(batches):
             got = list(own.texts(batch.column(carry_n).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:carry_n], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*carry, "lang_pred", "score"])
 

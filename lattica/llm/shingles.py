@@ -7,8 +7,10 @@ import hashlib
 import numpy as np
 import xxhash
 
+from lattica.llm.common import claim
+
 #: Words whose hashes a worker keeps; the table is emptied when it is full.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 CACHE_BYTES = 64
 _FOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -37,6 +39,7 @@ def words_of(text: str | bytes | None) -> list[bytes]:
 
 
 def word_hashes(text: str | bytes | None) -> np.ndarray:
+    claim("shingles", KNOWN.clear)
     words = words_of(text)
     return np.fromiter(map(KNOWN.__getitem__, words), np.uint64, len(words))
 
