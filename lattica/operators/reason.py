@@ -60,7 +60,7 @@ RULES: tuple[Rule, ...] = (
 )
 
 #: Lists that the rules read, and the predicate of their flattened form.
-LISTS = {"owl:intersectionOf": "_:intersection", "owl:unionOf": "_:union", "owl:oneOf": "_:oneof", "owl:propertyChainAxiom": "_:chain", "owl:hasKey": "_:key", "owl:members": "_:members"}
+LISTS = {"owl:intersectionOf": "_:intersection", "owl:unionOf": "_:union", "owl:oneOf": "_:oneof", "owl:propertyChainAxiom": "_:chain", "owl:hasKey": "_:key", "owl:members": "_:members", "owl:distinctMembers": "_:members"}
 
 
 def list_members(triples: DataFrame) -> DataFrame:
@@ -92,10 +92,11 @@ def rewritten(triples: DataFrame, same: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Closure:
-    """Triples over representatives, and the components of equal individuals (node, component)."""
+    """Triples over representatives, the components of equal individuals (node, component), and the asserted lists (holder, p, place, item)."""
 
     triples: DataFrame
     same: DataFrame
+    members: DataFrame | None = None
 
     def expanded(self) -> DataFrame:
         """All entailed triples over all names, sameAs between different names included."""
@@ -152,13 +153,17 @@ def _list_rules(members: DataFrame):
                 step = chain.where(F.col("place") == k + 1).join(known, "p").select("q", F.col("s").alias("at"), F.col("o").alias("to"))
                 walk = walk.join(step, ["q", "at"]).select("q", "u", F.col("to").alias("at"), F.lit(k + 1).alias("place")).distinct()
         if "owl:hasKey" in lengths:
-            key = own["owl:hasKey"].select(F.col("holder").alias("c"), F.col("item").alias("p")).distinct()
-            need = key.groupBy("c").agg(F.count(F.lit(1)).alias("need"))
-            users = matched(known, ("?x", TYPE, "?c")).join(key, "c").join(known.select(F.col("s").alias("x"), "p", F.col("o").alias("v")), ["x", "p"])
-            # With one value for each property its values are a name; individuals with several are keyed by each least value.
-            named = users.groupBy("c", "x").agg(F.countDistinct("p").alias("n"), F.sort_array(F.collect_set(F.struct("p", "v"))).alias("k")).join(need, "c").where("n = need")
-            least = named.groupBy("c", "k").agg(F.min("x").alias("least"))
-            out.append(named.join(least, ["c", "k"]).where("x <> least").select(F.col("x").alias("s"), F.lit(SAME).alias("p"), F.col("least").alias("o")))
+            key = own["owl:hasKey"].select(F.col("holder").alias("c"), "place", F.col("item").alias("p"))
+            last = key.groupBy("c").agg(F.max("place").alias("last"))
+            users = matched(known, ("?x", TYPE, "?c")).join(key, "c").join(known.select(F.col("s").alias("x"), "p", F.col("o").alias("v")), ["x", "p"]).select("c", "x", "place", "v")
+            # A choice of one value for each property is a name; an individual has as many as its values combine to, one mostly.
+            named = users.where("place = 0").select("c", "x", F.array("v").alias("k"))
+            for k in range(lengths["owl:hasKey"]):
+                whole = named.join(last.where(F.col("last") == k), "c").select("c", "x", "k")
+                least = whole.groupBy("c", "k").agg(F.min("x").alias("least"))
+                out.append(whole.join(least, ["c", "k"]).where("x <> least").select(F.col("x").alias("s"), F.lit(SAME).alias("p"), F.col("least").alias("o")))
+                step = users.where(F.col("place") == k + 1).drop("place")
+                named = named.join(step, ["c", "x"]).select("c", "x", F.array_append("k", F.col("v")).alias("k"))
         return out
 
     return extra if lengths else None
@@ -189,7 +194,7 @@ def closure(triples: DataFrame, rules: tuple[Rule, ...] = RULES) -> Closure:
         found = not more.isEmpty()
         if not found:
             inner = [f for f in LISTS.values()]
-            return Closure(cut(known.where(~F.col("p").isin(inner) & (F.col("p") != SAME))), same)
+            return Closure(cut(known.where(~F.col("p").isin(inner) & (F.col("p") != SAME))), same, members)
         # Links between representatives join the components that they stand for.
         links = cut(links.unionByName(more).distinct())
 
@@ -248,9 +253,51 @@ def inconsistencies(closed: Closure) -> DataFrame:
     denied = matched(t, ("?n", "owl:sourceIndividual", "?s")).join(matched(t, ("?n", "owl:assertionProperty", "?p")), "n")
     targets = matched(t, ("?n", "owl:targetIndividual", "?o")).unionByName(matched(t, ("?n", "owl:targetValue", "?o")))
     against = t.select(SPO).join(denied.join(targets, "n").select(SPO), SPO, "left_semi").select(F.lit("prp-npa").alias("rule"), *SPO)
-    none = t.where(F.col("p").isin("owl:maxCardinality", "owl:maxQualifiedCardinality") & F.col("o").startswith('"0"')).select(F.col("s").alias("r")).distinct()
-    zero = matched(t, ("?s", TYPE, "?r")).join(none, "r").join(matched(t, ("?r", "owl:onProperty", "?p")), "r").join(t.select(SPO), ["s", "p"]).select(F.lit("cls-maxc1").alias("rule"), *SPO)
+    none = t.where(F.col("p").isin("owl:maxCardinality", "owl:maxQualifiedCardinality") & F.col("o").startswith('"0"')).select(F.col("s").alias("r"), (F.col("p") == "owl:maxCardinality").alias("any")).distinct()
+    held = matched(t, ("?s", TYPE, "?r")).join(none, "r").join(matched(t, ("?r", "owl:onProperty", "?p")), "r").join(t.select(SPO), ["s", "p"])
+    zero = held.where("any").select(F.lit("cls-maxc1").alias("rule"), *SPO)
+    counted = held.where("NOT any").join(matched(t, ("?r", "owl:onClass", "?c")), "r")
+    of_class = counted.join(t.where(F.col("p") == TYPE).select(F.col("s").alias("o"), F.col("o").alias("c")), ["o", "c"], "left_semi").select(F.lit("cls-maxqc1").alias("rule"), *SPO)
+    of_any = counted.where(F.col("c") == "owl:Thing").select(F.lit("cls-maxqc2").alias("rule"), *SPO)
     out = both
-    for part in (nothing, loops, asym, shared, differ, against, zero):
+    for part in (nothing, loops, asym, shared, differ, against, zero, of_class, of_any, ill_typed(t), *(_among_members(closed) if closed.members is not None else [])):
         out = out.unionByName(part)
     return out.distinct()
+
+
+#: Forms of literals of a datatype, as XML Schema has them.
+LEXICAL = {
+    "integer": r"[+-]?\d+", "decimal": r"[+-]?(\d+(\.\d*)?|\.\d+)", "boolean": r"true|false|0|1",
+    "double": r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[+-]?INF|NaN", "float": r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[+-]?INF|NaN",
+    "nonNegativeInteger": r"\+?\d+|-0+", "positiveInteger": r"\+?0*[1-9]\d*", "date": r"-?\d{4,}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])(Z|[+-]\d\d:\d\d)?",
+    "dateTime": r"-?\d{4,}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]\d\d:\d\d)?",
+}
+
+
+def ill_typed(t: DataFrame) -> DataFrame:
+    """(rule, s, p, o) of literals that are none of their datatype (dt-not-type)."""
+    kind, text = F.regexp_extract("o", r"\^\^<?(?:xsd:|http://www\.w3\.org/2001/XMLSchema#)(\w+)>?$", 1), F.regexp_extract("o", r'(?s)^"(.*)"\^\^[^"]*$', 1)
+    bad = F.lit(False)
+    for name, form in LEXICAL.items():
+        bad = bad | ((kind == name) & ~F.rlike(text, F.lit(f"^({form})$")))
+    return t.where(F.startswith(F.col("o"), F.lit('"')) & F.contains("o", F.lit("^^")) & bad).select(F.lit("dt-not-type").alias("rule"), *SPO)
+
+
+def _among_members(closed: Closure) -> list[DataFrame]:
+    """What breaks lists of individuals that differ (eq-diff2, eq-diff3), of disjoint classes (cax-adc) and of disjoint properties (prp-adp).
+
+    Counts by list and place, not pairs: a row for each fact that breaks it.
+    """
+    t = closed.triples
+    lists = _rep(closed.members.withColumnRenamed("p", "by"), closed.same, ["holder", "item"]).select(F.col("r_holder").alias("holder"), "by", "item", F.col("r_item").alias("rep")).distinct()
+    of = lambda kind: lists.join(matched(t, ("?holder", TYPE, kind)).distinct(), "holder", "left_semi")
+    apart = of("owl:AllDifferent")
+    merged = apart.groupBy("holder", "by", "rep").agg(F.countDistinct("item").alias("n")).where("n > 1")
+    rule = F.when(F.col("by") == "owl:members", "eq-diff2").otherwise("eq-diff3").alias("rule")
+    equal = apart.join(merged.select("holder", "by", "rep"), ["holder", "by", "rep"]).where("item <> rep").select(rule, F.col("item").alias("s"), F.lit(SAME).alias("p"), F.col("rep").alias("o"))
+    classes = of("owl:AllDisjointClasses").select("holder", F.col("rep").alias("c")).distinct().join(matched(t, ("?x", TYPE, "?c")).distinct(), "c")
+    several = classes.groupBy("holder", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    both = classes.join(several, ["holder", "x"]).select(F.lit("cax-adc").alias("rule"), F.col("x").alias("s"), F.lit(TYPE).alias("p"), F.col("c").alias("o"))
+    props = of("owl:AllDisjointProperties").select("holder", F.col("rep").alias("p")).distinct().join(t.select(SPO).distinct(), "p")
+    shared = props.groupBy("holder", "s", "o").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return [equal, both, props.join(shared, ["holder", "s", "o"]).select(F.lit("prp-adp").alias("rule"), *SPO)]

@@ -69,9 +69,19 @@ def joined(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def consequences(r: Rule, sources: list[DataFrame]) -> DataFrame:
-    """Heads of a rule, the k-th pattern of whose body is matched in the k-th of `sources`."""
-    parts = [matched(t, atom) for t, atom in zip(sources, r.body, strict=True)]
+def _of_schema(atom: Pattern) -> bool:
+    """Whether only statements about classes and properties match: few, however many the facts are."""
+    return atom[1].startswith(("rdfs:", "owl:", "_:")) or atom[1] == "rdf:type" and atom[2].startswith(("rdfs:", "owl:"))
+
+
+def consequences(r: Rule, sources: list[DataFrame], new: int | None = None) -> DataFrame:
+    """Heads of a rule, the k-th pattern of whose body is matched in the k-th of `sources`.
+
+    Statements of the schema are joined first, then the `new` source, then all facts:
+    so facts are never joined with facts before the schema has picked among them.
+    """
+    order = sorted(range(len(r.body)), key=lambda k: (not _of_schema(r.body[k]), k != new, k))
+    parts = [matched(sources[k], r.body[k]) for k in order]
     parts = [x.distinct() if len(x.columns) < 2 else x for x in parts]
     rows = joined(parts)
     for a, b in r.differ:
@@ -111,7 +121,7 @@ def fixpoint(triples: DataFrame, rules: Sequence[Rule], extra=None) -> DataFrame
             for k, atom in enumerate(r.body):
                 own = {(place, t) for place, t in enumerate(atom) if place and not t.startswith("?")}
                 if own <= fresh:
-                    found.append(consequences(r, [news if j == k else known for j in range(len(r.body))]))
+                    found.append(consequences(r, [news if j == k else known for j in range(len(r.body))], k))
         if extra is not None:
             found += [x.select(SPO) for x in (extra(known, news) or [])]
         if not found:

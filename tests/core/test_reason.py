@@ -127,3 +127,38 @@ def test_answer_gate(spark):
         8: ("warn", "pass", "pass", "warn"), 9: ("warn", "pass", "skipped", "warn"), 10: ("warn", "pass", "skipped", "warn"),
     }
     assert got[3]["hint"] == "ns:Keanu_Reeves" and got[8]["links_by_relation"] and got[7]["relation_known"] is False
+
+
+def listed(holder, by, *items):
+    cells = [f"_:{holder.strip('_:')}_{by[4:]}_{k}" for k in range(len(items))] + ["rdf:nil"]
+    out = [(holder, by, cells[0])]
+    for k, x in enumerate(items):
+        out += [(cells[k], "rdf:first", x), (cells[k], "rdf:rest", cells[k + 1])]
+    return out
+
+
+def closed_of(spark, rows):
+    return reason.closure(spark.createDataFrame(rows, "s string, p string, o string"))
+
+
+def test_keys_need_one_shared_value_for_each_property(spark):
+    t = [("ns:C", "rdf:type", "owl:Class"), *listed("ns:C", "owl:hasKey", "ns:p", "ns:q")]
+    has = {"a": ("12", "7"), "b": ("2", "78"), "c": ("3", "7"), "d": ("4", "8"), "e": ("1", ""), "f": ("9", "9"), "g": ("9", "9")}
+    for x, (p, q) in has.items():
+        t += [(f"ns:{x}", "rdf:type", "ns:C")] * (x != "g") + [(f"ns:{x}", "ns:p", f'"{v}"') for v in p] + [(f"ns:{x}", "ns:q", f'"{v}"') for v in q]
+    got = {(r["node"], r["component"]) for r in closed_of(spark, t).same.collect()}
+    assert got == {("ns:a", "ns:a"), ("ns:b", "ns:a")}  # c and d share a value of q alone; g is of no class with a key
+
+
+def test_inconsistent_lists_and_cardinalities(spark):
+    t = [("_:d", "rdf:type", "owl:AllDifferent"), *listed("_:d", "owl:members", "ns:a", "ns:b", "ns:c"), ("ns:a", "owl:sameAs", "ns:b")]
+    t += [("_:e", "rdf:type", "owl:AllDifferent"), *listed("_:e", "owl:distinctMembers", "ns:c", "ns:d")]
+    t += [("_:f", "rdf:type", "owl:AllDisjointClasses"), *listed("_:f", "owl:members", "ns:K", "ns:L", "ns:M"), ("ns:x", "rdf:type", "ns:K"), ("ns:x", "rdf:type", "ns:M"), ("ns:y", "rdf:type", "ns:L")]
+    t += [("_:g", "rdf:type", "owl:AllDisjointProperties"), *listed("_:g", "owl:members", "ns:p", "ns:q"), ("ns:x", "ns:p", "ns:y"), ("ns:x", "ns:q", "ns:y"), ("ns:x", "ns:q", "ns:c")]
+    t += [("ns:R", "owl:maxQualifiedCardinality", '"0"^^xsd:nonNegativeInteger'), ("ns:R", "owl:onProperty", "ns:r"), ("ns:R", "owl:onClass", "ns:K"), ("ns:u", "rdf:type", "ns:R"), ("ns:u", "ns:r", "ns:x"), ("ns:u", "ns:r", "ns:y")]
+    t += [("ns:u", "ns:age", '"old"^^xsd:integer'), ("ns:u", "ns:size", '"7"^^xsd:integer'), ("ns:u", "ns:day", '"2020-13-01"^^xsd:date')]
+    got = {tuple(r) for r in reason.inconsistencies(closed_of(spark, t)).collect()}
+    assert got == {
+        ("eq-diff2", "ns:b", "owl:sameAs", "ns:a"), ("cax-adc", "ns:x", "rdf:type", "ns:K"), ("cax-adc", "ns:x", "rdf:type", "ns:M"), ("prp-adp", "ns:x", "ns:p", "ns:y"), ("prp-adp", "ns:x", "ns:q", "ns:y"),
+        ("cls-maxqc1", "ns:u", "ns:r", "ns:x"), ("dt-not-type", "ns:u", "ns:age", '"old"^^xsd:integer'), ("dt-not-type", "ns:u", "ns:day", '"2020-13-01"^^xsd:date'),
+    }
\ No newline at end of file
