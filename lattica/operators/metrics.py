@@ -70,19 +70,23 @@ def binomial_p(b: int, c: int) -> float:
 def bootstrap(pairs: DataFrame, by: str, resamples: int = 10_000, seed: int = 0) -> DataFrame:
     """(by, mean_diff, low, high, p_value) of paired values (a, b): percentile interval and centred p-value.
 
-    A comparison's differences are one task's group: as many as its test items.
+    A resample draws as many differences as there are, with replacement: that is how
+    often each distinct difference comes, so differences are counted before they meet,
+    and a comparison's task holds a row for each distinct one.
     """
     kind = pairs.schema[by].dataType.simpleString()
 
     def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        diff = np.sort((group["a"] - group["b"]).to_numpy(float))
-        rng = np.random.default_rng(seed)
-        means = np.sort(np.array([diff[rng.integers(0, len(diff), len(diff))].mean() for _ in range(resamples)]))
-        observed = diff.mean()
+        group = group.sort_values("diff")
+        value, count = group["diff"].to_numpy(float), group["n"].to_numpy(np.int64)
+        rng, n, step = np.random.default_rng(seed), int(count.sum()), max(1, 2_000_000 // len(value))
+        means = np.sort(np.concatenate([rng.multinomial(n, count / n, min(step, resamples - k)) @ value / n for k in range(0, resamples, step)]))
+        observed = float(value @ count / n)
         p = float(np.mean(np.abs(means - observed) >= abs(observed) - 1e-15))
         return pd.DataFrame([(key[0], observed, means[int(0.025 * resamples)], means[int(0.975 * resamples)], min(1.0, p))], columns=[by, "mean_diff", "low", "high", "p_value"])
 
-    return pairs.select(by, "a", "b").groupBy(by).applyInPandas(one, f"`{by}` {kind}, mean_diff double, low double, high double, p_value double")
+    counted = pairs.groupBy(by, (F.col("a") - F.col("b")).alias("diff")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(by).applyInPandas(one, f"`{by}` {kind}, mean_diff double, low double, high double, p_value double")
 
 
 def summary(records: DataFrame, by: Sequence[str] = ("condition",)) -> DataFrame:

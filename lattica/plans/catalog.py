@@ -5,15 +5,18 @@ They run over whole tables of the star schema, seen as a graph (`triplify`).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions import terms, text
+from lattica.functions import code_facts, mutation, patches, terms, text
 from lattica.operators import audit, datasets, graph, metrics, reason, store
 from lattica.operators.components import components
 from lattica.plans import csp, smt, sparql, triplify
+from lattica.runtime import shared_dir
+from lattica.sources import rdf
 from lattica.plans.triplify import AUDIT_SQL, EVENT_SQL, GRAPH_SQL, INJECTED_SQL, KB_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +43,7 @@ def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 K, G = f"WITH kb AS ({KB_SQL})", f"WITH g AS ({GRAPH_SQL})"
+GM = G.replace("g AS (", "g AS MATERIALIZED (", 1)
 RK, RG = K.replace("WITH ", "WITH RECURSIVE ", 1), G.replace("WITH ", "WITH RECURSIVE ", 1)
 
 # Claims and their verdicts; the flagship.
@@ -177,7 +181,7 @@ SPARQL: dict[str, tuple[str, str]] = {
     ),
     "sparql_bgp4_star": (
         "SELECT ?o ?c ?s ?n WHERE { ?o ns:placed_by ?c ; ns:supplied_by ?s . ?c ns:in_nation ?n . ?s ns:in_nation ?n }",
-        f"{G} SELECT a.s AS o, a.o AS c, b.o AS s, c.o AS n FROM g a JOIN g b ON a.s = b.s JOIN g c ON c.s = a.o JOIN g d ON d.s = b.o AND d.o = c.o WHERE a.p = 'ns:placed_by' AND b.p = 'ns:supplied_by' AND c.p = 'ns:in_nation' AND d.p = 'ns:in_nation'",
+        f"{GM}, a AS MATERIALIZED (SELECT s, o FROM g WHERE p = 'ns:placed_by'), b AS MATERIALIZED (SELECT s, o FROM g WHERE p = 'ns:supplied_by'), n AS MATERIALIZED (SELECT s, o FROM g WHERE p = 'ns:in_nation') SELECT a.s AS o, a.o AS c, b.o AS s, c.o AS n FROM a JOIN b ON a.s = b.s JOIN n c ON c.s = a.o JOIN n d ON d.s = b.o AND d.o = c.o",
     ),
     "sparql_filter": (
         "SELECT ?p ?z WHERE { ?p ns:size ?z . FILTER(?z > 28 && ?z * 2 <= 90 || ?z = 3) }",
@@ -231,7 +235,7 @@ SPARQL: dict[str, tuple[str, str]] = {
     "sparql_ask": ("ASK { ?o ns:placed_by ?c . ?c ns:in_nation ns:nation_0 }", f"{G} SELECT count(*) > 0 AS ask FROM g a JOIN g b ON a.o = b.s WHERE a.p = 'ns:placed_by' AND b.p = 'ns:in_nation' AND b.o = 'ns:nation_0'"),
     "sparql_var_predicate": (
         "SELECT ?s ?p ?n WHERE { ?p a owl:FunctionalProperty . ?s ?p ?n . ?s a ns:Supplier }",
-        f"{G} SELECT a.s, a.p, a.o AS n FROM g a JOIN g f ON f.s = a.p AND f.o = 'owl:FunctionalProperty' JOIN g t ON t.s = a.s AND t.o = 'ns:Supplier' AND t.p = 'rdf:type'",
+        f"{GM}, f AS MATERIALIZED (SELECT s FROM g WHERE p = 'rdf:type' AND o = 'owl:FunctionalProperty'), t AS MATERIALIZED (SELECT s FROM g WHERE p = 'rdf:type' AND o = 'ns:Supplier') SELECT g.s, g.p, g.o AS n FROM g JOIN f ON f.s = g.p JOIN t ON t.s = g.s",
     ),
     "sparql_functions": (
         'SELECT ?p (UCASE(?b) AS ?up) (STRLEN(?b) AS ?n) (IF(CONTAINS(?b, "1"), "one", "none") AS ?has) (STRAFTER(?b, "#") AS ?rest) WHERE { ?p ns:brand ?b . FILTER(REGEX(?b, "#[1-3]")) BIND(SUBSTR(?b, 1, 5) AS ?head) FILTER(?head = "Brand") }',
@@ -483,10 +487,10 @@ def csp_count(spark, sf_dir):
 
 
 @register(
-    "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'proved' WHEN o_orderkey % 3 = 1 THEN 'refuted' ELSE 'inconsistent' END AS verdict FROM orders WHERE o_orderkey % 50 = 0 OR o_orderkey % 50 = 1"
+    "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'proved' WHEN o_orderkey % 3 = 1 THEN 'refuted' ELSE 'inconsistent' END AS verdict FROM orders"
 )
 def smt_batch(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 50 IN (0, 1)")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     key = F.col("o_orderkey")
     k = key.cast("string")
     given = F.when(key % 3 == 2, F.array(F.concat(F.lit("x > "), k), F.concat(F.lit("x < "), k))).otherwise(F.array(F.concat(F.lit("x > "), k), F.lit("y == 2*x")))
@@ -685,7 +689,7 @@ def infeasible_specs(spark, sf_dir):
 @register()
 def bootstrap_ci(spark, sf_dir):
     r = _records(spark, sf_dir)
-    return metrics.bootstrap(r.select("condition", F.col("correct").cast("double").alias("a"), (F.col("gold") == "entailed").cast("double").alias("b")), "condition", 200)
+    return metrics.bootstrap(r.select("condition", F.col("correct").cast("double").alias("a"), (F.col("gold") == "entailed").cast("double").alias("b")), "condition")
 
 
 @register(
@@ -708,12 +712,12 @@ def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN NULL ELSE role END AS answer FROM conversations")
 def parse_final(spark, sf_dir):
     marked = F.concat(F.lit("FINAL: first\nso FINAL: "), F.col("role"), F.element_at(F.array(*[F.lit(x) for x in (".", ";,", "", ".:")]), (F.col("turn") % 4 + 1).cast("int")))
-    return _conversations(spark, sf_dir).select("conv_id", "turn", text.final_answer(F.when(F.col("turn") % 4 == 3, F.lit("no answer")).otherwise(marked)).alias("answer"))
+    return _conversations(spark, sf_dir).select("conv_id", "turn", text.final_answer(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.when(F.col("turn") % 4 == 3, F.lit("no answer")).otherwise(marked))).alias("answer"))
 
 
 @register("SELECT conv_id, turn, CASE WHEN role < 'b|2' THEN concat(role, ',b|2') ELSE concat('b|2,', role) END AS pairs FROM conversations")
 def parse_final_pairs(spark, sf_dir):
-    line = F.concat(F.lit("FINAL: x|y\nFINAL: `b | 2`; "), F.col("role"), F.lit(". ;b|2; ;"))
+    line = F.concat(F.coalesce("text", F.lit("")), F.lit("\nFINAL: x|y\nFINAL: `b | 2`; "), F.col("role"), F.lit(". ;b|2; ;"))
     return _conversations(spark, sf_dir).select("conv_id", "turn", F.array_join(text.final_pairs(line), ",").alias("pairs"))
 
 
@@ -737,3 +741,92 @@ def history_turns(spark, sf_dir):
 @register(f"{_HISTORY}, n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, role, t FROM h) SELECT conv_id AS conversation, string_agg('[turn ' || turn || ' - ' || role || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY turn) AS rendered FROM n GROUP BY conv_id")
 def history_render(spark, sf_dir):
     return text.rendered(text.message_turns(_lines(spark, sf_dir), conversation="conv_id"))
+
+
+# Sources of code, their mutants and patches.
+
+PATCH_SQL = """
+    SELECT cast(p_partkey AS bigint) AS instance_id, cast(p_size AS string) AS size, cast(p_size + 1 AS string) AS one_more, cast(p_size + 9 AS string) AS more, p_partkey % 8 AS kind FROM part"""
+
+
+@register(
+    """SELECT CAST(p_partkey AS BIGINT) AS instance_id, p_partkey % 8 IN (0, 1, 3, 4) AS qualifies,
+        CASE p_partkey % 8 WHEN 2 THEN 'unclassified_change' WHEN 5 THEN 'test_or_doc_only' WHEN 6 THEN 'non_py_code_change' WHEN 7 THEN 'no_boundary_change' END AS reason,
+        CASE p_partkey % 8 WHEN 0 THEN 'comparison_operator' WHEN 1 THEN 'constant_delta' WHEN 3 THEN 'index_date_arith' WHEN 4 THEN 'minmax_guard' ELSE '' END AS classes FROM part"""
+)
+def patch_classes(spark, sf_dir):
+    triplify.views(spark, sf_dir)
+    kind, size, one_more, more = F.col("kind"), F.col("size"), F.col("one_more"), F.col("more")
+    text_of = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    changes = [
+        (text_of("if rows < ", size, ":"), text_of("if rows <= ", size, ":")), (text_of("size = ", size), text_of("size = ", one_more)), (text_of("size = ", size), text_of("size = ", more)),
+        (text_of("row = rows[", size, "]"), text_of("row = rows[", more, "]")), (text_of("size = width"), text_of("size = min(width, ", size, ")")), (text_of("assert size < ", size), text_of("assert size <= ", size)),
+        (text_of("return size < ", size, ";"), text_of("return size <= ", size, ";")), (text_of("# was ", size), text_of("# now ", more)),
+    ]
+    pick = lambda side: F.coalesce(*[F.when(kind == k, c[side]) for k, c in enumerate(changes)])
+    path = F.when(kind == 5, "tests/test_size.py").when(kind == 6, "src/size.c").otherwise("src/size.py")
+    patch = text_of("--- a/", path, "\n+++ b/", path, "\n@@ -1,2 +1,2 @@\n context\n-", pick(0), "\n+", pick(1), "\n")
+    judged = patches.judged(spark.sql(PATCH_SQL).select("instance_id", patch.alias("patch")))
+    return judged.select("instance_id", "qualifies", "reason", F.array_join("filter_classes", ",").alias("classes"))
+
+
+CODE_SQL = """
+    SELECT concat('shop/client_', cast(c_custkey AS string), '.py') AS path, concat('shop.client_', cast(c_custkey AS string)) AS module,
+        concat('import json\nfrom shop.base import Base\n\nclass C', cast(c_custkey AS string), '(Base):\n    def save(self):\n        return self.text()\n\n    def text(self):\n        raise KeyError(', cast(c_nationkey AS string), ')\n') AS source FROM customer"""
+
+
+@register(
+    """WITH m AS (SELECT concat('shop.client_', c_custkey) AS m, concat('shop.client_', c_custkey, '.C', c_custkey) AS c FROM customer)
+    SELECT m AS s, 'rdf:type' AS p, 'Module' AS o FROM m UNION ALL SELECT m, 'imports', 'json' FROM m UNION ALL SELECT m, 'imports', 'shop.base' FROM m
+    UNION ALL SELECT c, 'rdf:type', 'Class' FROM m UNION ALL SELECT c, 'defined_in', m FROM m UNION ALL SELECT c, 'rdfs:subClassOf', 'shop.base.Base' FROM m
+    UNION ALL SELECT concat(c, f), 'rdf:type', 'Function' FROM m, (VALUES ('.save'), ('.text')) t(f) UNION ALL SELECT concat(c, f), 'defined_in', m FROM m, (VALUES ('.save'), ('.text')) t(f)
+    UNION ALL SELECT concat(c, '.save'), 'calls', concat(c, '.text') FROM m UNION ALL SELECT concat(c, '.text'), 'raises', 'KeyError' FROM m UNION ALL SELECT concat(c, '.text'), 'calls', 'KeyError' FROM m"""
+)
+def code_facts_python(spark, sf_dir):
+    triplify.views(spark, sf_dir)
+    return code_facts.facts(spark.sql(CODE_SQL)).select("s", "p", "o").distinct()
+
+
+@register(
+    """SELECT CAST(p_partkey AS BIGINT) AS id, kind, boundary, change FROM part, LATERAL (VALUES ('comparison', true, '< -> <='), ('constant', true, concat(p_size, ' -> ', p_size + 1)), ('constant', true, concat(p_size, ' -> ', p_size - 1)), ('arithmetic', false, '+ -> -')) t(kind, boundary, change)"""
+)
+def mutants(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    source = F.concat(F.lit("def fits(a, b):\n    return a + b < "), F.col("p_size").cast("string"), F.lit("\n"))
+    return mutation.mutants_of(part.select(F.col("p_partkey").cast("long").alias("id"), source.alias("source"), F.lit("fits").alias("function"))).select("id", "kind", "boundary", "change")
+
+
+# RDF files, written and read again.
+
+
+@register(f"{G} SELECT s, p, o FROM g")
+def rdf_roundtrip(spark, sf_dir):
+    path = f"{shared_dir(spark)}/rdf/{uuid.uuid4().hex}"
+    rdf.write(whole(spark, sf_dir), path, "nt")
+    return rdf.read(spark, path, "nt")
+
+
+# What cannot be: facts made from the tables that break lists and cardinalities.
+
+BROKEN_SQL = """
+    SELECT concat('ns:customer_', cast(c_custkey AS string)) AS s, 'rdf:type' AS p, 'ns:Debtor' AS o FROM customer WHERE c_acctbal < 1000
+    UNION ALL SELECT concat('ns:customer_', cast(c_custkey AS string)), 'rdf:type', 'ns:Saver' FROM customer WHERE c_acctbal > 500
+    UNION ALL SELECT concat('ns:customer_', cast(c_custkey AS string)), 'ns:likes', concat('ns:Seg_', c_mktsegment) FROM customer
+    UNION ALL SELECT concat('ns:customer_', cast(c_custkey AS string)), 'ns:hates', concat('ns:Seg_', c_mktsegment) FROM customer WHERE c_custkey % 10 = 0
+    UNION ALL SELECT concat('ns:customer_', cast(c_custkey AS string)), 'rdf:type', 'ns:Clean' FROM customer WHERE c_custkey % 7 = 0
+    UNION ALL SELECT concat('ns:customer_', cast(c_custkey AS string)), 'ns:owes', concat('ns:nation_', cast(c_nationkey AS string)) FROM customer
+    UNION ALL SELECT concat('ns:nation_', cast(n_nationkey AS string)), 'rdf:type', 'ns:Rich' FROM nation WHERE n_nationkey % 2 = 0
+    UNION ALL SELECT * FROM (VALUES ('ns:Clean', 'owl:maxQualifiedCardinality', '"0"^^xsd:nonNegativeInteger'), ('ns:Clean', 'owl:onProperty', 'ns:owes'), ('ns:Clean', 'owl:onClass', 'ns:Rich'),
+        ('_:c', 'rdf:type', 'owl:AllDisjointClasses'), ('_:c', 'owl:members', '_:c0'), ('_:c0', 'rdf:first', 'ns:Debtor'), ('_:c0', 'rdf:rest', '_:c1'), ('_:c1', 'rdf:first', 'ns:Saver'), ('_:c1', 'rdf:rest', 'rdf:nil'),
+        ('_:p', 'rdf:type', 'owl:AllDisjointProperties'), ('_:p', 'owl:members', '_:p0'), ('_:p0', 'rdf:first', 'ns:likes'), ('_:p0', 'rdf:rest', '_:p1'), ('_:p1', 'rdf:first', 'ns:hates'), ('_:p1', 'rdf:rest', 'rdf:nil')) x"""
+
+
+@register(
+    f"""WITH t(s, p, o) AS ({BROKEN_SQL})
+    SELECT 'cax-adc' AS rule, s, p, o FROM t WHERE p = 'rdf:type' AND o IN ('ns:Debtor', 'ns:Saver') AND s IN (SELECT s FROM t WHERE o = 'ns:Debtor') AND s IN (SELECT s FROM t WHERE o = 'ns:Saver' AND p = 'rdf:type')
+    UNION ALL SELECT 'prp-adp', a.s, a.p, a.o FROM t a WHERE a.p IN ('ns:likes', 'ns:hates') AND a.s IN (SELECT s FROM t WHERE p = 'ns:hates')
+    UNION ALL SELECT 'cls-maxqc1', s, p, o FROM t WHERE p = 'ns:owes' AND s IN (SELECT s FROM t WHERE o = 'ns:Clean') AND o IN (SELECT s FROM t WHERE o = 'ns:Rich' AND p = 'rdf:type')"""
+)
+def owl_inconsistencies(spark, sf_dir):
+    triplify.views(spark, sf_dir)
+    return reason.inconsistencies(reason.closure(spark.sql(BROKEN_SQL)))

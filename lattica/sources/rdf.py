@@ -6,6 +6,7 @@ common part), RDF/XML and JSON-LD need a whole file; a task reads one at a time.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import xml.etree.ElementTree as ET
@@ -395,4 +396,4 @@ class _TurtleReader(DataSourceReader):
 
     def read(self, partition):
         with open(partition.path, encoding="utf-8") as f:
-            yield from parse_turtle(f.read(), f"f{abs(hash(partition.path)) % 10**9}b")
+            yield from parse_turtle(f.read(), f"f{hashlib.blake2b(partition.path.encode(), digest_size=12).hexdigest()}b")
