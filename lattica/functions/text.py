@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +113,23 @@ def fenced_code(text: Column) -> Column:
     return F.try_element_at(F.filter(blocks, lambda b: F.contains(b, F.lit("def test"))), F.lit(-1))
 
 
+def count_tests(source: Column) -> Column:
+    """How many functions of a Python source, at any depth, are tests; 0 where there is none or it can't be read."""
+
+    @F.pandas_udf("int")
+    def count(sources: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                tree = ast.parse(text or "")
+            except (SyntaxError, ValueError):
+                return 0
+            return sum(isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name.startswith("test_") for n in ast.walk(tree))
+
+        return sources.map(one).astype("int32")
+
+    return count(F.coalesce(source, F.lit("")))
+
+
 def module_name(path: Column) -> Column:
     """A dotted module name from a path without its suffix."""
     return F.replace(F.regexp_replace(F.regexp_replace(path, r"\.[^./]+$", ""), r"^(\./|/)+", ""), F.lit("/"), F.lit("."))

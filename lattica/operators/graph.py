@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import terms
+from lattica.operators.metrics import numbered
 from lattica.operators.rules import SPO
 from lattica.runtime import cut
 
@@ -148,10 +149,10 @@ def neighbourhood(triples: DataFrame, start: str, radius: int, max_triples: int
     for layer in range(1, radius + 1):
         ends = all_.select(*SPO, F.col("s").alias("entity")).unionByName(all_.where("s <> o").select(*SPO, F.col("o").alias("entity")))
         near = ends.join(frontier, "entity").join(picked.select(SPO), SPO, "left_anti").groupBy(*SPO).agg(F.min("found").alias("found"))
-        ordered = near.orderBy("found", *SPO)
-        if max_triples is not None:
-            ordered = ordered.limit(max_triples - total + 1)
-        place = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF("s string, p string, o string, found long, rank long") if max_triples is None else ordered.withColumn("rank", F.row_number().over(Window.orderBy("found", *SPO)).cast("long") - 1)
+        if max_triples is None:
+            place = numbered(near.withColumn("__order", F.struct("found", *SPO)), "__order").withColumn("rank", F.col("place").cast("long"))
+        else:
+            place = near.orderBy("found", *SPO).limit(max_triples - total + 1).withColumn("rank", F.row_number().over(Window.orderBy("found", *SPO)).cast("long") - 1)
         here = cut(place.select(*SPO, F.lit(layer).alias("layer"), (F.col("rank") + F.lit(total)).alias("rank")))
         n = here.count()
         if max_triples is not None and total + n > max_triples:

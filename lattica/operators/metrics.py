@@ -97,6 +97,27 @@ def summary(records: DataFrame, by: Sequence[str] = ("condition",)) -> DataFrame
     )
 
 
+def summary_by_hops(records: DataFrame, by: Sequence[str] = ("condition",)) -> DataFrame:
+    """(by..., hops, n, accuracy) of answers to questions."""
+    return accuracy(records, [*by, "hops"])
+
+
+def audit_summary(records: DataFrame, by: Sequence[str] = ("condition",)) -> DataFrame:
+    """(by..., mean_precision, mean_recall, f1) over the scores that are there: f1 is 0 where both means are, null where one is not measured."""
+    p, r = F.col("mean_precision"), F.col("mean_recall")
+    means = records.groupBy(*by).agg(F.avg("precision").alias("mean_precision"), F.avg("recall").alias("mean_recall"))
+    return means.withColumn("f1", F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r)))
+
+
+def cached_verdicts(tasks: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(known, open): `tasks` (id, n_mutants, ...) whose verdicts `cache` (id, n_mutants, killable) holds for as many mutants, with them, and the rest.
+
+    A task whose mutants are another number is judged anew: another mutation engine made the cache.
+    """
+    held = tasks.join(cache.select("id", "n_mutants", "killable").dropDuplicates(["id", "n_mutants"]), ["id", "n_mutants"], "left")
+    return held.where(F.col("killable").isNotNull()), held.where(F.col("killable").isNull()).drop("killable")
+
+
 def tool_totals(records: DataFrame, by: Sequence[str] = ("condition",)) -> DataFrame:
     """(by..., tool, calls) over the map column tool_calls."""
     return records.select(*by, F.explode("tool_calls").alias("tool", "calls")).groupBy(*by, "tool").agg(F.sum("calls").cast("long").alias("calls"))

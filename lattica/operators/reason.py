@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators.components import components
 from lattica.operators.rules import SPO, Rule, fixpoint, matched, rule
-from lattica.runtime import cut
+from lattica.runtime import cut, deadline
 
 TYPE, SAME, DIFFERENT, SUB = "rdf:type", "owl:sameAs", "owl:differentFrom", "rdfs:subClassOf"
 
@@ -169,7 +169,13 @@ def _list_rules(members: DataFrame):
     return extra if lengths else None
 
 
-def closure(triples: DataFrame, rules: tuple[Rule, ...] = RULES) -> Closure:
+def closure(triples: DataFrame, rules: tuple[Rule, ...] = RULES, seconds: float | None = None) -> Closure:
+    """`closed` within a deadline: DeadlineExceeded beyond `seconds`, if given."""
+    with deadline(triples.sparkSession, seconds):
+        return closed(triples, rules)
+
+
+def closed(triples: DataFrame, rules: tuple[Rule, ...] = RULES) -> Closure:
     """The OWL 2 RL closure of asserted triples.
 
     Contradictory graphs close too: values that a functional property shares become

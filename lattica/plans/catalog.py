@@ -15,7 +15,7 @@ from lattica.functions import code_facts, mutation, patches, terms, text
 from lattica.operators import audit, datasets, graph, metrics, reason, store
 from lattica.operators.components import components
 from lattica.plans import csp, smt, sparql, triplify
-from lattica.runtime import shared_dir
+from lattica.runtime import cut, shared_dir
 from lattica.sources import rdf
 from lattica.plans.triplify import AUDIT_SQL, EVENT_SQL, GRAPH_SQL, INJECTED_SQL, KB_SQL
 
@@ -525,7 +525,7 @@ def kbgen_claims(spark, sf_dir):
 
 @register(f"{K}, v AS (SELECT s, p, min(o) AS o FROM kb WHERE p IN ('ns:in_nation', 'ns:in_region') GROUP BY s, p) SELECT 25 AS injected, 25 AS conflicts, true AS other_values FROM v LIMIT 1")
 def inject_contradictions(spark, sf_dir):
-    triples = kb(spark, sf_dir)
+    triples = cut(kb(spark, sf_dir))
     new = datasets.injected(triples, 25, seed=1)
     found = audit.violations(triples.unionByName(new))
     return new.agg(F.count(F.lit(1)).cast("int").alias("injected")).crossJoin(found.agg(F.count(F.lit(1)).cast("int").alias("conflicts"))).crossJoin(new.join(triples, ["s", "p", "o"], "left_semi").agg((F.count(F.lit(1)) == 0).alias("other_values")))

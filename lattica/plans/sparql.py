@@ -19,7 +19,7 @@ from lattica.functions import terms
 from lattica.operators.graph import transitive_closure
 from lattica.plans import sparql_syntax as syntax
 from lattica.plans.sparql_syntax import SparqlError
-from lattica.runtime import cut
+from lattica.runtime import cut, deadline
 
 
 def column_name(var: str) -> str:
@@ -652,10 +652,15 @@ def select(triples: DataFrame, text: str) -> DataFrame:
     return out if out.columns == ["ask"] else out.select(*[terms.shown(F.col(c)).alias(c) for c in out.columns])
 
 
-def ask(triples: DataFrame, text: str) -> bool:
-    return solutions(triples, text).first()["ask"]
+def ask(triples: DataFrame, text: str, seconds: float | None = 30.0) -> bool:
+    with deadline(triples.sparkSession, seconds):
+        return solutions(triples, text).first()["ask"]
 
 
-def bindings(triples: DataFrame, text: str) -> list[dict[str, str]]:
-    """A SELECT's rows as dicts without unbound variables, for results that are known to be small."""
-    return [{k: v for k, v in r.asDict().items() if v is not None} for r in select(triples, text).collect()]
+def bindings(triples: DataFrame, text: str, seconds: float | None = 30.0, most: int = 100_000) -> list[dict[str, str]]:
+    """A SELECT's rows as dicts without unbound variables; ValueError beyond `most` rows, DeadlineExceeded beyond `seconds`."""
+    with deadline(triples.sparkSession, seconds):
+        rows = select(triples, text).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: add a limit, or use select()")
+    return [{k: v for k, v in r.asDict().items() if v is not None} for r in rows]

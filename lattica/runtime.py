@@ -44,17 +44,20 @@ def release(spark: SparkSession) -> None:
 
 
 @contextmanager
-def deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
-    """Interrupts the Spark jobs started inside once `seconds` have passed; works on any thread."""
+def deadline(spark: SparkSession, seconds: float | None) -> Iterator[None]:
+    """Interrupts the Spark jobs started inside once `seconds` have passed (never, if None); works on any thread."""
+    if seconds is None:
+        yield
+        return
     tag, late = f"deadline-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        spark.sparkContext.cancelJobsWithTag(tag)
 
     timer = threading.Timer(seconds, stop)
     timer.daemon = True
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     timer.start()
     try:
         yield
@@ -64,4 +67,4 @@ def deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)

@@ -33,6 +33,35 @@ def conversations(spark: SparkSession, path: str) -> DataFrame:
     return message_turns(numbered_lines(spark, path), conversation="path").withColumnRenamed("conversation", "path")
 
 
+def patch_instances(spark: SparkSession, path: str) -> DataFrame:
+    """(instance_id, repo, patch) of a .json file (an array), a .jsonl file, or a folder of such files."""
+    schema = "instance_id string, repo string, patch string"
+    if path.endswith(".json"):
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    if path.endswith((".jsonl", ".jsonl.gz")):
+        return spark.read.schema(schema).json(path)
+    lines = spark.read.schema(schema).option("pathGlobFilter", "*.jsonl*").json(path)
+    return lines.unionByName(spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path))
+
+
+def write_entity_map(names: DataFrame, path: str, mode: str = "error") -> None:
+    """Identifiers and the texts they stand for (curie, name), an object a line."""
+    names.select("curie", "name").write.mode(mode).json(path)
+
+
+def entity_map(spark: SparkSession, path: str) -> DataFrame:
+    return json_lines(spark, path, "curie string, name string")
+
+
+def console(rows: DataFrame, most: int = 50) -> str:
+    """The first rows as lines of aligned columns, and how many there are, if more."""
+    some = rows.limit(most + 1).collect()  # bounded
+    table = [rows.columns, *[["" if v is None else str(v) for v in r] for r in some[:most]]]
+    width = [max(len(line[k]) for line in table) for k in range(len(rows.columns))]
+    lines = ["  ".join(x.ljust(w) for x, w in zip(line, width, strict=True)).rstrip() for line in table]
+    return "\n".join([lines[0], "  ".join("-" * w for w in width), *lines[1:], *([f"... {rows.count()} rows"] if len(some) > most else [])])
+
+
 def task_folders(spark: SparkSession, root: str, names: tuple[str, ...]) -> DataFrame:
     """(task, a column for each file name) of folders `root/task/name`; missing files are null."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
