@@ -37,7 +37,7 @@ CACHE_CHARS = 64
 #: Words up to this length are scored many at a time; no product of so many probabilities underflows.
 TOGETHER_CHARS = 32
 #: Words scored in one vector step, and characters of text whose words are gathered before that.
-TOGETHER_WORDS, GATHERED_CHARS = 8192, 2_000_000
+TOGETHER_WORDS, GATHERED_CHARS = 4096, 1_000_000
 #: Forward values below this are scaled up; the scale is kept as a logarithm.
 TINY = 1e-120
 #: Starts a word, as in the vocabulary.
