@@ -12,11 +12,12 @@ COLUMNS = {
     "op8_urls": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
     "op9_near_duplicates": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
     "op10_nearest": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
+    "op11_pieces": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
 }
 
 
 def test_one_query_for_each_operator():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 12))
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
