@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import common, decontam, langid, license_scan, line_dedup, mixing, near_dup, sentence_pieces, sharding, token_count, topk, url_filter
+from lattica.llm import common, decontam, langid, license_scan, line_dedup, mixing, near_dup, sentence_pieces, sharding, token_count, topk, url_filter, vector_codes
 
 N_SHARDS = 8
 WORD_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -79,7 +79,11 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_texts(common.table(spark, sf_dir, "documents"), PIECE_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_lines, op3_licenses, op4_mixture, op5_leaks, op6_tokens, op7_language, op8_urls, op9_near_duplicates, op10_nearest, op11_pieces)}
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(common.table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_shards, op2_lines, op3_licenses, op4_mixture, op5_leaks, op6_tokens, op7_language, op8_urls, op9_near_duplicates, op10_nearest, op11_pieces, op13_codes)}
 
 _URL_PARTS = r"""
     SELECT page_id, host, path FROM (
