@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import common, decontam, langid, license_scan, line_dedup, mixing, near_dup, sentence_pieces, sharding, token_count, topk, url_filter, vector_codes
+from lattica.llm import collocations, common, decontam, langid, license_scan, line_dedup, mixing, near_dup, sentence_pieces, sharding, token_count, topk, url_filter, vector_codes
 
 N_SHARDS = 8
 WORD_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -79,11 +79,15 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_texts(common.table(spark, sf_dir, "documents"), PIECE_VOCABULARY)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(common.table(spark, sf_dir, "documents"))
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(common.table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_lines, op3_licenses, op4_mixture, op5_leaks, op6_tokens, op7_language, op8_urls, op9_near_duplicates, op10_nearest, op11_pieces, op13_codes)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_lines, op3_licenses, op4_mixture, op5_leaks, op6_tokens, op7_language, op8_urls, op9_near_duplicates, op10_nearest, op11_pieces, op12_collocations, op13_codes)}
 
 _URL_PARTS = r"""
     SELECT page_id, host, path FROM (
@@ -107,4 +111,20 @@ ORACLE_SQL = {
           FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 100 = 0) q JOIN v d ON q.vec_id <> d.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op12_collocations": r"""
+    WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE text IS NOT NULL),
+    pieces AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\n-\r]')) AS piece FROM texts)),
+    runs AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase FROM pieces, range(1, 5) s(size) WHERE len(w) >= size),
+    f AS (SELECT lang, size, phrase, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 30),
+    totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+    c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+    cuts AS (SELECT c.*, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS tail FROM c, range(1, 4) s(k) WHERE k < size),
+    scores AS (SELECT cuts.*, h.a AS l, t.a AS r, (2000000::HUGEINT * cuts.a) // (h.a::HUGEINT + t.a) AS score
+               FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail),
+    lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (SELECT c.lang, array_to_string(c.w[i : i + k - 1], ' ') AS phrase, max(c.a) AS longer
+               FROM c, range(2, 4) s(k), range(1, 4) p(i) WHERE k < size AND i + k - 1 <= size GROUP BY ALL),
+    kept AS (SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }

@@ -13,12 +13,13 @@ COLUMNS = {
     "op9_near_duplicates": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
     "op10_nearest": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
     "op11_pieces": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op12_collocations": {"lang": "string", "phrase": "string", **dict.fromkeys(("rank", "a", "l", "r", "n", "score"), "bigint")},
     "op13_codes": {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
 }
 
 
 def test_one_query_for_each_operator():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == [*range(1, 12), 13]
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
