@@ -4,13 +4,16 @@ A solution is a row with a column for each variable, holding a term or null wher
 it is unbound. Basic patterns become joins of filtered scans, constants first and
 connected patterns next; filters, OPTIONAL, MINUS and EXISTS become filters, left,
 anti and semi joins; paths with * or + become semi-naive closures. Errors in
-expressions are null, as SPARQL's are neither true nor false.
+expressions are null, as SPARQL's are neither true nor false. Joins on variables that
+may be unbound are equi-joins too, see `Planner.compatible`.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +43,21 @@ class Rows:
     maybe: set[str]
 
 
+#: Parts into which rows are dealt that share no bound variable with those that they meet.
+SALTS = 32
+
+
+class Pairing(NamedTuple):
+    """Two sides of a join, ready: `right` has its shared variables renamed; `copied` says that a left row may come several times."""
+
+    left: DataFrame
+    right: DataFrame
+    shared: list[str]
+    condition: Column
+    helpers: list[str]
+    copied: bool
+
+
 # values in expressions: ("term" | "bool" | "num" | "int" | "str", column)
 Value = tuple[str, Column]
 
@@ -144,20 +162,63 @@ class Planner:
 
     # joins
 
-    def compatible(self, a: Rows, b: Rows) -> tuple[Rows, list[str], Column]:
-        """`b` with its shared variables renamed, those variables, and the condition under which rows go together."""
+    def compatible(self, a: Rows, b: Rows, wild: bool = True) -> Pairing:
+        """How rows of two sides go together: each shared variable is equal, or unbound on either side.
+
+        Which variables are bound is a row's signature. A row is copied for each
+        signature that the other side may have; then both signatures, and the values
+        of what both bind, are an equal key. Rows that bind nothing in common meet all
+        rows of their signatures, which are dealt out by a salt, or none if not `wild`.
+        """
         shared = [v for v in b.vars if v in a.vars]
-        other = b.df
-        condition = F.lit(True)
+        other = b.df.drop("__unit")
         for v in shared:
             other = other.withColumnRenamed(column_name(v), f"r_{column_name(v)}")
-            same = col(v) == F.col(f"r_{column_name(v)}")
-            if v in a.maybe:
-                same = same | col(v).isNull()
-            if v in b.maybe:
-                same = same | F.col(f"r_{column_name(v)}").isNull()
-            condition = condition & same
-        return Rows(other.drop("__unit"), b.vars, b.maybe), shared, condition
+        theirs = lambda v: F.col(f"r_{column_name(v)}")
+        open_ = [v for v in shared if v in a.maybe or v in b.maybe]
+        condition = reduce(lambda x, y: x & y, [col(v) == theirs(v) for v in shared if v not in open_], F.lit(True))
+        if not open_:
+            return Pairing(a.df, other, shared, condition, [], False)
+        bits = {v: 1 << k for k, v in enumerate(open_)}
+        signature = lambda of: reduce(lambda x, y: x + y, [F.when(of(v).isNotNull(), F.lit(bits[v])).otherwise(F.lit(0)) for v in open_])
+        possible = lambda rows: [sum(c) for c in product(*[(bits[v], 0) if v in rows.maybe else (bits[v],) for v in open_])]
+        copies = lambda of: F.explode(F.array(*map(F.lit, of))) if len(of) > 1 else F.lit(of[0])
+        left = a.df.withColumn("__l_a", signature(col)).withColumn("__l_b", copies(possible(b)))
+        right = other.withColumn("__r_b", signature(theirs)).withColumn("__r_a", copies(possible(a)))
+        both_l, both_r = F.col("__l_a").bitwiseAND(F.col("__l_b")), F.col("__r_a").bitwiseAND(F.col("__r_b"))
+        names = []
+        for v in open_:
+            k = len(names)
+            left = left.withColumn(f"__l_{k}", F.when(both_l.bitwiseAND(bits[v]) != 0, col(v)).otherwise(F.lit("")))
+            right = right.withColumn(f"__r_{k}", F.when(both_r.bitwiseAND(bits[v]) != 0, theirs(v)).otherwise(F.lit("")))
+            names.append(str(k))
+        if len(open_) == len(shared):
+            spread = F.pmod(F.xxhash64(*[col(v) for v in a.vars]), F.lit(SALTS)).cast("int") if wild else F.lit(-1)
+            left = left.withColumn("__l_salt", F.when(both_l == 0, spread).otherwise(F.lit(0)))
+            salts = F.when(both_r == 0, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if wild else F.array(F.lit(0))
+            right = right.withColumn("__r_salt", F.explode(salts))
+            names.append("salt")
+        names += ["a", "b"]
+        condition = reduce(lambda x, y: x & y, [F.col(f"__l_{n}") == F.col(f"__r_{n}") for n in names], condition)
+        return Pairing(left, right, shared, condition, [f"__l_{n}" for n in names], any(v in b.maybe for v in open_))
+
+    def numbered(self, rows: Rows) -> tuple[Rows, str]:
+        """Rows with a number each, in the column that is named."""
+        self.fresh += 1
+        tag = f"__row{self.fresh}"
+        return Rows(cut(rows.df.withColumn(tag, F.monotonically_increasing_id())), rows.vars, rows.maybe), tag  # numbers must not change between two reads
+
+    def matching(self, a: Rows, b: Rows, how: str, wild: bool = True) -> DataFrame:
+        """The rows of `a` that go together with a row of `b` (left_semi), or with none (left_anti)."""
+        p = self.compatible(a, b, wild)
+        if not p.shared:
+            return a.df.join(p.right.limit(1), F.lit(True), how)
+        if not p.copied:
+            return p.left.join(p.right, p.condition, how).drop(*p.helpers)
+        a, tag = self.numbered(a)
+        p = self.compatible(a, b, wild)
+        hit = p.left.join(p.right, p.condition, "left_semi").select(tag).distinct()
+        return a.df.join(hit, tag, how).drop(tag)
 
     def settled(self, df: DataFrame, a: Rows, b: Rows, shared: list[str], left: bool) -> Rows:
         """One column for each variable of a join."""
@@ -170,8 +231,8 @@ class Planner:
     def join(self, a: Rows, b: Rows) -> Rows:
         if not a.vars and "__unit" in a.df.columns and not b.vars:
             return Rows(a.df.crossJoin(b.df.drop("__unit")) if b.df.columns != ["__unit"] else a.df.crossJoin(b.df.select(F.lit(1).alias("__u2"))).select("__unit"), [], set())
-        other, shared, condition = self.compatible(a, b)
-        return self.settled(a.df.join(other.df, condition) if shared else a.df.crossJoin(other.df), a, b, shared, False)
+        p = self.compatible(a, b)
+        return self.settled(p.left.join(p.right, p.condition) if p.shared else a.df.crossJoin(p.right), a, b, p.shared, False)
 
     def union(self, a: Rows, b: Rows) -> Rows:
         names = [*a.vars, *[v for v in b.vars if v not in a.vars]]
@@ -184,16 +245,14 @@ class Planner:
         inner = syntax.Group([e for e in group.elements if not isinstance(e, syntax.Filter)])
         filters = [e.expr for e in group.elements if isinstance(e, syntax.Filter)]
         b = self.group(inner)
-        if filters:
-            # The pairs that pass, then a left join on the row's number: conditions may hold EXISTS.
-            self.fresh += 1
-            tag = f"__row{self.fresh}"
-            numbered = Rows(a.df.withColumn(tag, F.monotonically_increasing_id()), a.vars, a.maybe)
-            numbered.df = cut(numbered.df)  # numbers must not change between two reads
-            other, shared, condition = self.compatible(numbered, b)
-            pairs = numbered.df.join(other.df, condition) if shared else numbered.df.crossJoin(other.df)
+        p = self.compatible(a, b)
+        if filters or p.copied:
+            # The pairs that pass, then a left join on the row's number: conditions may hold EXISTS, and rows may be copied.
+            numbered, tag = self.numbered(a)
+            p = self.compatible(numbered, b)
+            pairs = p.left.join(p.right, p.condition) if p.shared else numbered.df.crossJoin(p.right)
             new = [v for v in b.vars if v not in a.vars]
-            both = Rows(pairs.select(F.col(tag), *self._columns(numbered, b, shared)), [*a.vars, *new], a.maybe | b.maybe)
+            both = Rows(pairs.select(F.col(tag), *self._columns(numbered, b, p.shared)), [*a.vars, *new], a.maybe | b.maybe)
             for expr in filters:
                 both = self.filter(both, expr)
             found = both.df.select(F.col(tag), *[col(v).alias(f"n_{column_name(v)}") for v in both.vars])
@@ -201,29 +260,25 @@ class Planner:
             own = [F.coalesce(F.col(f"n_{column_name(v)}"), col(v)).alias(column_name(v)) for v in a.vars]
             unit = [] if a.vars or new else [F.lit(1).alias("__unit")]
             return Rows(joined.select(*own, *[F.col(f"n_{column_name(v)}").alias(column_name(v)) for v in new], *unit), [*a.vars, *new], a.maybe | set(new))
-        other, shared, condition = self.compatible(a, b)
-        return self.settled(a.df.join(other.df, condition, "left"), a, b, shared, True)
+        return self.settled(p.left.join(p.right, p.condition, "left"), a, b, p.shared, True)
 
     def _columns(self, a: Rows, b: Rows, shared: list[str]) -> list[Column]:
         own = [F.coalesce(col(v), F.col(f"r_{column_name(v)}")).alias(column_name(v)) if v in shared and v in a.maybe else col(v) for v in a.vars]
         return [*own, *[col(v) for v in b.vars if v not in a.vars]]
 
     def minus(self, a: Rows, b: Rows) -> Rows:
-        other, shared, condition = self.compatible(a, b)
-        if not shared:
+        if not any(v in a.vars for v in b.vars):
             return a
         # Rows that share no bound variable take nothing away.
-        common = reduce(lambda x, y: x | y, [col(v).isNotNull() & F.col(f"r_{column_name(v)}").isNotNull() for v in shared])
-        return Rows(a.df.join(other.df, condition & common, "left_anti"), a.vars, a.maybe)
+        return Rows(self.matching(a, b, "left_anti", wild=False), a.vars, a.maybe)
 
     def filter(self, rows: Rows, expr: tuple) -> Rows:
         if expr[0] == "and":
             return self.filter(self.filter(rows, expr[1]), expr[2])
         negated = expr[0] == "not" and expr[1][0] == "exists"
         if negated or expr[0] == "exists":
-            other, shared, condition = self.compatible(rows, self.group(expr[1][1] if negated else expr[1]))
-            how = "left_anti" if negated else "left_semi"
-            return Rows(rows.df.join(other.df, condition, how), rows.vars, rows.maybe)
+            other = self.group(expr[1][1] if negated else expr[1])
+            return Rows(self.matching(rows, other, "left_anti" if negated else "left_semi"), rows.vars, rows.maybe)
         if self.holds_exists(expr):
             # EXISTS inside a larger expression: its truth becomes a column.
             return self.with_exists(rows, expr)
@@ -233,18 +288,15 @@ class Planner:
         return isinstance(expr, tuple) and (expr[0] == "exists" or any(self.holds_exists(x) for x in expr[1:])) or isinstance(expr, list) and any(map(self.holds_exists, expr))
 
     def with_exists(self, rows: Rows, expr: tuple) -> Rows:
-        self.fresh += 1
-        tag, flags = f"__row{self.fresh}", []
-        df = cut(rows.df.withColumn(tag, F.monotonically_increasing_id()))
+        numbered, tag = self.numbered(rows)
+        df, flags = numbered.df, []
 
         def flagged(e):
             nonlocal df
             if isinstance(e, tuple) and e and e[0] == "exists":
-                now = Rows(df, rows.vars, rows.maybe)
-                other, _, condition = self.compatible(now, self.group(e[1]))
                 name = f"__exists{len(flags)}_{tag}"
                 flags.append(name)
-                hit = df.join(other.df, condition, "left_semi").select(F.col(tag), F.lit(True).alias(name))
+                hit = self.matching(numbered, self.group(e[1]), "left_semi").select(F.col(tag), F.lit(True).alias(name))
                 df = df.join(hit, tag, "left")
                 return ("column", name)
             if isinstance(e, (tuple, list)):
