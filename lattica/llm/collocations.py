@@ -128,18 +128,29 @@ def _counts(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBa
     yield out()
 
 
+#: A fragment's key: a hash of pivot and neighbour, whether it holds a part of their fragments only, and how often the fragment comes.
+TIMES_BITS = 16
+TIMES = (1 << TIMES_BITS) - 1
+
+
 def _fragments(table: bytes, hot: dict[int, int]):
-    """(key, lang, fragment, n): fragments by pivot and neighbour; a digit before them is the pivot's place. Odd keys hold a part of their fragments."""
+    """(key, fragment): by pivot and neighbour. A fragment is the pivot's place, the language, and the words."""
     hot_keys = np.array(sorted(hot), np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = _Words(table)
-        held: dict[str, tuple[Counter[bytes], dict[bytes, int]]] = {}
+        counts: Counter[bytes] = Counter()
+        keys: dict[bytes, int] = {}
 
         def out() -> pa.RecordBatch:
-            rows = [(lang, f, n, keys[f]) for lang, (counts, keys) in held.items() for f, n in counts.items()]
-            lang, fragment, n, key = zip(*rows, strict=True) if rows else ([],) * 4
-            return pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(lang, pa.string()), pa.array(fragment, pa.binary()), pa.array(n, pa.int64())], names=["key", "lang", "fragment", "n"])
+            found, times = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+            key = np.fromiter(map(keys.__getitem__, found), np.uint64, len(found)).view(np.int64)
+            many = np.flatnonzero(times > TIMES).tolist()
+            more = [(k, min(TIMES, int(times[k]) - lo)) for k in many for lo in range(TIMES, int(times[k]), TIMES)]
+            key = np.concatenate([key | np.minimum(times, TIMES), np.array([key[k] | n for k, n in more], np.int64)])
+            counts.clear()
+            keys.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(found + [found[k] for k, _ in more], pa.binary())], names=["key", "fragment"])
 
         for lang, words in _slices(batches):
             ids, _, hashes = numbered.numbers(lang, words)
@@ -155,35 +166,32 @@ def _fragments(table: bytes, hot: dict[int, int]):
                 on_right = on_right & (wide[reach + s : reach + s + len(ids)] >= order)
                 left += on_left
                 right += on_right
-            counts, keys = held.setdefault(lang, (Counter(), {}))
+            begins = [b"%d%b\xff" % (k, lang.encode()) for k in range(LONGEST)]
             for side, at in ((1, np.flatnonzero(right)), (0, np.flatnonzero(left))):
                 # With the next word: phrases that hold both. Else: those that the pivot ends.
                 before = np.minimum(left[at], reach - side)
                 lo, hi = at - before, at + (right[at] if side else 0) + 1
                 other = at + 1 if side else at - 1
-                key = _mixed(h[at], h[other], side) & ~np.uint64(1)
-                places = [b"0", b"1", b"2", b"3"]
-                found = [places[k] + b" ".join(words[a:b]) for k, a, b in zip(before.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+                key = _mixed(h[at], h[other], side) & ~np.uint64(2 * TIMES + 1)
+                found = [begins[k] + b" ".join(words[a:b]) for k, a, b in zip(before.tolist(), lo.tolist(), hi.tolist(), strict=True)]
                 key_list = key.tolist()
                 if len(hot_keys):
                     first, second = (at, other) if side else (other, at)
                     pair = _mixed(h[first], h[second], 2)
                     for k in np.flatnonzero(np.isin(pair, hot_keys)).tolist():
                         deal = xxhash.xxh32_intdigest(found[k]) % hot[int(pair[k])]
-                        key_list[k] = xxhash.xxh64_intdigest(key_list[k].to_bytes(8, "little"), seed=deal) | 1
+                        key_list[k] = xxhash.xxh64_intdigest(key_list[k].to_bytes(8, "little"), seed=deal) & ~(2 * TIMES + 1) | TIMES + 1
                 counts.update(found)
                 keys.update(zip(found, key_list, strict=True))
-            if sum(len(c) for c, _ in held.values()) > GATHERED:
+            if len(counts) > GATHERED:
                 yield out()
-                held.clear()
         yield out()
 
     return run
 
 
-def _phrases(fragment: bytes) -> list[bytes]:
+def _phrases(at: int, words: list[bytes]) -> list[bytes]:
     """The phrases of a fragment that its pivot and neighbour own."""
-    at, words = fragment[0] - 48, fragment[1:].split(b" ")
     n = len(words)
     if at == n - 1:
         return [b" ".join(words[s:n]) for s in range(at)]
@@ -194,27 +202,32 @@ def _mine(least: int):
     """(lang, phrase, a) of fragments sorted by key; below `least` only where a key's counts are not whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, bytes], int] = {}
-        ready: list[tuple[str, bytes, int]] = []
+        counts: dict[bytes, dict[bytes, int]] = {}
+        ready: list[tuple[bytes, bytes, int]] = []
         key, whole, seen, waiting = None, True, 0, []
 
-        def out(rows: list[tuple[str, bytes, int]]) -> pa.RecordBatch:
-            columns = zip(*rows, strict=True) if rows else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["lang", "phrase", "a"])
+        def out() -> pa.RecordBatch:
+            lang, phrase, n = zip(*ready, strict=True) if ready else ((), (), ())
+            ready.clear()
+            return pa.RecordBatch.from_arrays([pa.array(lang, pa.binary()).cast(pa.string()), pa.array(phrase, pa.binary()), pa.array(n, pa.int64())], names=["lang", "phrase", "a"])
 
         def end() -> None:
-            ready.extend((lang, p, n) for (lang, p), n in counts.items() if n >= least or not whole)
+            ready.extend((lang, p, n) for lang, found in counts.items() for p, n in found.items() if n >= least or not whole)
             counts.clear()
 
-        def count(rows: list[tuple[str, bytes, int]]) -> None:
-            for lang, fragment, n in rows:
-                for p in _phrases(fragment):
-                    counts[lang, p] = counts.get((lang, p), 0) + n
+        def count(rows: list[tuple[bytes, int]]) -> int:
+            for fragment, n in rows:
+                head, _, body = fragment.partition(_BREAK)
+                found = counts.setdefault(head[1:], {})
+                for p in _phrases(head[0] - 48, body.split(b" ")):
+                    found[p] = found.get(p, 0) + n
+            return sum(map(len, counts.values()))
 
         for batch in batches:
-            keys, n = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            keys = batch.column(0).to_numpy()
             if not len(keys):
                 continue
+            keys, n = keys >> TIMES_BITS, keys & TIMES
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             totals, ends = np.add.reduceat(n, starts), np.append(starts[1:], len(keys))
             often = (totals >= least) | (keys[starts] & 1 > 0)
@@ -224,21 +237,20 @@ def _mine(least: int):
                 if keys[lo] != key:
                     end()
                     key, whole, seen, waiting = keys[lo], not keys[lo] & 1, 0, []
-                rows = list(zip(*(batch.column(c).slice(lo, hi - lo).to_pylist() for c in (1, 2, 3)), strict=True))
+                rows = list(zip(batch.column(1).slice(lo, hi - lo).to_pylist(), n[lo:hi].tolist(), strict=True))
                 seen += int(totals[g])
                 if whole and seen < least:
                     waiting += rows
                     continue
-                count(waiting + rows)
+                counted = count(waiting + rows)
                 waiting = []
-                if len(counts) > COUNTED:
+                if counted > COUNTED:
                     whole = False
                     end()
             if len(ready) > COUNTED:
-                yield out(ready)
-                ready.clear()
+                yield out()
         end()
-        yield out(ready)
+        yield out()
 
     return run
 
@@ -292,7 +304,7 @@ def frequent_phrases(docs: DataFrame, least: int, text_col: str = "text", lang_c
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _fragments(table.value, hot)(batches)
 
-    dealt = texts.mapInArrow(fragments, "key bigint, lang string, fragment binary, n bigint").repartition("key").sortWithinPartitions("key")
+    dealt = texts.mapInArrow(fragments, "key bigint, fragment binary").repartition(F.shiftright("key", TIMES_BITS)).sortWithinPartitions("key")
     mined = dealt.mapInArrow(_mine(least), "lang string, phrase binary, a bigint").groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     found = words.where(F.col("n") >= least).select("lang", "phrase", F.col("n").alias("a")).unionByName(mined)
     shown = found.select("lang", F.col("phrase").cast("string").alias("phrase"), "a")

@@ -75,3 +75,9 @@ def test_a_hot_language_and_pair(spark):
 def test_nothing(spark):
     assert run(spark, [(None, None), ("", "en"), ("a b", "en")]) == []
     assert collocations(spark.createDataFrame([], "text string, lang string")).collect() == []
+
+
+def test_a_fragment_that_comes_very_often(spark):
+    rows = [("a b", "en")] * 70_000 + [("b a", "en")] * 40
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    assert sorted(map(tuple, collocations(df).collect())) == brute(rows)
