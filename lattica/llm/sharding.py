@@ -17,6 +17,8 @@ from lattica.llm.common import cut
 
 SLOTS = 4096
 SEED = 20240229
+#: Slots with more than this part of a shard's even share are placed before all others.
+LARGE_SHARE = 4
 #: Parts of a slot whose rows are numbered apart.
 CELLS = 16
 
@@ -41,6 +43,8 @@ class SlotMap:
         held = [sorted((slot_bytes.get(s, 0), s) for s, x in enumerate(self.shards) if x == shard and slot_bytes.get(s, 0)) for shard in range(self.n_shards)]
         total = [sum(b for b, _ in h) for h in held]
         now = list(self.shards)
+        large = sum(total) // (LARGE_SHARE * self.n_shards)
+        self._place_largest(held, total, now, large)
         while True:
             full, empty = max(range(self.n_shards), key=lambda x: (total[x], -x)), min(range(self.n_shards), key=lambda x: (total[x], x))
             gap = total[full] - total[empty]
@@ -57,6 +61,22 @@ class SlotMap:
             now[slot] = empty
         return self._edited(now, self.n_shards)
 
+    def _place_largest(self, held: list[list[tuple[int, int]]], total: list[int], now: list[int], large: int) -> None:
+        """Slots of over `large` bytes, the largest first, go where least is yet: small ones can even out the rest."""
+        some = sorted((x for h in held for x in h if x[0] > large), reverse=True)
+        placed = [0] * self.n_shards
+        for size, slot in some:
+            at = now[slot]
+            # It stays where it is unless another shard has less of the large ones.
+            to = min(range(self.n_shards), key=lambda x: (placed[x], x != at, x))
+            placed[to] += size
+            if to != at:
+                held[at].remove((size, slot))
+                bisect.insort(held[to], (size, slot))
+                total[at] -= size
+                total[to] += size
+                now[slot] = to
+
     def grown(self, slot_bytes: dict[int, int]) -> SlotMap:
         """The next version with one more shard: slots move into it alone, each from the shard that is then fullest."""
         n, now = self.n_shards + 1, list(self.shards)
@@ -106,10 +126,10 @@ def record_bytes(text: Column) -> Column:
 
 
 def hot_groups(sized: DataFrame, group_col: str, bytes_col: str, n_shards: int) -> DataFrame:
-    """Groups of several rows with more bytes than half a shard's even share: fewer than two for each shard, whatever the table's size."""
+    """Groups of several rows with more bytes than a shard's even share, so that no shard can hold them evenly: fewer than shards, whatever the table's size."""
     total = sized.agg(F.coalesce(F.sum(bytes_col), F.lit(0)).alias("b")).first()["b"]
     sums = sized.groupBy(F.col(group_col).alias("__group")).agg(F.sum(bytes_col).alias("__b"), F.count(F.lit(1)).alias("__n"))
-    return sums.where((F.col("__n") > 1) & (F.col("__b") * 2 * n_shards > total)).select("__group")
+    return sums.where((F.col("__n") > 1) & (F.col("__b") * n_shards > total)).select("__group")
 
 
 def with_slots(rows: DataFrame, hot: DataFrame, id_col: str, group_col: str, out_col: str, n_slots: int = SLOTS, seed: int = SEED) -> DataFrame:
@@ -149,8 +169,9 @@ def shard_rows(docs: DataFrame, n_shards: int, map_path: str, id_col: str = "doc
     Shards get nearly equal bytes (the law is `bytes`; grown_shard is null): the
     latest map stored below `map_path`, or a round-robin one, is rebalanced by the
     slots' bytes and stored as the next version. Rows of equal text are in one shard,
-    unless together they have more bytes than half a shard's even share: then they
-    spread by id. `slot` is the row's place in its shard, gapless from 0: shards list
+    unless together they have more bytes than a shard's even share: then they spread
+    by id. The largest slots are placed first, each in the emptiest shard, and then
+    moved one by one while that evens shards out. `slot` is the row's place in its shard, gapless from 0: shards list
     their virtual slots in order, and these their rows by a hash of the id and by id.
     Null texts have size 1 and a null checksum and count as one group, as empty texts
     do; null ids come first in their part of a slot; repeated rows are placed each;

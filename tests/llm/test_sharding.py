@@ -55,6 +55,18 @@ def test_equal_texts_share_a_shard_at_every_size(spark, tmp_path):
         assert all(len(s) == 1 for s in shards.values())
 
 
+def test_no_group_that_fits_a_share_is_split(spark, tmp_path):
+    """Ten groups of equal texts, each a tenth of all bytes, over eight shards: whole, and as even as whole groups can be."""
+    for n in (20, 300, 30_000):
+        df = spark.createDataFrame([(i, f"text {i % 10} " * 10) for i in range(n)], "doc_id bigint, text string")
+        shards, held = {}, Counter()
+        for r in shard_rows(df, 8, str(tmp_path / f"t{n}")).collect():
+            shards.setdefault(r["text_crc32"], set()).add(r["shard"])
+            held[r["shard"]] += r["size"]
+        assert len(shards) == 10 and all(len(s) == 1 for s in shards.values())
+        assert len(held) == 8 and max(held.values()) == 2 * min(held.values())
+
+
 def test_documents_of_equal_text_share_a_shard(spark):
     sf = "/root/testdata/sf0.01"
     rows = op1_shards(spark, sf).collect()
@@ -63,7 +75,7 @@ def test_documents_of_equal_text_share_a_shard(spark):
         by.setdefault((r["text_crc32"], r["size"]), []).append(r["shard"])
     assert max(map(len, by.values())) > 1
     for (_, size), shards in by.items():
-        assert len(set(shards)) == 1 or size * len(shards) * 16 > total
+        assert len(set(shards)) == 1 or size * len(shards) * 8 > total
 
 
 def test_map_is_the_plain_greedy_one(spark, tmp_path):
