@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from lattica.functions import terms
 from lattica.operators.rules import SPO, matched
 from lattica.operators.store import case_index
+from lattica.runtime import cut, deadline
 
 #: Differently-cased names that a rejected answer is shown.
 HINTS = 5
 
 
-def violations(triples: DataFrame) -> DataFrame:
+def violations(triples: DataFrame, seconds: float | None = None) -> DataFrame:
     """(s, p, n, objects): subjects with several values of a property asserted to be functional.
 
     Over asserted triples on purpose: a closure makes the values equal and spreads
-    one conflict over everything that they touch.
+    one conflict over everything that they touch. With `seconds`, the result is made at
+    once, or DeadlineExceeded raised.
     """
+    if seconds is not None:
+        with deadline(triples.sparkSession, seconds):
+            return cut(violations(triples))
     functional = matched(triples, ("?p", "rdf:type", "owl:FunctionalProperty")).distinct()
     found = triples.join(functional, "p", "left_semi").groupBy("s", "p").agg(F.sort_array(F.collect_set("o")).alias("objects"))
     return found.where(F.size("objects") > 1).select("s", "p", F.size("objects").cast("long").alias("n"), "objects")

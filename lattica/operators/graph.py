@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lattica.functions import terms
 from lattica.operators.metrics import numbered
 from lattica.operators.rules import SPO
-from lattica.runtime import cut
+from lattica.runtime import cut, deadline
 
 MAX_HOPS, MAX_TERMINALS, MAX_EDGES = 5, 100, 200
 
@@ -68,8 +68,13 @@ def walk(triples: DataFrame, start: DataFrame, hops: list[tuple[str, bool]]) ->
     return out
 
 
-def traverse(triples: DataFrame, start: str, relations: list[str], exclude_start: bool = True, max_terminals: int = MAX_TERMINALS, max_edges: int = MAX_EDGES, max_hops: int = MAX_HOPS) -> PathResult:
-    """Follows a chain of predicates from one entity, each hop both ways unless it has a leading ^."""
+def traverse(triples: DataFrame, start: str, relations: list[str], exclude_start: bool = True, max_terminals: int = MAX_TERMINALS, max_edges: int = MAX_EDGES, max_hops: int = MAX_HOPS, seconds: float | None = None) -> PathResult:
+    """Follows a chain of predicates from one entity, each hop both ways unless it has a leading ^; DeadlineExceeded beyond `seconds`, if given."""
+    with deadline(triples.sparkSession, seconds):
+        return _traversed(triples, start, relations, exclude_start, max_terminals, max_edges, max_hops)
+
+
+def _traversed(triples: DataFrame, start: str, relations: list[str], exclude_start: bool, max_terminals: int, max_edges: int, max_hops: int) -> PathResult:
     spark, term, hops = triples.sparkSession, terms.parse(start), chain(relations, max_hops)
     notes = []
     if triples.where((F.col("s") == term) | (F.col("o") == term)).isEmpty():

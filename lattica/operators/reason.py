@@ -4,6 +4,11 @@ Equality is kept apart: connected components of owl:sameAs name a representative
 for each individual, triples are rewritten to representatives, and members are
 expanded only where asked for. The other rules run by semi-naive joins
 (`lattica.operators.rules`). Reflexive and axiomatic triples are withheld.
+
+A closure can be kept up to date: `changed` takes facts and schema away and adds
+others, with work that follows what the change touches. What may rest on something
+that is gone is taken out to the last consequence; then what still stands without it
+is derived again.
 """
 
 from __future__ import annotations
@@ -14,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.components import components
-from lattica.operators.rules import SPO, Rule, fixpoint, matched, rule
-from lattica.runtime import cut, deadline
+from lattica.operators.rules import SPO, Rule, constants_in, matched, overdeleted, rederived, rule, saturate, together
+from lattica.runtime import cut, deadline, setting
 
 TYPE, SAME, DIFFERENT, SUB = "rdf:type", "owl:sameAs", "owl:differentFrom", "rdfs:subClassOf"
 
@@ -57,28 +62,52 @@ RULES: tuple[Rule, ...] = (
     rule("scm-int", "?c _:intersection ?d", "?c rdfs:subClassOf ?d", ["?c ?d"]),
     rule("scm-uni", "?c _:union ?d", "?d rdfs:subClassOf ?c", ["?c ?d"]),
     rule("cls-oo", "?c _:oneof ?y", "?y rdf:type ?c"),
+    # Lists of several items count as pairs of an item and the rest, see `flattened`.
+    rule("cls-int1", "?y rdf:type ?a . ?y rdf:type ?b . ?c _:and1 ?a . ?c _:and2 ?b", "?y rdf:type ?c"),
+    rule("cls-int1-single", "?y rdf:type ?a . ?c _:and ?a", "?y rdf:type ?c"),
+    rule("prp-spo2", "?x ?a ?y . ?y ?b ?z . ?q _:then1 ?a . ?q _:then2 ?b", "?x ?q ?z"),
+    rule("prp-spo2-single", "?x ?a ?y . ?q _:then ?a", "?x ?q ?y"),
 )
 
 #: Lists that the rules read, and the predicate of their flattened form.
 LISTS = {"owl:intersectionOf": "_:intersection", "owl:unionOf": "_:union", "owl:oneOf": "_:oneof", "owl:propertyChainAxiom": "_:chain", "owl:hasKey": "_:key", "owl:members": "_:members", "owl:distinctMembers": "_:members"}
+#: Lists that are taken in pairs.
+PAIRED = {"owl:intersectionOf": "_:and", "owl:propertyChainAxiom": "_:then"}
+#: Begins the names of a list's beginnings, which stand for what its first items give.
+PREFIX = "_:~"
 
 
 def list_members(triples: DataFrame) -> DataFrame:
-    """(holder, p, place, item): items of the lists that LISTS names, by walking rdf:rest one step a round."""
-    holds = triples.where(F.col("p").isin(list(LISTS))).select(F.col("s").alias("holder"), "p", F.col("o").alias("cell"))
+    """(holder, p, list, place, item): items of the lists that LISTS names, by walking rdf:rest one step a round; a list's first cell names it."""
+    holds = triples.where(F.col("p").isin(list(LISTS))).select(F.col("s").alias("holder"), "p", F.col("o").alias("list"), F.col("o").alias("cell"))
     first = cut(triples.where(F.col("p") == "rdf:first").select(F.col("s").alias("cell"), F.col("o").alias("item")))
     rest = cut(triples.where(F.col("p") == "rdf:rest").select(F.col("s").alias("cell"), F.col("o").alias("next")))
     out, place = None, 0
     at = cut(holds.where(F.col("cell") != "rdf:nil"))
     seen = at
     while not at.isEmpty():
-        here = at.join(first, "cell").select("holder", "p", F.lit(place).alias("place"), "item")
+        here = at.join(first, "cell").select("holder", "p", "list", F.lit(place).alias("place"), "item")
         out = here if out is None else out.unionByName(here)
-        step = at.join(rest, "cell").select("holder", "p", F.col("next").alias("cell")).where(F.col("cell") != "rdf:nil")
-        at = cut(step.join(seen, ["holder", "p", "cell"], "left_anti"))  # a list that bites its tail ends
+        step = at.join(rest, "cell").select("holder", "p", "list", F.col("next").alias("cell")).where(F.col("cell") != "rdf:nil")
+        at = cut(step.join(seen, ["holder", "p", "list", "cell"], "left_anti"))  # a list that bites its tail ends
         seen = cut(seen.unionByName(at))
         place += 1
-    return cut(out) if out is not None else triples.sparkSession.createDataFrame([], "holder string, p string, place int, item string")
+    return cut(out) if out is not None else triples.sparkSession.createDataFrame([], "holder string, p string, list string, place int, item string")
+
+
+def flattened(members: DataFrame) -> DataFrame:
+    """Lists as statements for the rules: (holder, LISTS[p], item); and, of lists that are taken in pairs, each beginning of a list as the beginning before and its last item."""
+    named = F.coalesce(*[F.when(F.col("p") == p, F.lit(f)) for p, f in LISTS.items()])
+    out = members.select(F.col("holder").alias("s"), named.alias("p"), F.col("item").alias("o"))
+    rows = members.where(F.col("p").isin(list(PAIRED))).withColumn("p", F.coalesce(*[F.when(F.col("p") == p, F.lit(f)) for p, f in PAIRED.items()]))
+    ends = rows.groupBy("holder", "p", "list").agg(F.max("place").alias("last"), F.min_by("item", "place").alias("first"))
+    rows = rows.join(ends, ["holder", "p", "list"])
+    beginning = lambda k: F.concat(F.lit(PREFIX), "list", F.lit("|"), k.cast("string"))
+    whole = F.when(F.col("place") == F.col("last"), F.col("holder")).otherwise(beginning(F.col("place")))
+    before = F.when(F.col("place") == 1, F.col("first")).otherwise(beginning(F.col("place") - 1))
+    pairs = rows.where("place > 0").select(whole.alias("s"), F.explode(F.array(F.struct(F.concat("p", F.lit("1")).alias("p"), before.alias("o")), F.struct(F.concat("p", F.lit("2")).alias("p"), F.col("item").alias("o")))).alias("x"))
+    single = rows.where("last = 0").select(F.col("holder").alias("s"), "p", F.col("item").alias("o"))
+    return out.unionByName(pairs.select("s", "x.p", "x.o")).unionByName(single).distinct()
 
 
 def rewritten(triples: DataFrame, same: DataFrame) -> DataFrame:
@@ -92,11 +121,21 @@ def rewritten(triples: DataFrame, same: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Closure:
-    """Triples over representatives, the components of equal individuals (node, component), and the asserted lists (holder, p, place, item)."""
+    """What follows from a graph: triples over representatives, and the components of equal individuals (node, component).
+
+    `known` holds the triples with those that only the rules read; `members` are the
+    asserted lists (holder, p, list, place, item).
+    """
 
-    triples: DataFrame
+    known: DataFrame
     same: DataFrame
-    members: DataFrame | None = None
+    members: DataFrame
+
+    @property
+    def triples(self) -> DataFrame:
+        inner = [*LISTS.values(), *[f + k for f in PAIRED.values() for k in ("", "1", "2")]]
+        begun = F.startswith("p", F.lit(PREFIX)) | ((F.col("p") == TYPE) & F.startswith("o", F.lit(PREFIX)))
+        return self.known.where(~F.col("p").isin(inner) & ~begun)
 
     def expanded(self) -> DataFrame:
         """All entailed triples over all names, sameAs between different names included."""
@@ -108,18 +147,24 @@ class Closure:
         return out.select(SPO).unionByName(pair.where("s <> o").select("s", F.lit(SAME).alias("p"), "o")).distinct()
 
 
-def _functional(known: DataFrame, kind: str) -> DataFrame:
-    """sameAs from (inverse) functional properties: every value links to the least, so a crowd costs no pairs."""
+def _functional(known: DataFrame, delta: DataFrame | None, kind: str) -> DataFrame:
+    """sameAs from (inverse) functional properties: every value links to the least, so a crowd costs no pairs.
+
+    With a `delta`, of the groups alone that it adds to, or whose property it makes functional.
+    """
     key, value = ("s", "o") if kind == "owl:FunctionalProperty" else ("o", "s")
     props = matched(known, ("?p", TYPE, kind)).distinct()
     rows = known.join(props, "p", "left_semi").where(~F.startswith(value, F.lit('"')))
+    if delta is not None:
+        touched = delta.join(props, "p", "left_semi").select("p", key).distinct()
+        rows = rows.join(touched, ["p", key], "left_semi").unionByName(rows.join(matched(delta, ("?p", TYPE, kind)), "p", "left_semi"))
     least = rows.groupBy("p", key).agg(F.min(value).alias("least"))
     return rows.join(least, ["p", key]).where(F.col(value) != F.col("least")).select(F.col(value).alias("s"), F.lit(SAME).alias("p"), F.col("least").alias("o"))
 
 
 def _max_one(known: DataFrame) -> DataFrame:
     """sameAs from a cardinality of at most one (cls-maxc2, cls-maxqc3 and 4)."""
-    one = known.where(F.col("p").isin("owl:maxCardinality", "owl:maxQualifiedCardinality") & F.col("o").startswith('"1"')).select(F.col("s").alias("r"))
+    one = known.where(F.col("p").isin(list(CARDINALITIES)) & F.col("o").startswith('"1"')).select(F.col("s").alias("r"))
     on = matched(known, ("?r", "owl:onProperty", "?prop"))
     of = matched(known, ("?r", "owl:onClass", "?cls"))
     held = one.distinct().join(on, "r").join(of, "r", "left")
@@ -131,42 +176,77 @@ def _max_one(known: DataFrame) -> DataFrame:
     return rows.join(least, ["u", "r"]).where("y <> least").select(F.col("y").alias("s"), F.lit(SAME).alias("p"), F.col("least").alias("o"))
 
 
-def _list_rules(members: DataFrame):
-    """Rules over lists of any length: intersections, property chains and keys."""
-    own = {p: members.where(F.col("p") == p) for p in ("owl:intersectionOf", "owl:propertyChainAxiom", "owl:hasKey")}
-    lengths = {r["p"]: r["n"] for r in members.groupBy("p").agg((F.max("place") + 1).alias("n")).collect()}  # a row for each kind
-
-    def extra(known: DataFrame, news: DataFrame) -> list[DataFrame]:
-        out = []
-        if "owl:intersectionOf" in lengths:
-            parts = own["owl:intersectionOf"].select(F.col("holder").alias("c"), F.col("item").alias("d")).distinct()
-            need = parts.groupBy("c").agg(F.count(F.lit(1)).alias("need"))
-            has = matched(known, ("?y", TYPE, "?d")).distinct().join(parts, "d").groupBy("y", "c").agg(F.count(F.lit(1)).alias("has"))
-            out.append(has.join(need, "c").where("has = need").select(F.col("y").alias("s"), F.lit(TYPE).alias("p"), F.col("c").alias("o")))
-        if n := lengths.get("owl:propertyChainAxiom"):
-            chain = own["owl:propertyChainAxiom"].select(F.col("holder").alias("q"), "place", F.col("item").alias("p"))
-            last = chain.groupBy("q").agg(F.max("place").alias("last"))
-            walk = chain.where("place = 0").join(known, "p").select("q", F.col("s").alias("u"), F.col("o").alias("at"), F.lit(0).alias("place"))
-            for k in range(n):
-                ends = walk.join(last, "q").where("place = last")
-                out.append(ends.select(F.col("u").alias("s"), F.col("q").alias("p"), F.col("at").alias("o")))
-                step = chain.where(F.col("place") == k + 1).join(known, "p").select("q", F.col("s").alias("at"), F.col("o").alias("to"))
-                walk = walk.join(step, ["q", "at"]).select("q", "u", F.col("to").alias("at"), F.lit(k + 1).alias("place")).distinct()
-        if "owl:hasKey" in lengths:
-            key = own["owl:hasKey"].select(F.col("holder").alias("c"), "place", F.col("item").alias("p"))
-            last = key.groupBy("c").agg(F.max("place").alias("last"))
-            users = matched(known, ("?x", TYPE, "?c")).join(key, "c").join(known.select(F.col("s").alias("x"), "p", F.col("o").alias("v")), ["x", "p"]).select("c", "x", "place", "v")
-            # A choice of one value for each property is a name; an individual has as many as its values combine to, one mostly.
-            named = users.where("place = 0").select("c", "x", F.array("v").alias("k"))
-            for k in range(lengths["owl:hasKey"]):
-                whole = named.join(last.where(F.col("last") == k), "c").select("c", "x", "k")
-                least = whole.groupBy("c", "k").agg(F.min("x").alias("least"))
-                out.append(whole.join(least, ["c", "k"]).where("x <> least").select(F.col("x").alias("s"), F.lit(SAME).alias("p"), F.col("least").alias("o")))
-                step = users.where(F.col("place") == k + 1).drop("place")
-                named = named.join(step, ["c", "x"]).select("c", "x", F.array_append("k", F.col("v")).alias("k"))
-        return out
-
-    return extra if lengths else None
+def _keys(known: DataFrame, members: DataFrame) -> list[DataFrame]:
+    """sameAs from keys: individuals of a class that share a value of each property of its key."""
+    key = members.where(F.col("p") == "owl:hasKey").select(F.col("holder").alias("c"), "list", "place", F.col("item").alias("p"))
+    longest = key.agg(F.max("place")).first()[0]
+    if longest is None:
+        return []
+    last, out = key.groupBy("c", "list").agg(F.max("place").alias("last")), []
+    users = matched(known, ("?x", TYPE, "?c")).join(key, "c").join(known.select(F.col("s").alias("x"), "p", F.col("o").alias("v")), ["x", "p"]).select("c", "list", "x", "place", "v")
+    # A choice of one value for each property is a name; an individual has as many as its values combine to, one mostly.
+    named = users.where("place = 0").select("c", "list", "x", F.array("v").alias("k"))
+    for k in range(longest + 1):
+        whole = named.join(last.where(F.col("last") == k), ["c", "list"]).select("c", "list", "x", "k")
+        least = whole.groupBy("c", "list", "k").agg(F.min("x").alias("least"))
+        out.append(whole.join(least, ["c", "list", "k"]).where("x <> least").select(F.col("x").alias("s"), F.lit(SAME).alias("p"), F.col("least").alias("o")))
+        step = users.where(F.col("place") == k + 1).drop("place")
+        named = named.join(step, ["c", "list", "x"]).select("c", "list", "x", F.array_append("k", F.col("v")).alias("k"))
+    return out
+
+
+CARDINALITIES = ("owl:maxCardinality", "owl:maxQualifiedCardinality")
+#: Statements on which equality may rest: kinds of properties, and predicates.
+EQUATES = ("owl:FunctionalProperty", "owl:InverseFunctionalProperty")
+EQUATING = (*CARDINALITIES, "owl:onProperty", "owl:onClass", "_:key")
+
+
+def equalities(known: DataFrame, delta: DataFrame | None, members: DataFrame) -> DataFrame:
+    """(a, b): equalities that the facts force, as far as `delta` can have added some; all, if it is None."""
+    here = constants_in(known, [(2, k) for k in EQUATES] + [(1, p) for p in EQUATING])
+    found = [known.where(F.col("p") == SAME)]
+    found += [_functional(known, delta, k) for k in EQUATES if (2, k) in here]
+    if any((1, p) in here for p in CARDINALITIES):
+        found.append(_max_one(known))
+    if (1, "_:key") in here:
+        found += _keys(known, members)
+    return together(found).select(F.col("s").alias("a"), F.col("o").alias("b")).where("a <> b").distinct()
+
+
+def mentioning(triples: DataFrame, names: DataFrame) -> DataFrame:
+    """Triples with one of `names` (node) at any place."""
+    node = names.select("node").distinct()
+    return together([triples.join(node.withColumnRenamed("node", c), c, "left_semi").select(SPO) for c in SPO]).distinct()
+
+
+def _plainly(spark):
+    """Planning without inferred filters: unions of what rounds add trip over them, and rules gain nothing from them."""
+    return setting(spark, "spark.sql.constraintPropagation.enabled", "false")
+
+
+def _settled(known: DataFrame, news: DataFrame, same: DataFrame, links: DataFrame, members: DataFrame, rules: tuple[Rule, ...]) -> Closure:
+    """The closure of `known`, of which all but `news` and the equalities `links` (a, b) have been worked off.
+
+    Equalities rewrite the triples that they touch, which are then all that is new.
+    """
+    whole = news is known
+    while True:
+        if not links.isEmpty():
+            now = cut(components(same.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
+            before = same.select("node", F.col("component").alias("was"))
+            moved = cut(now.join(before, "node", "left").where(F.col("component") != F.coalesce("was", "node")).select("node"))
+            touched = cut(mentioning(known, moved))
+            rest = known.join(touched, SPO, "left_anti")
+            fresh = cut(rewritten(touched, now).join(rest, SPO, "left_anti"))
+            known = cut(rest.unionByName(fresh))
+            news = known if whole else cut(rewritten(news, now).unionByName(fresh).distinct())
+            same = now
+        known, added = saturate(known, news, rules)
+        links = cut(equalities(known, None if whole else together([news, *added]), members))
+        known, whole = known.where(F.col("p") != SAME), False
+        if links.isEmpty():
+            return Closure(cut(known), same, members)
+        news = known.limit(0)  # the next round's news is what the links rewrite
 
 
 def closure(triples: DataFrame, rules: tuple[Rule, ...] = RULES, seconds: float | None = None) -> Closure:
@@ -175,34 +255,107 @@ def closure(triples: DataFrame, rules: tuple[Rule, ...] = RULES, seconds: float
         return closed(triples, rules)
 
 
+def _equal(triples: DataFrame) -> DataFrame:
+    return triples.where(F.col("p") == SAME).select(F.col("s").alias("a"), F.col("o").alias("b")).where("a <> b")
+
+
 def closed(triples: DataFrame, rules: tuple[Rule, ...] = RULES) -> Closure:
     """The OWL 2 RL closure of asserted triples.
 
     Contradictory graphs close too: values that a functional property shares become
     one, so audit the asserted triples (`lattica.operators.audit`), not these.
     """
-    spark = triples.sparkSession
-    plain = cut(triples.select(SPO).distinct())
-    members = list_members(plain)
-    flat = members.select(F.col("holder").alias("s"), F.coalesce(*[F.when(F.col("p") == p, F.lit(f)) for p, f in LISTS.items()]).alias("p"), F.col("item").alias("o"))
-    base = cut(plain.unionByName(flat))
-    same = spark.createDataFrame([], "node string, component string")
-    links = cut(base.where(F.col("p") == SAME).select(F.col("s").alias("a"), F.col("o").alias("b")))
-    extra = _list_rules(members)
-    known, found = base, not links.isEmpty()
+    with _plainly(triples.sparkSession):
+        plain = cut(triples.select(SPO).distinct())
+        members = list_members(plain)
+        known = cut(plain.where(F.col("p") != SAME).unionByName(flattened(members)))
+        same = triples.sparkSession.createDataFrame([], "node string, component string")
+        return _settled(known, known, same, cut(_equal(plain)), members, rules)
+
+
+def nothing_known(spark) -> Closure:
+    """The closure of an empty graph."""
+    empty = spark.createDataFrame([], "s string, p string, o string")
+    return Closure(empty, spark.createDataFrame([], "node string, component string"), list_members(empty))
+
+
+def changed(asserted: DataFrame, closed: Closure, gone: DataFrame | None = None, new: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, Closure]:
+    """The graph without `gone` and with `new` triples, and its closure, from `closed`, the closure of `asserted`.
+
+    The same as a closure of the new graph from nothing. Rows of `gone` that aren't
+    asserted and rows of `new` that are change nothing; a triple in both stays. Either
+    may be None. Facts and schema alike may come and go.
+
+    What is gone takes with it, to the last consequence, all that a rule gives of it;
+    components of equal individuals that it touches come apart, and all triples that
+    name them go too. From what is kept, a step of the rules brings back those of the
+    lost that still follow; they, what is still asserted, and what is new, start the
+    rules again.
+    """
+    with _plainly(asserted.sparkSession):
+        return _changed(asserted, closed, gone, new, rules)
+
+
+def _changed(asserted: DataFrame, closed: Closure, gone: DataFrame | None, new: DataFrame | None, rules: tuple[Rule, ...]) -> tuple[DataFrame, Closure]:
+    plain = asserted.select(SPO)
+    empty = plain.limit(0)
+    new = cut((new.select(SPO).distinct() if new is not None else empty).join(plain, SPO, "left_anti")) if new is not None else None
+    lost = cut(gone.select(SPO).distinct().join(plain, SPO, "left_semi")) if gone is not None else None
+    after = plain if lost is None else plain.join(lost, SPO, "left_anti")
+    after = after if new is None else after.unionByName(new)
+    parts = [x for x in (lost, new) if x is not None]
+    if not parts:
+        return asserted, closed
+    lists = [*LISTS, "rdf:first", "rdf:rest"]
+    members, flat, unsaid = closed.members, empty, empty
+    if not together(parts).where(F.col("p").isin(lists)).isEmpty():
+        members = list_members(cut(after.where(F.col("p").isin(lists))))
+        old, now = flattened(closed.members), flattened(members)
+        flat, unsaid = cut(now.join(old, SPO, "left_anti")), cut(old.join(now, SPO, "left_anti"))
+    lost = unsaid if lost is None else lost.unionByName(unsaid)
+    new = flat if new is None else new.unionByName(flat)
+
+    kept, over, apart = _without(closed, cut(lost), rules)
+    same = closed.same.join(apart, "component", "left_anti")
+    names = cut(closed.same.join(apart, "component", "left_semi").select("node"))
+    # What is still said of the lost and of the names that came apart.
+    said = after.where(F.col("p") != SAME).unionByName(flattened(members))
+    again = rewritten(said, same).join(over, SPO, "left_semi").unionByName(rewritten(mentioning(said, names), same)) if not over.isEmpty() or not names.isEmpty() else empty
+    back = rederived(kept, over, rules) if not over.isEmpty() else empty
+    fresh = together([again, back, rewritten(new.where(F.col("p") != SAME), same)]).distinct()
+    news = cut(fresh.join(kept, SPO, "left_anti"))
+    linked = _equal(after).join(names.select(F.col("node").alias("a")), "a", "left_semi")
+    links = cut(linked.unionByName(_equal(new)).distinct())
+    return after, _settled(kept.unionByName(news), news, cut(same), links, members, rules)
+
+
+def _without(closed: Closure, lost: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What of a closure cannot rest on `lost` triples, what may, and the components that may come apart (component)."""
+    known, empty = closed.known, closed.known.limit(0)
+    components_ = closed.same.select("component").distinct()
+    apart = cut(closed.same.join(_equal(lost).select(F.col("a").alias("node")), "node", "left_semi").select("component").distinct())
+    over, news, pending = empty, cut(rewritten(lost.where(F.col("p") != SAME), closed.same).join(known, SPO, "left_semi")), apart
+    if news.isEmpty() and apart.isEmpty():
+        return known, empty, apart
+    present = constants_in(known, sorted({c for r in rules for c in r.constants} | {(1, p) for p in CARDINALITIES}))
+    counted = any((1, p) in present for p in CARDINALITIES)
     while True:
-        if found:
-            same = components(links)
-            known = cut(rewritten(known.where(F.col("p") != SAME), same))
-        known = fixpoint(known.where(F.col("p") != SAME), rules, extra)
-        equal = _functional(known, "owl:FunctionalProperty").unionByName(_functional(known, "owl:InverseFunctionalProperty")).unionByName(_max_one(known)).unionByName(known.where(F.col("p") == SAME))
-        more = cut(equal.select(F.col("s").alias("a"), F.col("o").alias("b")).where("a <> b").distinct())
-        found = not more.isEmpty()
-        if not found:
-            inner = [f for f in LISTS.values()]
-            return Closure(cut(known.where(~F.col("p").isin(inner) & (F.col("p") != SAME))), same, members)
-        # Links between representatives join the components that they stand for.
-        links = cut(links.unionByName(more).distinct())
+        if not pending.isEmpty():
+            named = mentioning(known, pending.select(F.col("component").alias("node")))
+            news = cut(news.unionByName(named).distinct().join(over, SPO, "left_anti"))
+        if news.isEmpty():
+            return known.join(over, SPO, "left_anti"), over, apart
+        over = over.unionByName(news)
+        # A component may rest on what names it, on schema that equates, or on the class of what a counted property belongs to.
+        hit = together([news.select(F.col(c).alias("component")) for c in SPO])
+        if counted:
+            classed = news.where(F.col("p") == TYPE).select("s").distinct()
+            hit = hit.unionByName(known.join(classed, "s", "left_semi").select(F.col("o").alias("component")))
+        if not news.where(((F.col("p") == TYPE) & F.col("o").isin(list(EQUATES))) | F.col("p").isin(list(EQUATING))).isEmpty():
+            hit = components_
+        pending = cut(components_.join(hit.distinct(), "component", "left_semi").join(apart, "component", "left_anti"))
+        apart = apart.unionByName(pending)
+        news = cut(overdeleted(known, news, rules, present).join(over, SPO, "left_anti"))
 
 
 def inferred(triples: DataFrame, closed: Closure) -> DataFrame:
@@ -266,7 +419,7 @@ def inconsistencies(closed: Closure) -> DataFrame:
     of_class = counted.join(t.where(F.col("p") == TYPE).select(F.col("s").alias("o"), F.col("o").alias("c")), ["o", "c"], "left_semi").select(F.lit("cls-maxqc1").alias("rule"), *SPO)
     of_any = counted.where(F.col("c") == "owl:Thing").select(F.lit("cls-maxqc2").alias("rule"), *SPO)
     out = both
-    for part in (nothing, loops, asym, shared, differ, against, zero, of_class, of_any, ill_typed(t), *(_among_members(closed) if closed.members is not None else [])):
+    for part in (nothing, loops, asym, shared, differ, against, zero, of_class, of_any, ill_typed(t), *_among_members(closed)):
         out = out.unionByName(part)
     return out.distinct()
 

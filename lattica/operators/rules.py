@@ -9,7 +9,7 @@ has no news.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -21,6 +21,8 @@ from lattica.runtime import cut, release
 SPO = ["s", "p", "o"]
 Pattern = tuple[str, str, str]
 MAX_ROUNDS = 10_000
+#: Additions that are read one by one before they are put together.
+LOOSE = 8
 
 
 @dataclass(frozen=True)
@@ -74,8 +76,8 @@ def _of_schema(atom: Pattern) -> bool:
     return atom[1].startswith(("rdfs:", "owl:", "_:")) or atom[1] == "rdf:type" and atom[2].startswith(("rdfs:", "owl:"))
 
 
-def consequences(r: Rule, sources: list[DataFrame], new: int | None = None) -> DataFrame:
-    """Heads of a rule, the k-th pattern of whose body is matched in the k-th of `sources`.
+def consequences(r: Rule, sources: list[DataFrame], new: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Heads of a rule, the k-th pattern of whose body is matched in the k-th of `sources`; of the heads that are `asked` for, if given.
 
     Statements of the schema are joined first, then the `new` source, then all facts:
     so facts are never joined with facts before the schema has picked among them.
@@ -83,7 +85,7 @@ def consequences(r: Rule, sources: list[DataFrame], new: int | None = None) -> D
     order = sorted(range(len(r.body)), key=lambda k: (not _of_schema(r.body[k]), k != new, k))
     parts = [matched(sources[k], r.body[k]) for k in order]
     parts = [x.distinct() if len(x.columns) < 2 else x for x in parts]
-    rows = joined(parts)
+    rows = joined(parts if asked is None else [asked, *parts])
     for a, b in r.differ:
         rows = rows.where(F.col(a[1:]) != F.col(b[1:]))
     head = [F.col(t[1:]) if t.startswith("?") else F.lit(t) for t in r.head]
@@ -94,9 +96,13 @@ def consequences(r: Rule, sources: list[DataFrame], new: int | None = None) -> D
 
 
 def _constants(triples: DataFrame, rules: Iterable[Rule]) -> set[tuple[int, str]]:
-    """Which (place, term) of the rules' constants occur; as many rows as the rules have constants."""
-    wanted = {c for r in rules for c in r.constants}
-    out: set[tuple[int, str]] = set()
+    """Which of the rules' constants occur."""
+    return constants_in(triples, {c for r in rules for c in r.constants})
+
+
+def constants_in(triples: DataFrame, wanted: Iterable[tuple[int, str]]) -> set[tuple[int, str]]:
+    """Which of some terms occur at their places, 1 for the predicate and 2 for the object; as many rows as are asked for."""
+    wanted, out = list(wanted), set()
     for place, column in ((1, "p"), (2, "o")):
         terms = sorted(t for k, t in wanted if k == place)
         if terms:
@@ -104,33 +110,62 @@ def _constants(triples: DataFrame, rules: Iterable[Rule]) -> set[tuple[int, str]
     return out
 
 
-def fixpoint(triples: DataFrame, rules: Sequence[Rule], extra=None) -> DataFrame:
-    """`triples` and all that the rules give of them, distinct.
+def planned(rules: Iterable[Rule], present: set[tuple[int, str]], fresh: set[tuple[int, str]]) -> Iterator[tuple[Rule, int]]:
+    """Rules whose constants are all `present`, and the places of their bodies whose constants are all `fresh`."""
+    for r in rules:
+        if r.constants <= present:
+            for k, atom in enumerate(r.body):
+                if {(place, t) for place, t in enumerate(atom) if place and not t.startswith("?")} <= fresh:
+                    yield r, k
+
+
+def together(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
 
-    `extra(known, news)` may give further triples each round, or None.
+def saturate(known: DataFrame, news: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, list[DataFrame]]:
+    """All that the rules give of `known` once `news`, which it holds, is new; and what each round added.
+
+    Both are distinct. What is known grows by the rounds' additions, which are put
+    together anew only now and then, so a round writes what it adds and no more.
     """
-    known = cut(triples.select(SPO).distinct())
-    news = known
-    present = _constants(known, rules)
-    fresh = present
+    present, fresh, added, loose = _constants(known, rules), _constants(news, rules), [], 0
     for _ in range(MAX_ROUNDS):
-        found = []
-        for r in rules:
-            if not r.constants <= present:
-                continue
-            for k, atom in enumerate(r.body):
-                own = {(place, t) for place, t in enumerate(atom) if place and not t.startswith("?")}
-                if own <= fresh:
-                    found.append(consequences(r, [news if j == k else known for j in range(len(r.body))], k))
-        if extra is not None:
-            found += [x.select(SPO) for x in (extra(known, news) or [])]
+        found = [consequences(r, [news if j == k else known for j in range(len(r.body))], k) for r, k in planned(rules, present, fresh)]
         if not found:
-            return known
-        news = cut(reduce(DataFrame.unionByName, found).distinct().join(known, SPO, "left_anti"))
+            return known, added
+        news = cut(together(found).distinct().join(known, SPO, "left_anti"))
         if news.isEmpty():
-            return known
+            return known, added
         fresh = _constants(news, rules)
         present |= fresh
-        known = cut(known.unionByName(news))
-        release(triples.sparkSession)
+        added.append(news)
+        known, loose = known.unionByName(news), loose + 1
+        if loose == LOOSE:
+            known, loose = cut(known), 0
+        release(known.sparkSession)
     raise RuntimeError("the rules did not settle")
+
+
+def fixpoint(triples: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """`triples` and all that the rules give of them, distinct."""
+    known = cut(triples.select(SPO).distinct())
+    return saturate(known, known, rules)[0]
+
+
+def overdeleted(known: DataFrame, news: DataFrame, rules: Sequence[Rule], present: set[tuple[int, str]]) -> DataFrame:
+    """What of `known` the rules give in one step of `news` with all else known."""
+    found = [consequences(r, [news if j == k else known for j in range(len(r.body))], k) for r, k in planned(rules, present, _constants(news, rules))]
+    return together(found).distinct().join(known, SPO, "left_semi") if found else known.limit(0)
+
+
+def rederived(known: DataFrame, gone: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """What of `gone` the rules give in one step of `known`: bodies meet the heads that are asked for first."""
+    present, out = _constants(known, rules), []
+    heads = _constants(gone, [Rule(r.name, (r.head,), r.head) for r in rules])
+    for r in rules:
+        head = {(place, t) for place, t in enumerate(r.head) if place and not t.startswith("?")}
+        if r.constants <= present and head <= heads:
+            asked = matched(gone, r.head).distinct()
+            out.append(consequences(r, [known] * len(r.body), asked=asked))
+    return together(out).distinct() if out else gone.limit(0)

@@ -8,10 +8,15 @@ import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Seconds between two cancellations of late jobs.
+POLL_S = 0.25
+
+
 class DeadlineExceeded(RuntimeError):
     """Work was interrupted because it took longer than its deadline."""
 
@@ -31,8 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: The deadlines that the work of this thread is under; each is set once it has passed.
+_LATE: ContextVar[tuple[threading.Event, ...]] = ContextVar("late", default=())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder: no lineage, safe from lost executors."""
+    if any(late.is_set() for late in _LATE.get()):
+        raise DeadlineExceeded("the deadline has passed")
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -43,28 +54,52 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is planned inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 @contextmanager
 def deadline(spark: SparkSession, seconds: float | None) -> Iterator[None]:
-    """Interrupts the Spark jobs started inside once `seconds` have passed (never, if None); works on any thread."""
+    """Raises DeadlineExceeded once the work inside has taken `seconds` (never, if None); works on any thread.
+
+    From then on the Spark jobs started inside are cancelled again and again, so that
+    work that plans between short jobs ends too; at the latest the block's end raises.
+    """
     if seconds is None:
         yield
         return
-    tag, late = f"deadline-{uuid.uuid4().hex}", threading.Event()
+    tag, late, over = f"deadline-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
-    def stop() -> None:
+    def watch() -> None:
+        if over.wait(seconds):
+            return
         late.set()
-        spark.sparkContext.cancelJobsWithTag(tag)
+        while not over.wait(POLL_S):
+            spark.sparkContext.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(seconds, stop)
-    timer.daemon = True
+    before = _LATE.set((*_LATE.get(), late))
     spark.sparkContext.addJobTag(tag)
-    timer.start()
+    threading.Thread(target=watch, daemon=True).start()
+    message = f"exceeded {seconds:g} s; bind more terms, or add a limit"
     try:
         yield
     except Exception as e:
         if late.is_set():
-            raise DeadlineExceeded(f"exceeded {seconds:g} s; bind more terms, or add a limit") from e
+            raise DeadlineExceeded(message) from e
         raise
     finally:
-        timer.cancel()
+        over.set()
         spark.sparkContext.removeJobTag(tag)
+        _LATE.reset(before)
+    if late.is_set():
+        raise DeadlineExceeded(message)
