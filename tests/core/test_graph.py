@@ -3,7 +3,7 @@
 import pytest
 
 from lattica.operators import graph
-from tests.core.test_reason import MOVIES, triples
+from tests.core.test_reason import SHOPS, triples
 
 
 def ends(r):
@@ -11,18 +11,17 @@ def ends(r):
 
 
 def test_paths(spark):
-    t = triples(spark, MOVIES)
-    r = graph.traverse(t, "Keanu_Reeves", ["starred_actors", "release_year"])
-    assert ends(r) == {"ns:1994", "ns:1999"}
-    assert {x["direction"] for x in r.edges.where("hop = 1").collect()} == {"inverse"} and [x["size"] for x in r.frontiers.orderBy("hop").collect()] == [2, 2]
-    r = graph.traverse(t, "The_Matrix", ["starred_actors", "starred_actors"])
-    assert ends(r) == {"ns:Speed"} and r.excluded == ["ns:The_Matrix"]
-    assert ends(graph.traverse(t, "The_Matrix", ["starred_actors"] * 2, exclude_start=False)) == {"ns:Speed", "ns:The_Matrix"}
-    assert ends(graph.traverse(t, "The_Matrix", ["starred_actors", "starred_actors", "directed_by"])) == {"ns:Jan_de_Bont", "ns:Lana_Wachowski"}
-    r = graph.traverse(t, "The_Matrix", ["has_genre", "release_year"])
+    t = triples(spark, SHOPS)
+    r = graph.traverse(t, "salt", ["sells", "feeds"])
+    assert ends(r) == {"ns:depot_1", "ns:depot_2"}
+    assert {x["direction"] for x in r.edges.collect()} == {"inverse"} and [x["size"] for x in r.frontiers.orderBy("hop").collect()] == [1, 2]
+    r = graph.traverse(t, "depot_1", ["feeds", "feeds"])
+    assert ends(r) == {"ns:depot_2"} and r.excluded == ["ns:depot_1"]
+    assert ends(graph.traverse(t, "depot_1", ["feeds", "feeds"], exclude_start=False)) == {"ns:depot_1", "ns:depot_2"}
+    assert ends(graph.traverse(t, "depot_2", ["feeds", "sells", "sells"])) == {"ns:shop_1", "ns:shop_2"}
+    r = graph.traverse(t, "tea", ["taxes", "sells"])
     assert ends(r) == set() and r.frontiers.count() == 1 and any("no triples" in n for n in r.notes) and any("stopped" in n for n in r.notes)
-    assert ends(graph.traverse(t, "Keanu_Reeves", ["^starred_actors"])) == {"ns:Speed", "ns:The_Matrix"}
-    assert ends(graph.traverse(t, "The_Matrix", ["^starred_actors"])) == set()
+    assert ends(graph.traverse(t, "tea", ["^sells"])) == {"ns:shop_1", "ns:shop_2"} and ends(graph.traverse(t, "shop_1", ["^sells"])) == set()
     for bad in ([], ["p"] * 6):
         with pytest.raises(ValueError):
             graph.traverse(t, "x", bad)
