@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import code_facts, mutation, patches, terms, text
-from lattica.operators import audit, datasets, graph, metrics, reason, store
+from lattica.operators import audit, datasets, differences, graph, metrics, reason, store
 from lattica.operators.components import components
 from lattica.plans import csp, smt, sparql, triplify
 from lattica.runtime import cut, shared_dir
@@ -132,15 +132,15 @@ def kb_find_spo(spark, sf_dir):
     return out
 
 
-@register(f"{K} SELECT DISTINCT s, p, o FROM ({INJECTED_SQL} UNION ALL SELECT * FROM kb) x WHERE (s, p, o) NOT IN (SELECT (s, p, o) FROM kb)".replace("(s, p, o) NOT IN (SELECT (s, p, o) FROM kb)", "NOT EXISTS (SELECT 1 FROM kb k WHERE k.s = x.s AND k.p = x.p AND k.o = x.o)"))
+@register(f"{G} SELECT DISTINCT s, p, o FROM ({INJECTED_SQL} UNION ALL SELECT * FROM g) x WHERE (s, p, o) NOT IN (SELECT (s, p, o) FROM g)".replace("(s, p, o) NOT IN (SELECT (s, p, o) FROM g)", "NOT EXISTS (SELECT 1 FROM g k WHERE k.s = x.s AND k.p = x.p AND k.o = x.o)"))
 def kb_add_dedupe(spark, sf_dir):
-    triples = kb(spark, sf_dir)
+    triples = whole(spark, sf_dir)
     return store.add(triples, spark.sql(INJECTED_SQL).unionByName(triples))
 
 
-@register(f"{K} SELECT s, p, o FROM kb WHERE NOT (p = 'rdf:type' AND o = 'ns:Supplier') AND p <> 'owl:sameAs'")
+@register(f"{G} SELECT s, p, o FROM g WHERE NOT (p = 'rdf:type' AND o = 'ns:Supplier') AND p <> 'owl:sameAs'")
 def kb_remove(spark, sf_dir):
-    triples = kb(spark, sf_dir)
+    triples = whole(spark, sf_dir)
     gone = triples.where((F.col("p") == "owl:sameAs") | ((F.col("p") == "rdf:type") & (F.col("o") == "ns:Supplier")))
     return store.remove(triples, gone.unionByName(spark.createDataFrame([("ns:no", "ns:such", "ns:triple")], "s string, p string, o string")))
 
@@ -160,15 +160,15 @@ def kb_provenance(spark, sf_dir):
 
 
 @register(
-    f"{K}, n AS (SELECT s AS name FROM kb UNION SELECT o FROM kb WHERE NOT starts_with(o, '\"')) SELECT lower(name) AS lower, string_agg(name, ',' ORDER BY name) AS names FROM n GROUP BY lower(name)"
+    f"{G}, n AS (SELECT s AS name FROM g UNION SELECT o FROM g WHERE NOT starts_with(o, '\"')) SELECT lower(name) AS lower, string_agg(name, ',' ORDER BY name) AS names FROM n GROUP BY lower(name)"
 )
 def kb_case_variants(spark, sf_dir):
-    return store.case_index(kb(spark, sf_dir)).select("lower", F.array_join("names", ",").alias("names"))
+    return store.case_index(whole(spark, sf_dir)).select("lower", F.array_join("names", ",").alias("names"))
 
 
-@register(f"{K}, u AS (SELECT s, p, o FROM kb UNION SELECT s, p, o FROM ({INJECTED_SQL}) i) SELECT u.s, u.p, u.o, CASE WHEN EXISTS (SELECT 1 FROM kb k WHERE k.s = u.s AND k.p = u.p AND k.o = u.o) THEN 'asserted' ELSE 'inferred' END AS origin FROM u")
+@register(f"{G}, u AS (SELECT s, p, o FROM g UNION SELECT s, p, o FROM ({INJECTED_SQL}) i) SELECT u.s, u.p, u.o, CASE WHEN EXISTS (SELECT 1 FROM g k WHERE k.s = u.s AND k.p = u.p AND k.o = u.o) THEN 'asserted' ELSE 'inferred' END AS origin FROM u")
 def kb_origin(spark, sf_dir):
-    triples = kb(spark, sf_dir)
+    triples = whole(spark, sf_dir)
     return store.with_origin(triples, spark.sql(INJECTED_SQL).distinct())
 
 
@@ -309,7 +309,7 @@ def kb_path_excluded(spark, sf_dir):
     return r.terminals.select("entity", F.lit(",".join(r.excluded)).alias("excluded"))
 
 
-_LAYERS = f"""WITH kb AS ({KB_SQL}),
+_LAYERS = f"""WITH kb AS MATERIALIZED ({GRAPH_SQL}),
     e0 AS (SELECT 'ns:region_1' AS e, 0 AS d),
     e1 AS (SELECT e, min(d) AS d FROM (SELECT * FROM e0 UNION ALL SELECT o, 1 FROM kb JOIN e0 ON s = e UNION ALL SELECT s, 1 FROM kb JOIN e0 ON o = e) x GROUP BY e),
     near AS (SELECT s, p, o, min(d) + 1 AS layer FROM (SELECT s, p, o, d FROM kb JOIN e1 ON s = e UNION ALL SELECT s, p, o, d FROM kb JOIN e1 ON o = e) x GROUP BY s, p, o)"""
@@ -317,12 +317,12 @@ _LAYERS = f"""WITH kb AS ({KB_SQL}),
 
 @register(f"{_LAYERS} SELECT s, p, o, layer FROM near")
 def bfs_neighborhood(spark, sf_dir):
-    return graph.layers(kb(spark, sf_dir), "ns:region_1", 2)
+    return graph.layers(whole(spark, sf_dir), "ns:region_1", 2)
 
 
 @register(f"{_LAYERS} SELECT s, p, o FROM near WHERE layer = 1 ORDER BY s, p, o LIMIT 4")
 def bfs_neighborhood_capped(spark, sf_dir):
-    rows, _ = graph.neighbourhood(kb(spark, sf_dir), "ns:region_1", 2, 4)
+    rows, _ = graph.neighbourhood(whole(spark, sf_dir), "ns:region_1", 2, 4)
     return rows.select("s", "p", "o")
 
 
@@ -457,10 +457,10 @@ def functional_violations_after_infer(spark, sf_dir):
 
 
 @register(
-    f"{K}, same AS (SELECT concat('ns:customer_', cast(c_custkey AS string)) AS s, concat('ns:customer_', cast(c_custkey + 1 AS string)) AS o FROM customer WHERE c_custkey % 38 = 0) SELECT least(s, o) AS a, greatest(s, o) AS b FROM same WHERE EXISTS (SELECT 1 FROM kb WHERE kb.p = 'owl:differentFrom' AND kb.s = same.s AND kb.o = same.o)"
+    f"{G}, same AS (SELECT concat('ns:customer_', cast(c_custkey AS string)) AS s, concat('ns:customer_', cast(c_custkey + 1 AS string)) AS o FROM customer WHERE c_custkey % 38 = 0) SELECT least(s, o) AS a, greatest(s, o) AS b FROM same WHERE EXISTS (SELECT 1 FROM g WHERE g.p = 'owl:differentFrom' AND g.s = same.s AND g.o = same.o)"
 )
 def identity_conflicts(spark, sf_dir):
-    triples = kb(spark, sf_dir)
+    triples = whole(spark, sf_dir)
     same = spark.sql("SELECT concat('ns:customer_', cast(c_custkey + 1 AS string)) AS s, 'owl:sameAs' AS p, concat('ns:customer_', cast(c_custkey AS string)) AS o FROM customer WHERE c_custkey % 38 = 0")
     return audit.identity_conflicts(triples.unionByName(same))
 
@@ -490,26 +490,35 @@ def check_answer(spark, sf_dir):
 # Solvers.
 
 
-@register("SELECT a, b, c FROM range(1, 9) x(a), range(1, 9) y(b), range(1, 9) z(c) WHERE a + 2 <= b AND b < c AND (c - a) % 3 = 0 AND abs(b - c) <> 2")
+_PLACES_SQL = "SELECT DISTINCT l_orderkey AS id, cast(l_quantity AS bigint) AS q FROM lineitem"
+
+
+def _places(spark: SparkSession, sf_dir: str, variables: str) -> DataFrame:
+    """An order's quantities as the domain of each variable."""
+    triplify.views(spark, sf_dir)
+    return spark.sql(_PLACES_SQL).select("id", F.explode(F.array(*map(F.lit, variables))).alias("variable"), F.col("q").alias("value"))
+
+
+@register(f"WITH d AS ({_PLACES_SQL}) SELECT x.id, x.q AS a, y.q AS b, z.q AS c FROM d x JOIN d y USING (id) JOIN d z USING (id) WHERE x.q + 2 <= y.q AND y.q < z.q AND (z.q - x.q) % 3 = 0 AND abs(y.q - z.q) <> 2")
 def csp_schedule(spark, sf_dir):
-    days = list(range(1, 9))
-    return csp.solutions(spark, {"a": days, "b": days, "c": days}, ["a + 2 <= b", "b < c", "(c - a) % 3 == 0", "abs(b - c) != 2"])
+    return csp.solutions_of_each(_places(spark, sf_dir, "abc"), "id", "abc", ["a + 2 <= b", "b < c", "(c - a) % 3 == 0", "abs(b - c) != 2"])
 
 
-@register("SELECT w, x, y, z FROM range(1, 6) a(w), range(1, 6) b(x), range(1, 6) c(y), range(1, 6) d(z) WHERE w <> x AND w <> y AND w <> z AND x <> y AND x <> z AND y <> z AND greatest(w, x) < greatest(y, z)")
+@register(f"WITH d AS ({_PLACES_SQL}) SELECT w.id, w.q AS w, x.q AS x, y.q AS y, z.q AS z FROM d w JOIN d x USING (id) JOIN d y USING (id) JOIN d z USING (id) WHERE w.q <> x.q AND w.q <> y.q AND w.q <> z.q AND x.q <> y.q AND x.q <> z.q AND y.q <> z.q AND greatest(w.q, x.q) < least(y.q, z.q)")
 def csp_all_different(spark, sf_dir):
-    return csp.solutions(spark, dict.fromkeys("wxyz", range(1, 6)), ["max(w, x) < max(y, z)"], all_different=[list("wxyz")])
+    return csp.solutions_of_each(_places(spark, sf_dir, "wxyz"), "id", "wxyz", ["max(w, x) < min(y, z)"], all_different=["wxyz"])
 
 
-@register("SELECT 1::BIGINT AS x, 1::BIGINT AS y WHERE 1 = 0")
+@register(f"WITH d AS ({_PLACES_SQL}) SELECT DISTINCT id FROM d WHERE id NOT IN (SELECT x.id FROM d x JOIN d y USING (id) WHERE x.q >= 2 * y.q)")
 def csp_unsat(spark, sf_dir):
-    return csp.solutions(spark, {"x": [1], "y": [1]}, ["x != y"])
+    places = _places(spark, sf_dir, "xy")
+    return places.select("id").distinct().join(csp.solutions_of_each(places, "id", "xy", ["x >= 2 * y"]), "id", "left_anti")
 
 
-@register("SELECT count(*) AS count FROM range(0, 30) a(x), range(0, 30) b(y), range(0, 30) c(z) WHERE x * y = z AND x < y")
+@register(f"WITH d AS ({_PLACES_SQL}) SELECT x.id, count(*) AS count FROM d x JOIN d y USING (id) JOIN d z USING (id) WHERE x.q + y.q >= z.q AND x.q < y.q GROUP BY x.id")
 def csp_count(spark, sf_dir):
-    found = csp.solutions(spark, dict.fromkeys("xyz", range(30)), ["x * y == z", "x < y"])
-    return found.agg(F.count(F.lit(1)).alias("count"))
+    found = csp.solutions_of_each(_places(spark, sf_dir, "xyz"), "id", "xyz", ["x + y >= z", "x < y"])
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("count"))
 
 
 @register(
@@ -535,23 +544,27 @@ def qa_gold_walk(spark, sf_dir):
     return graph.functional_walk(g, starts, ["ns:placed_by", "ns:in_nation", "ns:in_region"])
 
 
-@register("SELECT concat('ns:person_', cast(x AS string)) AS s, concat('ns:person_', cast(x - 1 AS string)) AS o FROM range(0, 500) t(x) WHERE x % 5 <> 0")
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("id"))
+
+
+@register("SELECT concat('ns:person_', cast(c_custkey AS string)) AS s, concat('ns:person_', cast(c_custkey - 1 AS string)) AS o FROM customer WHERE c_custkey % 5 <> 0")
 def kbgen_chain(spark, sf_dir):
-    return datasets.world(spark, 500, seed=7).where(F.col("p") == "ns:reports_to").select("s", "o")
+    return datasets.world(spark, _people(spark, sf_dir), seed=7).where(F.col("p") == "ns:reports_to").select("s", "o")
 
 
 @register("SELECT label, kind_known AS fine, n FROM (VALUES ('entailed', true, 40), ('contradicted', true, 40), ('unknown', true, 40)) t(label, kind_known, n)")
 def kbgen_claims(spark, sf_dir):
-    w = datasets.world(spark, 400, seed=3)
+    w = datasets.world(spark, _people(spark, sf_dir), seed=3)
     closed = reason.closure(w)
     claims = datasets.sample_claims(w, closed, 40, seed=3)
     again = reason.verify(claims, closed)
     return again.groupBy("label").agg(F.bool_and(F.col("label") == F.col("verdict")).alias("fine"), F.count(F.lit(1)).cast("int").alias("n"))
 
 
-@register(f"{K}, v AS (SELECT s, p, min(o) AS o FROM kb WHERE p IN ('ns:in_nation', 'ns:in_region') GROUP BY s, p) SELECT 25 AS injected, 25 AS conflicts, true AS other_values FROM v LIMIT 1")
+@register(f"{G}, v AS (SELECT s, p, min(o) AS o FROM g WHERE p IN ('ns:in_nation', 'ns:in_region') GROUP BY s, p) SELECT 25 AS injected, 25 AS conflicts, true AS other_values FROM v LIMIT 1")
 def inject_contradictions(spark, sf_dir):
-    triples = cut(kb(spark, sf_dir))
+    triples = cut(whole(spark, sf_dir))
     new = datasets.injected(triples, 25, seed=1)
     found = audit.violations(triples.unionByName(new))
     return new.agg(F.count(F.lit(1)).cast("int").alias("injected")).crossJoin(found.agg(F.count(F.lit(1)).cast("int").alias("conflicts"))).crossJoin(new.join(triples, ["s", "p", "o"], "left_semi").agg((F.count(F.lit(1)) == 0).alias("other_values")))
@@ -574,11 +587,11 @@ def curie_mapping(spark, sf_dir):
 
 
 @register(
-    f"""{K}, names AS (SELECT s AS n FROM kb UNION SELECT o FROM kb), e AS (SELECT n FROM names WHERE starts_with(n, 'ns:') AND n NOT IN (SELECT p FROM kb))
-    SELECT (SELECT count(*) FROM e) AS renamed, (SELECT count(*) FROM e) AS opaque, count(*) AS triples, count(DISTINCT p) AS predicates FROM kb"""
+    f"""{G}, names AS (SELECT s AS n FROM g UNION SELECT o FROM g), e AS (SELECT n FROM names WHERE starts_with(n, 'ns:') AND n NOT IN (SELECT p FROM g))
+    SELECT (SELECT count(*) FROM e) AS renamed, (SELECT count(*) FROM e) AS opaque, count(*) AS triples, count(DISTINCT p) AS predicates FROM g"""
 )
 def perturb_graph(spark, sf_dir):
-    triples = kb(spark, sf_dir)
+    triples = whole(spark, sf_dir)
     names = datasets.opaque_names(triples, seed=5)
     new = datasets.renamed(triples, names).distinct()
     counts = names.agg(F.count(F.lit(1)).alias("renamed"), F.countDistinct("new").alias("opaque"))
@@ -712,10 +725,20 @@ def infeasible_specs(spark, sf_dir):
     return metrics.infeasible(c.select((F.col("c_custkey") % 10).alias("task"), F.col("c_nationkey").alias("args"), F.col("c_mktsegment").alias("expected")))
 
 
-@register()
+_WEIGHT = " + ".join(f"cast(substr(h, 4 * k + 1, 4) >= '{u}' AS int)" for u in metrics.POISSON)
+
+
+@register(
+    f"""{RECORDS}, d AS (SELECT condition, cast(correct AS int) - cast(gold = 'entailed' AS int) AS diff, ('0x' || substr(md5(cast(task_id AS varchar)), 1, 8))::BIGINT % {metrics.CELLS} AS cell FROM r),
+    c AS (SELECT condition, cell, sum(diff) AS s, count(*) AS n FROM d GROUP BY ALL), o AS (SELECT condition, sum(s) / sum(n) AS mean_diff FROM c GROUP BY condition),
+    w AS (SELECT cell, 8 * chunk + k AS resample, {_WEIGHT} AS w FROM (SELECT cell, chunk, md5('0|' || cell || '|' || chunk) AS h FROM (SELECT DISTINCT cell FROM c) x, range(0, 1250) t(chunk)) y, range(0, 8) z(k)),
+    m AS (SELECT condition, sum(w * s) / sum(w * n) AS mean FROM c JOIN w USING (cell) GROUP BY condition, resample),
+    k AS (SELECT condition, mean, mean_diff, row_number() OVER (PARTITION BY condition ORDER BY mean) AS rank FROM m JOIN o USING (condition))
+    SELECT condition, max(mean_diff) AS mean_diff, max(mean) FILTER (rank = 251) AS low, max(mean) FILTER (rank = 9751) AS high, avg(cast(abs(mean - mean_diff) >= abs(mean_diff) - 1e-15 AS int)) AS p_value FROM k GROUP BY condition"""
+)
 def bootstrap_ci(spark, sf_dir):
     r = _records(spark, sf_dir)
-    return metrics.bootstrap(r.select("condition", F.col("correct").cast("double").alias("a"), (F.col("gold") == "entailed").cast("double").alias("b")), "condition")
+    return metrics.bootstrap(r.select("condition", "task_id", F.col("correct").cast("double").alias("a"), (F.col("gold") == "entailed").cast("double").alias("b")), "condition", "task_id")
 
 
 @register(
@@ -741,6 +764,20 @@ def parse_final(spark, sf_dir):
     return _conversations(spark, sf_dir).select("conv_id", "turn", text.final_answer(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.when(F.col("turn") % 4 == 3, F.lit("no answer")).otherwise(marked))).alias("answer"))
 
 
+@register(
+    """WITH w AS (SELECT conv_id, turn, role, unnest(string_split(coalesce(text, ''), ' ')) AS word, generate_subscripts(string_split(coalesce(text, ''), ' '), 1) AS at FROM conversations),
+    p AS (SELECT a.conv_id, a.turn, cast(a.role IS DISTINCT FROM b.role AS int) AS role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+    d AS (SELECT coalesce(x.conv_id, y.conv_id) AS conv_id, coalesce(x.turn, y.turn - 1) AS turn, count(*) AS n FROM w x FULL JOIN w y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1 AND x.at = y.at WHERE x.word IS DISTINCT FROM y.word GROUP BY ALL)
+    SELECT p.conv_id, p.turn, p.role + coalesce(d.n, 0) AS n_differences, p.role + coalesce(d.n, 0) = 0 AS alike FROM p LEFT JOIN d USING (conv_id, turn)"""
+)
+def record_differences(spark, sf_dir):
+    turns = _conversations(spark, sf_dir)
+    record = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.split(F.coalesce("text", F.lit("")), " ").alias("words")))
+    told = turns.select("conv_id", "turn", record.alias("record"))
+    following = told.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("record").alias("after"))
+    return differences.alike(told.join(following, ["conv_id", "turn"]), ["conv_id", "turn"], "record", "after")
+
+
 @register("SELECT conv_id, turn, CASE WHEN role < 'b|2' THEN concat(role, ',b|2') ELSE concat('b|2,', role) END AS pairs FROM conversations")
 def parse_final_pairs(spark, sf_dir):
     line = F.concat(F.coalesce("text", F.lit("")), F.lit("\nFINAL: x|y\nFINAL: `b | 2`; "), F.col("role"), F.lit(". ;b|2; ;"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import prod
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.plans import exprs
@@ -29,6 +30,46 @@ class Solutions:
     truncated: bool
 
 
+def _waiting(variables: Collection[str], constraints: Sequence[str], all_different: Sequence[Sequence[str]]) -> list[tuple[set[str], Column]]:
+    """The conditions, each with the variables that it needs."""
+    waiting = [(set(exprs.names(t)), exprs.column(t)) for t in (exprs.parse(c, variables) for c in constraints)]
+    for group in all_different:
+        if unknown := set(group) - set(variables):
+            raise ProblemError(f"unknown variables: {', '.join(sorted(unknown))}")
+        own = list(dict.fromkeys(group))
+        waiting += [({a, b}, F.col(f"`{a}`") != F.col(f"`{b}`")) for i, a in enumerate(own) for b in own[:i]]
+    return waiting
+
+
+def solutions_of_each(domains: DataFrame, by: str, variables: Sequence[str], constraints: Sequence[str] = (), all_different: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """(by, a column for each variable): the solutions of many problems at once, one for each value of `by`.
+
+    `domains` (by, variable, value) holds a row for each value that a problem's
+    variable may take; repeated rows count once, those without a problem or a value
+    not at all, and a problem that lacks a variable has no solution. Domains meet by
+    their problem, and a condition filters as soon as its variables are bound. A
+    problem with more than MAX_SPACE assignments fails the query with its name.
+    """
+    if not variables:
+        raise ProblemError("no variables")
+    waiting = _waiting(variables, constraints, all_different)
+    rows = domains.where(F.col(by).isNotNull() & F.col("value").isNotNull() & F.col("variable").isin(list(variables))).select(by, "variable", "value").distinct()
+    sizes = rows.groupBy(by).agg(*[F.count_if(F.col("variable") == v).cast("double").alias(f"__n_{v}") for v in variables])
+    space = reduce(lambda a, b: a * b, [F.col(f"__n_{v}") for v in variables])
+    message = F.concat(F.lit("search space is too large: "), F.col(by).cast("string"))
+    small = sizes.where(F.when(space > MAX_SPACE, F.raise_error(message).cast("boolean")).otherwise(space > 0))
+    # Domains side by side, now that none is large.
+    out = rows.join(small.select(by), by, "left_semi").groupBy(by).agg(*[F.collect_list(F.when(F.col("variable") == v, F.col("value"))).alias(f"__d_{v}") for v in variables])
+    bound: set[str] = set()
+    for v in variables:
+        out = out.withColumn(v, F.explode(f"__d_{v}")).drop(f"__d_{v}")
+        bound.add(v)
+        for _, c in [w for w in waiting if w[0] <= bound]:
+            out = out.where(c)
+        waiting = [w for w in waiting if not w[0] <= bound]
+    return out
+
+
 def solutions(spark: SparkSession, variables: Mapping[str, Sequence], constraints: Sequence[str] = (), all_different: Sequence[Sequence[str]] = ()) -> DataFrame:
     """A row for each solution, a column for each variable.
 
@@ -40,14 +81,7 @@ def solutions(spark: SparkSession, variables: Mapping[str, Sequence], constraint
         raise ProblemError("every variable needs a domain")
     if (space := prod(len(set(d)) for d in variables.values())) > MAX_SPACE:
         raise ProblemError(f"search space of {space} assignments is larger than {MAX_SPACE}")
-    for group in all_different:
-        if unknown := set(group) - set(variables):
-            raise ProblemError(f"unknown variables: {', '.join(sorted(unknown))}")
-    trees = [exprs.parse(c, variables) for c in constraints]
-    waiting = [(exprs.names(t), exprs.column(t)) for t in trees]
-    for group in all_different:
-        own = list(dict.fromkeys(group))
-        waiting += [({a, b}, F.col(f"`{a}`") != F.col(f"`{b}`")) for i, a in enumerate(own) for b in own[:i]]
+    waiting = _waiting(variables, constraints, all_different)
     out: DataFrame | None = None
     bound: set[str] = set()
     for name, domain in variables.items():
