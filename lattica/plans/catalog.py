@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lattica.functions import code_facts, mutation, patches, terms, text
 from lattica.operators import audit, datasets, differences, graph, metrics, reason, store
 from lattica.operators.components import components
-from lattica.plans import csp, smt, sparql, triplify
+from lattica.plans import csp, sizes, smt, sparql, sparql_syntax, triplify
 from lattica.runtime import cut, shared_dir
 from lattica.sources import rdf
 from lattica.plans.triplify import AUDIT_SQL, EVENT_SQL, GRAPH_SQL, INJECTED_SQL, KB_SQL
@@ -272,6 +272,29 @@ _HOPS = f"""{G},
 CHAIN = ["in_nation", "placed_by", "contains"]
 
 
+SIZED = {
+    "star": "{ ?o ns:contains ?x . ?o ns:supplied_by ?y . ?o ns:placed_by ?c }",
+    "chain": "{ ?o ns:contains ?x . ?o ns:placed_by ?c . ?c ns:in_nation ?n . ?n ns:in_region ?r . ?c2 ns:in_nation ?n }",
+    "product": "{ ?a ?p1 ?x . ?y ?p2 ?b . ?z ?p3 ?c }",
+    "shared predicate": "{ ?a ?p ?x . ?b ?p ?y }",
+    "none": "{ ?a ns:no_such ?x . ?y ?p ?b }",
+}
+
+
+@register(
+    f"""{GM}, c AS (SELECT s, o FROM g WHERE p = 'ns:contains'), u AS (SELECT s, o FROM g WHERE p = 'ns:supplied_by'), b AS (SELECT s, o FROM g WHERE p = 'ns:placed_by'), n AS (SELECT s, o FROM g WHERE p = 'ns:in_nation'), r AS (SELECT s, o FROM g WHERE p = 'ns:in_region')
+    SELECT 'star' AS name, (SELECT count(*) FROM c JOIN u ON c.s = u.s JOIN b ON b.s = c.s) AS size
+    UNION ALL SELECT 'chain', (SELECT count(*) FROM c JOIN b ON b.s = c.s JOIN n ON n.s = b.o JOIN r ON r.s = n.o JOIN n n2 ON n2.o = n.o)
+    UNION ALL SELECT 'product', (SELECT count(*) FROM g) * (SELECT count(*) FROM g) * (SELECT count(*) FROM g)
+    UNION ALL SELECT 'shared predicate', (SELECT cast(sum(n * n) AS BIGINT) FROM (SELECT count(*) AS n FROM g GROUP BY p) x)
+    UNION ALL SELECT 'none', 0"""
+)
+def sparql_sizes(spark, sf_dir):
+    planner = sparql.Planner(cut(whole(spark, sf_dir)))
+    found = [(name, int(sizes.pattern_size(planner, sparql_syntax.parse(f"SELECT * WHERE {where}").where.elements[0].patterns))) for name, where in SIZED.items()]
+    return spark.createDataFrame(found, "name string, size long")  # a row for each query asked about
+
+
 @register(f"{_HOPS} SELECT e AS entity FROM h3 ORDER BY e LIMIT 100")
 def kb_path_terminals(spark, sf_dir):
     return graph.traverse(whole(spark, sf_dir), "nation_3", CHAIN).terminals

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import terms
 from lattica.operators.graph import transitive_closure
+from lattica.plans import sizes
 from lattica.plans import sparql_syntax as syntax
 from lattica.plans.sparql_syntax import SparqlError
 from lattica.runtime import cut, deadline
@@ -685,10 +686,18 @@ SCALARS["URI"] = SCALARS["IRI"]
 SCALARS["ISIRI"] = SCALARS["ISURI"] = lambda v: ("bool", terms.is_iri(as_term(v)))
 
 
-def solutions(triples: DataFrame, text: str) -> DataFrame:
-    """A SELECT's solutions, a column of terms for each selected variable; an ASK's as one boolean `ask`."""
+def solutions(triples: DataFrame, text: str, most_combined: float | None = sizes.MAX_PRODUCT) -> DataFrame:
+    """A SELECT's solutions, a column of terms for each selected variable; an ASK's as one boolean `ask`.
+
+    Parts that share no variable are counted first, and refused (ProductTooLarge) if
+    they have over `most_combined` combinations; not if the query asks for a few rows
+    in no order, nor if `most_combined` is None.
+    """
     q = syntax.parse(text)
     planner = Planner(triples)
+    few = q.ask or q.limit is not None and not (q.order or q.distinct or q.group or q.having or any(e is not None for _, e in q.select or ()))
+    if most_combined is not None and not few:
+        sizes.guard(planner, q.where, most_combined)
     if q.ask:
         rows = planner.group(q.where).df.limit(1)
         return rows.agg((F.count(F.lit(1)) > 0).alias("ask"))
