@@ -58,11 +58,14 @@ def check_answers(triples: DataFrame, answers: DataFrame) -> DataFrame:
     as_object = t.join(asked, t["o"] == asked["a"], "left_semi").select(F.col("o").alias("a")).distinct()
     as_subject = t.join(asked, t["s"] == asked["a"], "left_semi").select(F.col("s").alias("a")).distinct()
     out = rows.join(as_object.unionByName(as_subject).distinct().withColumn("exists", F.lit(True)), "a", "left")
-    names = case_index(triples).select(F.col("lower").alias("low"), F.slice("names", 1, HINTS).alias("names"))
+    # Names that are asked for in any case, and the triples that hold one, before anything is grouped.
+    wanted = rows.select(F.lower("a").alias("low")).distinct()
+    named = t.join(wanted, F.lower(t["s"]) == wanted["low"], "left_semi").unionByName(t.join(wanted, F.lower(t["o"]) == wanted["low"], "left_semi"))
+    names = case_index(named).select(F.col("lower").alias("low"), F.slice("names", 1, HINTS).alias("names"))
     out = out.join(names, F.lower("a") == F.col("low"), "left").drop("low")
     out = out.join(t.select(F.col("p").alias("rel")).distinct().withColumn("known", F.lit(True)), "rel", "left")
     for column, name in (("o", "object_of"), ("s", "subject_of")):
-        uses = t.select(F.col("p").alias("rel"), F.col(column).alias("a")).distinct()
+        uses = t.select(F.col("p").alias("rel"), F.col(column).alias("a")).join(rows.select("rel", "a").distinct(), ["rel", "a"], "left_semi").distinct()
         out = out.join(uses.withColumn(name, F.lit(True)), ["rel", "a"], "left")
     near = t.select(F.col("s").alias("st"), F.col("o").alias("a"), "p").unionByName(t.where(terms.is_iri(F.col("s"))).select(F.col("o").alias("st"), F.col("s").alias("a"), "p"))
     near = near.join(rows.select("st", "a").distinct(), ["st", "a"], "left_semi").groupBy("st", "a").agg(F.sort_array(F.collect_set("p")).alias("links"))

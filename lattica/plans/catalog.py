@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import code_facts, mutation, patches, terms, text
-from lattica.operators import audit, datasets, differences, graph, metrics, reason, store
+from lattica.operators import adjacency, audit, datasets, differences, graph, metrics, reason, store
 from lattica.operators.components import components
 from lattica.plans import csp, sizes, smt, sparql, sparql_syntax, triplify
 from lattica.runtime import cut, shared_dir
 from lattica.sources import rdf
-from lattica.plans.triplify import AUDIT_SQL, EVENT_SQL, GRAPH_SQL, INJECTED_SQL, KB_SQL
+from lattica.plans.triplify import AUDIT_KB_SQL, AUDIT_SQL, EVENT_SQL, GRAPH_SQL, INJECTED_SQL, KB_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -332,6 +332,16 @@ def kb_path_excluded(spark, sf_dir):
     return r.terminals.select("entity", F.lit(",".join(r.excluded)).alias("excluded"))
 
 
+@register(
+    f"""{GM}, a AS (SELECT c.o AS part, c.s AS ord FROM g c WHERE c.p = 'ns:contains')
+    SELECT n.o AS entity, count(*) AS paths FROM a JOIN g b ON b.s = a.ord AND b.p = 'ns:placed_by' JOIN g n ON n.s = b.o AND n.p = 'ns:in_nation' WHERE a.part IN (SELECT s FROM g WHERE p = 'ns:brand') GROUP BY n.o"""
+)
+def adjacency_walk(spark, sf_dir):
+    g = whole(spark, sf_dir)
+    found = adjacency.index(g)
+    return adjacency.walk(found, g.where(F.col("p") == "ns:brand").select(F.col("s").alias("entity")), [("ns:contains", True), ("ns:placed_by", False), ("ns:in_nation", False)])
+
+
 _LAYERS = f"""WITH kb AS MATERIALIZED ({GRAPH_SQL}),
     e0 AS (SELECT 'ns:region_1' AS e, 0 AS d),
     e1 AS (SELECT e, min(d) AS d FROM (SELECT * FROM e0 UNION ALL SELECT o, 1 FROM kb JOIN e0 ON s = e UNION ALL SELECT s, 1 FROM kb JOIN e0 ON o = e) x GROUP BY e),
@@ -471,9 +481,9 @@ def functional_violations_with_provenance(spark, sf_dir):
     return audit.violations_with_sources(triples, log).select("s", "p", "o", "source")
 
 
-@register(f"{_AUDIT} SELECT s, p, n, objects FROM v")
+@register(f"{_AUDIT.replace(AUDIT_SQL, AUDIT_KB_SQL)} SELECT s, p, n, objects FROM v")
 def functional_violations_after_infer(spark, sf_dir):
-    state = store.Graph(_audited(spark, sf_dir), store.Graph.empty(spark).provenance)
+    state = store.Graph(triplify.triples(spark, sf_dir, AUDIT_KB_SQL), store.Graph.empty(spark).provenance)
     closed = reason.closure(state.triples)
     state = store.Graph(state.triples, state.provenance, reason.inferred(state.triples, closed))
     return audit.violations(state.triples).select("s", "p", "n", F.array_join("objects", ",").alias("objects"))
@@ -496,7 +506,7 @@ ANSWERS_SQL = """
 
 
 @register(
-    f"""{K}, q AS ({ANSWERS_SQL}),
+    f"""WITH kb AS MATERIALIZED ({GRAPH_SQL}), q AS ({ANSWERS_SQL}),
     c AS (SELECT id, CASE WHEN EXISTS (SELECT 1 FROM kb WHERE kb.s = answer OR kb.o = answer) THEN 'pass' ELSE 'reject' END AS existence,
         EXISTS (SELECT 1 FROM kb WHERE kb.p = relation AND (kb.o = answer OR kb.s = answer)) AS typed,
         CASE WHEN start IS NULL THEN 'skipped' WHEN start = answer OR EXISTS (SELECT 1 FROM kb WHERE kb.s = start AND kb.o = answer OR kb.s = answer AND kb.o = start) THEN 'warn' ELSE 'pass' END AS start_exclusion,
@@ -506,7 +516,7 @@ ANSWERS_SQL = """
         CASE WHEN existence = 'reject' THEN 'reject' WHEN NOT typed OR start_exclusion = 'warn' THEN 'warn' ELSE 'pass' END AS verdict FROM c"""
 )
 def check_answer(spark, sf_dir):
-    triples = kb(spark, sf_dir)
+    triples = whole(spark, sf_dir)
     return audit.check_answers(triples, spark.sql(ANSWERS_SQL)).select("id", "existence", "type", "start_exclusion", "hint", "verdict")
 
 

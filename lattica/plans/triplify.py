@@ -50,7 +50,9 @@ EVENT_SQL = """
 #: Everything but orders; the graph that closures and claims run over.
 KB_SQL = f"SELECT DISTINCT s, p, o FROM ({ENTITY_SQL} UNION ALL {SCHEMA_SQL} UNION ALL {ALIAS_SQL}) kb_rows"
 GRAPH_SQL = f"SELECT DISTINCT s, p, o FROM ({ENTITY_SQL} UNION ALL {ORDER_SQL} UNION ALL {SCHEMA_SQL} UNION ALL {ALIAS_SQL}) graph_rows"
-AUDIT_SQL = f"SELECT DISTINCT s, p, o FROM ({ENTITY_SQL} UNION ALL {SCHEMA_SQL} UNION ALL {INJECTED_SQL}) audit_rows"
+AUDIT_SQL = f"SELECT DISTINCT s, p, o FROM ({ENTITY_SQL} UNION ALL {ORDER_SQL} UNION ALL {SCHEMA_SQL} UNION ALL {INJECTED_SQL}) audit_rows"
+#: The same without orders, for the audit of what a closure was made of.
+AUDIT_KB_SQL = f"SELECT DISTINCT s, p, o FROM ({ENTITY_SQL} UNION ALL {SCHEMA_SQL} UNION ALL {INJECTED_SQL}) audit_rows"
 
 
 def views(spark: SparkSession, sf_dir: str) -> None:
