@@ -516,7 +516,7 @@ ANSWERS_SQL = """
         CASE WHEN existence = 'reject' THEN 'reject' WHEN NOT typed OR start_exclusion = 'warn' THEN 'warn' ELSE 'pass' END AS verdict FROM c"""
 )
 def check_answer(spark, sf_dir):
-    triples = whole(spark, sf_dir)
+    triples = cut(whole(spark, sf_dir))  # read many times
     return audit.check_answers(triples, spark.sql(ANSWERS_SQL)).select("id", "existence", "type", "start_exclusion", "hint", "verdict")
 
 
@@ -635,6 +635,23 @@ QUESTIONS_SQL = """
     SELECT o_orderkey % 3 + 1 AS hops, concat('who placed [order ', cast(o_orderkey AS string), ']', CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE concat(chr(9), 'customer ', cast(o_custkey AS string), CASE WHEN o_orderkey % 7 = 0 THEN '|another' ELSE '' END) END) AS value FROM orders"""
 
 
+#: Names that are part of others, too: a kind's beside its individuals'.
+SURFACES_SQL = """
+    SELECT concat('order ', cast(o_orderkey AS string)) AS surface FROM orders UNION SELECT concat('customer ', cast(c_custkey AS string)) FROM customer
+    UNION SELECT 'order' UNION SELECT 'customer' UNION SELECT 'another'"""
+
+
+@register(
+    """WITH q AS (SELECT o_orderkey AS id, concat('ent_', md5(concat('order ', o_orderkey))) AS o, concat('ent_', md5(concat('customer ', o_custkey))) AS c, o_custkey IN (SELECT c_custkey FROM customer) AS known, o_custkey FROM orders)
+    SELECT id, concat('who placed [', o, ']', CASE WHEN id % 11 = 0 THEN '' ELSE concat(chr(9), CASE WHEN known THEN c ELSE concat('ent_', md5('customer'), ' ', o_custkey) END, CASE WHEN id % 7 = 0 THEN concat('|ent_', md5('another')) ELSE '' END) END) AS value FROM q"""
+)
+def perturb_texts(spark, sf_dir):
+    triplify.views(spark, sf_dir)
+    names = spark.sql(SURFACES_SQL).select("surface", F.concat(F.lit("ent_"), F.md5(F.col("surface").cast("binary"))).alias("new"))
+    questions = spark.sql(f"SELECT q.value, cast(regexp_extract(q.value, 'order ([0-9]+)', 1) AS bigint) AS id FROM ({QUESTIONS_SQL}) q")
+    return datasets.rewritten_texts(questions, names, "value").select("id", "value")
+
+
 @register(f"SELECT hops, CASE WHEN NOT contains(value, chr(9)) THEN 'malformed' WHEN contains(value, '|') THEN 'multi_answer' ELSE 'kept' END AS reason, count(*) AS n FROM ({QUESTIONS_SQL}) q GROUP BY 1, 2")
 def metaqa_filter(spark, sf_dir):
     triplify.views(spark, sf_dir)
