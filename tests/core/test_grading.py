@@ -2,6 +2,9 @@
 
 import hashlib
 import itertools
+import math
+import time
+from fractions import Fraction
 
 import pytest
 
@@ -64,3 +67,15 @@ def test_problems_side_by_side(spark):
         csp.solutions_of_each(large, "id", ["a", "b"]).count()
     with pytest.raises(csp.ProblemError):
         csp.solutions_of_each(large, "id", ["a"], all_different=[["a", "z"]])
+
+
+def test_binomial_p_of_many_trials():
+    for b, c in ((480, 530), (2450, 2600), (501, 500), (1, 1020), (16, 1000), (9900, 10300)):
+        n, tail, one = b + c, 0, 1
+        for i in range(min(b, c) + 1):
+            tail, one = tail + one, one * (n - i) // (i + 1)
+        assert metrics.binomial_p(b, c) == pytest.approx(min(1.0, float(Fraction(2 * tail, 2**n))), rel=1e-11)
+    began = time.time()
+    # Whole numbers of a million digits took minutes; here the normal approximation is as good as any.
+    assert metrics.binomial_p(2_500_000, 2_503_000) == pytest.approx(math.erfc(2999 / math.sqrt(5_003_000) / math.sqrt(2)), rel=1e-5)
+    assert metrics.binomial_p(5 * 10**8, 5 * 10**8) == 1.0 and time.time() - began < 5
