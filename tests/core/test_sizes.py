@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from lattica.plans import sizes, sparql, sparql_syntax
+from lattica.plans import catalog, sizes, sparql, sparql_syntax
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +66,19 @@ def test_under_constrained_queries_are_refused(spark, graph):
     assert sparql.solutions(many, "SELECT ?a ?y WHERE { ?a ns:p ?x . ?y ns:p ?z VALUES (?a ?y) { (ns:x1 ns:x2) } }", most_combined=1e6).count() == 1
     assert sparql.ask(many, "ASK { ?a ?p1 ?x . ?y ?p2 ?b . ?z ?p3 ?c }")
     assert sparql.solutions(many, "SELECT ?a ?y WHERE { ?a ns:p ?x . ?y ns:none ?z }", most_combined=10).count() == 0
+
+
+def test_sizes_are_exact_beyond_doubles_and_longs(spark):
+    n = 3_000_017
+    many = spark.range(n).selectExpr("concat('ns:x', id) AS s", "'ns:p' AS p", "concat('ns:y', id % 7) AS o")
+    counted = lambda where: sizes.pattern_size(sparql.Planner(many), sparql_syntax.parse(f"SELECT * WHERE {{ {where} }}").where.elements[0].patterns)
+    assert counted("?a ?p1 ?x . ?y ?p2 ?b . ?z ?p3 ?c") == n**3 > 2**63
+    assert counted("?a ?p ?x . ?y ?p ?b . ?z ?p ?c") == n**3
+    assert counted(" . ".join(f"?a{k} ?p ?x{k}" for k in range(7))) == pytest.approx(n**7, rel=1e-9)
+
+
+def test_the_query_holds_sizes_beyond_a_long(spark, monkeypatch):
+    many = spark.range(2_200_000).selectExpr("concat('ns:x', id) AS s", "'ns:contains' AS p", "concat('ns:y', id % 7) AS o")
+    monkeypatch.setattr(catalog, "whole", lambda spark, sf_dir: many)
+    found = {r["name"]: r["size"] for r in catalog.sparql_sizes(spark, "").collect()}
+    assert found == {"star": 0, "chain": 0, "product": 2_200_000**3, "shared predicate": 2_200_000**2, "none": 0}
