@@ -43,3 +43,12 @@ def test_entry_without_the_training_data_operators(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+@pytest.mark.parametrize("name", ["code_facts_python", "mutants", "patch_classes"])
+def test_python_work_is_dealt_out(spark, monkeypatch, name):
+    """A small table of many programs came to a single task."""
+    monkeypatch.setattr(catalog, "CODE_ROWS", 20)
+    found = catalog.QUERIES[name](spark, SF)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert name == "code_facts_python" or found.rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/part.parquet").count() // 20)
