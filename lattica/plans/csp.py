@@ -7,13 +7,16 @@ from dataclasses import dataclass
 from functools import reduce
 from math import prod
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.plans import exprs
+from lattica.runtime import spread
 
 #: Larger search spaces are refused.
 MAX_SPACE = 5_000_000
+#: Rows of domains that a task has, about.
+TASK_ROWS = 1_000_000
 SHOWN = 20
 
 
@@ -46,20 +49,24 @@ def solutions_of_each(domains: DataFrame, by: str, variables: Sequence[str], con
 
     `domains` (by, variable, value) holds a row for each value that a problem's
     variable may take; repeated rows count once, those without a problem or a value
-    not at all, and a problem that lacks a variable has no solution. Domains meet by
-    their problem, and a condition filters as soon as its variables are bound. A
-    problem with more than MAX_SPACE assignments fails the query with its name.
+    not at all, and a problem that lacks a variable has no solution. Problems are
+    dealt out whole, about TASK_ROWS of their rows to a task, after the rows are
+    counted. A condition filters as soon as its variables are bound. A problem with
+    more than MAX_SPACE assignments fails the query with its name.
     """
     if not variables:
         raise ProblemError("no variables")
     waiting = _waiting(variables, constraints, all_different)
-    rows = domains.where(F.col(by).isNotNull() & F.col("value").isNotNull() & F.col("variable").isin(list(variables))).select(by, "variable", "value").distinct()
-    sizes = rows.groupBy(by).agg(*[F.count_if(F.col("variable") == v).cast("double").alias(f"__n_{v}") for v in variables])
-    space = reduce(lambda a, b: a * b, [F.col(f"__n_{v}") for v in variables])
+    rows = spread(domains.select(by, "variable", "value"), TASK_ROWS, by)
+    rows = rows.where(F.col(by).isNotNull() & F.col("value").isNotNull() & F.col("variable").isin(list(variables)))
+    # In one order by problem, variable and value: repeated values go, and of a domain that is too large for any problem no more is gathered than shows that.
+    order = Window.partitionBy(by, "variable").orderBy("value")
+    rows = rows.withColumn("__rank", F.dense_rank().over(order)).withColumn("__first", ~F.lag("value").over(order).eqNullSafe(F.col("value")))
+    rows = rows.where(F.col("__first") & (F.col("__rank") <= MAX_SPACE + 1))
+    out = rows.groupBy(by).agg(*[F.collect_list(F.when(F.col("variable") == v, F.col("value"))).alias(f"__d_{v}") for v in variables])
+    space = reduce(lambda a, b: a * b, [F.size(f"__d_{v}").cast("double") for v in variables])
     message = F.concat(F.lit("search space is too large: "), F.col(by).cast("string"))
-    small = sizes.where(F.when(space > MAX_SPACE, F.raise_error(message).cast("boolean")).otherwise(space > 0))
-    # Domains side by side, now that none is large.
-    out = rows.join(small.select(by), by, "left_semi").groupBy(by).agg(*[F.collect_list(F.when(F.col("variable") == v, F.col("value"))).alias(f"__d_{v}") for v in variables])
+    out = out.where(F.when(space > MAX_SPACE, F.raise_error(message).cast("boolean")).otherwise(space > 0))
     bound: set[str] = set()
     for v in variables:
         out = out.withColumn(v, F.explode(f"__d_{v}")).drop(f"__d_{v}")

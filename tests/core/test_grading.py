@@ -7,9 +7,11 @@ import time
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.operators import metrics
 from lattica.plans import csp
+from lattica.runtime import spread
 
 
 def plain_bootstrap(rows, resamples, seed):
@@ -79,3 +81,22 @@ def test_binomial_p_of_many_trials():
     # Whole numbers of a million digits took minutes; here the normal approximation is as good as any.
     assert metrics.binomial_p(2_500_000, 2_503_000) == pytest.approx(math.erfc(2999 / math.sqrt(5_003_000) / math.sqrt(2)), rel=1e-5)
     assert metrics.binomial_p(5 * 10**8, 5 * 10**8) == 1.0 and time.time() - began < 5
+
+
+def test_problems_are_dealt_out_by_their_number(spark, monkeypatch):
+    """However few files they come from: a task of all problems held all their domains."""
+    monkeypatch.setattr(csp, "TASK_ROWS", 100)
+    domains = spark.range(0, 1000, 1, 1).selectExpr("id DIV 4 AS id", "explode(array('a', 'b')) AS variable", "id % 3 AS value")
+    found = csp.solutions_of_each(domains, "id", ["a", "b"], ["a < b"])
+    parts = found.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.countDistinct("id").alias("n")).collect()
+    assert len(parts) > 15 and max(r["n"] for r in parts) < 60
+    assert found.count() == found.distinct().count() == sum(3 for _ in range(250))
+    # A large domain of a problem that lacks another has no solution; nor does it fail the query.
+    monkeypatch.setattr(csp, "MAX_SPACE", 50)
+    one = spark.range(500).selectExpr("1 AS id", "'a' AS variable", "id AS value")
+    assert csp.solutions_of_each(one, "id", ["a", "b"]).count() == 0
+
+
+def test_spread(spark):
+    rows = spread(spark.range(0, 95, 1, 1), 10)
+    assert rows.rdd.getNumPartitions() == 10 and rows.count() == 95 and spread(spark.range(0), 10).count() == 0
