@@ -30,6 +30,8 @@ QUERY_ROWS = 512
 SEED_ROWS = 256
 #: Components that non-essential probing adds between two prunings.
 PROBE = 8
+#: Groups of vectors that every query is sent to, however few vectors there are to a query.
+GROUPS = 64
 #: Queries whose best rows a task holds before it hands them on.
 HELD_QUERIES = 20_000
 LONG_MAX, LONG_MIN = 2**63 - 1, -(2**63)
@@ -122,6 +124,11 @@ def _pack(limit: int, width: int):
     return run
 
 
+def group_count(n: int, asked: int, shard_rows: int) -> int:
+    """Into how many groups `n` vectors are dealt: a few packed shards to each, but never so many that sending `asked` queries to all moves more than the vectors themselves, or GROUPS times the queries."""
+    return max(1, min(-(-n // (4 * shard_rows)), max(GROUPS, n // max(1, asked))))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): each query's `k` best rows by inner product of floor(scale * x).
 
@@ -136,8 +143,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     Empty tables give no rows; other columns aren't read. Ids are integers; another
     type of `id_col` raises TypeError.
 
-    Rows are packed into shards, queries into blocks, and each block meets each
-    shard in a join on the shard's number. A task carries a query's k-th best score
+    Rows are packed into shards and those dealt into groups, queries into blocks, and
+    each block meets each shard in a join on the group's number. A task carries a query's k-th best score
     from shard to shard as the score to beat and hands on k rows of a query.
     """
     integers(vectors, id_col)
@@ -145,12 +152,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     sound = taken.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
     size = sound.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.count_if("asked").alias("asked")).first()
     n, width = size["n"], size["width"] or 1
-    n_shards = max(1, -(-n // (4 * shard_rows)))  # a few packed shards to each number
+    groups = group_count(n, size["asked"], shard_rows)
     packed = "ids binary, block binary"
-    shards = sound.select("id", "v").mapInArrow(_pack(shard_rows, width), packed).select(F.pmod(F.xxhash64("ids"), F.lit(n_shards)).alias("shard"), F.col("ids").alias("s_ids"), F.col("block").alias("s_block"))
+    shards = sound.select("id", "v").mapInArrow(_pack(shard_rows, width), packed).select(F.pmod(F.xxhash64("ids"), F.lit(groups)).alias("at"), F.col("ids").alias("s_ids"), F.col("block").alias("s_block"))
     asked = sound.where("asked").select("id", "v").distinct().repartition(max(1, size["asked"] // query_rows), "id").mapInArrow(_pack(query_rows, width), packed)
-    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard"), F.col("ids").alias("q_ids"), F.col("block").alias("q_block"))
-    met = shards.join(asked, "shard").select("s_ids", "s_block", "q_ids", "q_block")
+    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("at"), F.col("ids").alias("q_ids"), F.col("block").alias("q_block"))
+    # Sizes guessed from the files say little of packed and copied blocks: none may be gathered for a broadcast.
+    met = shards.join(asked.hint("merge"), "at").select("s_ids", "s_block", "q_ids", "q_block")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Found] = {}

@@ -6,7 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from lattica.llm.topk import top_k
+from lattica.llm.topk import group_count, top_k
 
 
 def brute(rows, k):
@@ -64,3 +64,15 @@ def test_many_components(spark):
     rnd = random.Random(1)
     rows = [(i, [rnd.gauss(0, 1) for _ in range(3000)]) for i in (0, 1, 2)] + [(3, [1.0])]
     assert run(spark, rows) == brute(rows, 10)
+
+
+def test_queries_are_neither_gathered_nor_sent_to_ever_more_groups(spark, tmp_path):
+    rows = [(i, [float(i), 1.0]) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "v"))
+    met = top_k(spark.read.parquet(str(tmp_path / "v")), F.col("vec_id") % 100 == 0, shard_rows=16)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted(map(tuple, met.collect())) == brute(rows, 10)
+    # Rows moved for the queries: so many times the vectors at most, at any size.
+    assert all(group_count(n, n // 100, 2048) * (n // 100) <= n for n in (100, 10**6, 10**8))
+    assert group_count(10**8, 10**8, 2048) == 64 and group_count(0, 0, 2048) == 1
