@@ -67,3 +67,20 @@ def test_functional_walk(spark):
     t = triples(spark, "a p b\nb q c\nd p e")
     starts = spark.createDataFrame([("ns:a",), ("ns:d",)], "entity string")
     assert [tuple(r) for r in graph.functional_walk(t, starts, ["ns:p", "ns:q"]).collect()] == [("ns:a", "ns:c")]
+
+
+def test_small_frontiers_leave_the_edges_where_they_are(spark, tmp_path):
+    edges = [(f"ns:a{i}", "ns:p", f"ns:a{i // 3}") for i in range(60)] + [("ns:a1", "ns:p", "ns:a1"), ("ns:a1", "ns:p", None)]
+    spark.createDataFrame(edges, "s string, p string, o string").write.parquet(str(tmp_path / "g"))
+    g = spark.read.parquet(str(tmp_path / "g"))
+    found = graph.layers(g, "ns:a1", 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan and plan.count("FileScan") == 1
+    reach, want = {"ns:a1"}, {}
+    for layer in (1, 2):
+        near = [e for e in edges if e[0] in reach or e[2] in reach]
+        want |= {e: layer for e in near if e not in want}
+        reach |= {x for e in near for x in (e[0], e[2]) if x}
+    assert {tuple(r)[:3]: r["layer"] for r in found.collect()} == want
+    near, more = graph.neighbourhood(g, "ns:a1", 2)
+    assert {tuple(r)[:3]: r["layer"] for r in near.collect()} == want and not more
