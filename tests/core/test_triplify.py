@@ -23,3 +23,15 @@ def test_rows_are_those_of_the_sql_where_keys_repeat_or_are_null(spark, tmp_path
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert sum("l_orderkey" in line for line in exchanges) == 2 and sum("o_orderkey" in line for line in exchanges) == 1
     assert sum("(s#" in line for line in exchanges) == 2
+
+
+def test_the_gate_keeps_only_triples_that_hold_an_answer(spark, monkeypatch):
+    from lattica.operators import audit
+
+    kept = []
+    monkeypatch.setattr(audit, "cut", lambda df: kept.append(sorted({r["s"] for r in df.collect()})) or df)
+    graph = spark.createDataFrame([(f"ns:a{i}", "ns:p", f"ns:b{i}") for i in range(50)] + [("ns:Ax", "ns:q", '"7"')], "s string, p string, o string")
+    answers = spark.createDataFrame([(1, "ns:b3", "ns:a3", "ns:p"), (2, "ns:aX", None, "ns:q"), (3, None, None, None)], "id long, answer string, start string, relation string")
+    got = {r["id"]: (r["existence"], r["type"], r["start_exclusion"], r["hint"], r["relation_known"]) for r in audit.check_answers(graph, answers).collect()}
+    assert got[1] == ("pass", "pass", "warn", None, True) and got[2] == ("reject", "skipped", "skipped", "ns:Ax", True)
+    assert kept == [["ns:Ax", "ns:a3"]]
