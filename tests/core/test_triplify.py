@@ -35,3 +35,13 @@ def test_the_gate_keeps_only_triples_that_hold_an_answer(spark, monkeypatch):
     got = {r["id"]: (r["existence"], r["type"], r["start_exclusion"], r["hint"], r["relation_known"]) for r in audit.check_answers(graph, answers).collect()}
     assert got[1] == ("pass", "pass", "warn", None, True) and got[2] == ("reject", "skipped", "skipped", "ns:Ax", True)
     assert kept == [["ns:Ax", "ns:a3"]]
+
+
+def test_functional_properties_go_to_the_triples(spark):
+    from lattica.operators import audit
+
+    rows = [("ns:p", "rdf:type", "owl:FunctionalProperty")] + [(f"ns:a{i % 40}", "ns:p", f"ns:b{i % 50}") for i in range(60)]
+    found = audit.violations(spark.createDataFrame(rows, "s string, p string, o string").checkpoint())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {(r["s"], r["n"]) for r in found.collect()} == {(f"ns:a{i}", 2) for i in range(20)}
