@@ -7,6 +7,7 @@ compiles to Spark columns, to SQL, or is walked by the solver.
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable, Mapping
 from functools import reduce
 
@@ -25,20 +26,32 @@ ALLOWED = (
 )
 
 
+#: Forms of expressions, whole numbers aside, that were found to be allowed for some variables; when there are so many, no more are remembered.
+_FINE: set[tuple] = set()
+REMEMBERED = 10_000
+_WHOLE = re.compile(r"(?<![\w.])\d+(?![\w.])")
+
+
 def parse(text: str, variables: Mapping[str, object]) -> ast.expr:
     """The expression's tree, all of whose names are variables or known functions."""
     try:
         tree = ast.parse(text.strip(), mode="eval")
     except (SyntaxError, ValueError, MemoryError, RecursionError) as e:
         raise ExpressionError(f"cannot read {text!r}") from e
-    called = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
-    for n in ast.walk(tree):
+    form = (_WHOLE.sub("0", text), *sorted(variables))  # another number changes no node but a constant
+    if form in _FINE:
+        return tree.body
+    nodes = list(ast.walk(tree))
+    called = {id(n.func) for n in nodes if isinstance(n, ast.Call)}
+    for n in nodes:
         if not isinstance(n, ALLOWED):
             raise ExpressionError(f"{type(n).__name__} is not allowed in {text!r}")
         if isinstance(n, ast.Call) and (not isinstance(n.func, ast.Name) or n.func.id not in FUNCTIONS or n.keywords):
             raise ExpressionError(f"unknown function in {text!r}")
         if isinstance(n, ast.Name) and id(n) not in called and n.id not in variables:
             raise ExpressionError(f"unknown name {n.id!r} in {text!r}")
+    if len(_FINE) < REMEMBERED:
+        _FINE.add(form)
     return tree.body
 
 
