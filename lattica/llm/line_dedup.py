@@ -7,17 +7,23 @@ substrings of its own that may equal a segment of a line as long or a little
 shorter. Pairs so found whose counts of characters are too far apart for so few
 edits are refused where they meet; the others are verified by a bit-parallel edit
 distance over a band of 2 * edits + 1 diagonals. Equal lines are one from the start.
+
+A segment with many lines, as of near copies, lists none of them. Its lines meet anew
+where all but `edits` of 2 * edits pieces agree, those still in a crowd where all but
+as many halves of these pieces do, and so on down to single characters, where lines
+that agree in all others are within the edits for certain and each needs one link only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import cut
@@ -30,6 +36,12 @@ MIN_CHARS = 12
 REMEMBERED = 300_000
 #: Places of the bit table by which lines without partner are left out early; a full table leaves out none.
 TABLE_BITS = 22
+#: Lines listed under one key that others meet one by one; if there are more, all meet under finer keys.
+CROWD = 32
+#: With more edits the finer keys of a line are too many; all lines of a key then meet one by one.
+FINE_EDITS = 2
+#: Places of at most so many characters each are followed by single characters.
+LAST_CHARS = 2
 
 
 @lru_cache(maxsize=10_000)
@@ -191,8 +203,8 @@ def bit_table(ids: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, pairs: DataFrame, min_chars: int, text_col: str) -> DataFrame:
-    """(id, key, line) of the lines named in `pairs` (a, b)."""
-    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    """(id, key, line) of the lines named in `pairs` (a, b); b may be null."""
+    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b").where("b is not null")).distinct())
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_table(wanted)).tobytes())  # 2 ** TABLE_BITS bits
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,14 +227,170 @@ def _texts(docs: DataFrame, pairs: DataFrame, min_chars: int, text_col: str) ->
     return found.join(wanted, "id", "left_semi").dropDuplicates(["id", "key"])
 
 
-def near_lines(docs: DataFrame, edits: int, min_chars: int, text_col: str) -> DataFrame:
-    """(a, b): keys of all pairs of different lines within `edits` edits."""
+Spans = tuple[tuple[int, int], ...]
+#: Free places of the shorter line, and by how much what follows each is moved in the other; the last number is the difference in length.
+Place = tuple[Spans, tuple[int, ...]]
+
+
+@lru_cache(maxsize=10_000)
+def moves(edits: int, steps: int, end: int) -> list[tuple[int, ...]]:
+    """By how much what follows each of `steps` free places can be moved, if it is `end` after the last."""
+    out = [((), 0, 0)]
+    for k in range(steps):
+        out = [((*m, to), to, n + abs(to - at)) for m, at, n in out for to in (range(-edits, edits + 1) if k < steps - 1 else [end]) if n + abs(to - at) <= edits]
+    return [m for m, _, _ in out]
+
+
+def fixed(n: int, free: Spans) -> list[tuple[int, int]]:
+    """What a line of `n` characters has before, between and after its free places."""
+    return list(zip([0, *(hi for _, hi in free)], [*(lo for lo, _ in free), n], strict=True))
+
+
+def moved(n: int, free: Spans, move: tuple[int, ...], most: int | None = None) -> list[tuple[int, int, int]] | None:
+    """(start, end, move) of what is fixed, or None if it can't lie so, has another name, or may take more than `most` edits."""
+    out, own, other, cost = [], 0, 0, 0
+    for k, ((lo, hi), by) in enumerate(zip(fixed(n, free), (0, *move), strict=True)):
+        if k:
+            size = free[k - 1][1] - free[k - 1][0]
+            own, other = own + size, other + size + by - out[-1][2]
+            if lo < hi or k == len(move):
+                if other < 0:
+                    return None
+                cost, own, other = cost + max(own, other), 0, 0
+            elif by != out[-1][2]:  # what is empty counts as not moved
+                return None
+        out.append((lo, hi, by))
+    return None if most is not None and cost > most else out
+
+
+def places(n: int, edits: int, difference: int) -> list[Place]:
+    """All places of a line of `n` characters and one longer by `difference`."""
+    cuts = [(at, at + size) for at, size in segments(n, 2 * edits) if size]
+    return [(free, m) for free in combinations(cuts, min(edits, len(cuts))) for m in moves(edits, min(edits, len(cuts)), difference) if moved(n, free, m)]
+
+
+def is_last(free: Spans) -> bool:
+    """Whether the places within these are single characters and gaps."""
+    return all(hi - lo <= LAST_CHARS for lo, hi in free)
+
+
+def finer(n: int, edits: int, place: Place) -> list[Place]:
+    """The places within a place that may hold the edits of two lines that agree outside it."""
+    free, move = place
+    last = is_last(free)
+    if last:
+        options = [x for lo, hi in free for p in range(lo, hi) for x in ((p, p), (p, p + 1))]
+    else:
+        options = [x for lo, hi in free for x in ((lo, (lo + hi) // 2), ((lo + hi) // 2, hi)) if x[0] < x[1]]
+    sure = [x for x in moved(n, free, move) or [] if x[0] < x[1]]
+    out = []
+    for size in range(1 if last else min(edits, len(options)), min(edits, len(options)) + 1):
+        for within in combinations(options, size):
+            for m in moves(edits, size, move[-1]):
+                got = moved(n, within, m, edits if last else None)
+                if got and all(any(lo <= x and y <= hi and by == z for lo, hi, by in got if lo < hi) for x, y, z in sure):
+                    out.append((within, m))
+    return out
+
+
+def place_key(line: str, n: int, place: Place) -> bytes:
+    """Hash of the free places and of all that a line has outside them."""
+    text = "\n".join([f"{n} {place[0]}", *(line[lo + by : hi + by] for lo, hi, by in moved(n, *place) or [] if lo < hi)])
+    return xxhash.xxh3_128_digest(text.encode("utf-32-le", "surrogatepass"))
+
+
+def _placed(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, id, counts, listed, last, place): a row for each place of each line (id, line, within); the finer ones of those that `within` lists, or all if it is null.
+
+    `place` is its numbers in a row. Lines end in a newline here, so that what is added to one stands before a character.
+    """
+
+    def of(line: str, within: list[list[int]] | None) -> Iterator[tuple[int, Place, bool]]:
+        if within is None:
+            for d in range(min(edits, len(line) - 1) + 1):
+                yield from ((len(line) - d, x, False) for x in places(len(line) - d, edits, d))
+            return
+        met = set()
+        for numbers in within:
+            k = len(numbers) // 3
+            place = tuple(zip(numbers[:k], numbers[k : 2 * k], strict=True)), tuple(numbers[2 * k :])
+            n = len(line) - place[1][-1]
+            for x in finer(n, edits, place):
+                if (n, x) not in met:
+                    met.add((n, x))
+                    yield n, x, is_last(place[0])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                key, ids, counts, listed, ends, numbers = [], [], [], [], [], []
+                for own, line, within in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                    count = character_counts(line)
+                    line += "\n"
+                    for n, (free, move), last in of(line, within):
+                        key.append(place_key(line, n, (free, move)))
+                        ids.append(own)
+                        counts.append(count)
+                        listed.append(not any(move))
+                        ends.append(last)
+                        numbers.append([*(x for x, _ in free), *(x for _, x in free), *move])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key, pa.binary()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(listed, pa.bool_()), pa.array(ends, pa.bool_()), pa.array(numbers, pa.list_(pa.int32()))],
+                    names=["key", "id", "counts", "listed", "last", "place"],
+                )
+
+    return lines.select("id", "line", "within").mapInArrow(rows, "key binary, id bigint, counts bigint, listed boolean, last boolean, place array<int>")
+
+
+def crowd_pairs(texts: DataFrame, crowd: DataFrame, edits: int) -> Iterator[DataFrame]:
+    """(a, b): ids of pairs among the lines (id, line) whose ids are in `crowd` (id); all that are within `edits` edits are linked by those that are.
+
+    Each round narrows the places that the edits may be at; only lines that still are
+    in a crowd come to the next, for as many rounds as a line can be halved.
+    """
+    lines = texts.select("id", "line").join(crowd, "id", "left_semi")
+    now = lines.withColumn("within", F.lit(None).cast("array<array<int>>"))
+    by_key = Window.partitionBy("key")
+    while True:
+        placed = _placed(now, edits).select("*", F.count("*").over(by_key).alias("rows"), F.sum(F.col("listed").cast("int")).over(by_key).alias("n"), F.min(F.when(F.col("listed"), F.col("id"))).over(by_key).alias("least"))
+        placed = cut(placed.where("n > 0 and rows > 1"))
+        yield placed.where("last and id <> least").select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b"))
+        few = placed.where(f"not last and n <= {CROWD}")
+        other = few.where("listed").select("key", F.col("id").alias("other"), F.col("counts").alias("other_counts"))
+        met = few.select("key", "id", "counts").join(other, "key").where((F.col("id") != F.col("other")) & (counts_apart("counts", "other_counts") <= 2 * edits))
+        yield met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        within = cut(placed.where(f"not last and n > {CROWD}").groupBy("id").agg(F.collect_set("place").alias("within")))
+        if within.isEmpty():
+            return
+        now = lines.join(within, "id")
+
+
+def candidates(docs: DataFrame, edits: int, min_chars: int, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(a, b): ids of pairs of lines; all lines that are within `edits` edits are linked by those of them that are. And (id, key, line) of these lines."""
     listed = _listed(docs, min_chars, text_col, lambda n: [(n, k, at, size) for k, (at, size) in enumerate(segments(n, edits + 1))])
     looked = _listed(docs, min_chars, text_col, lambda n: [x for x in probes(n, edits) if x[0] >= min_chars])
-    other = listed.select("segment", F.col("id").alias("other"), F.col("counts").alias("other_counts")).distinct()
-    met = looked.join(other, "segment").where((F.col("id") != F.col("other")) & (counts_apart("counts", "other_counts") <= 2 * edits)).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    pairs = cut(met)
-    texts = cut(_texts(docs, pairs, min_chars, text_col))
+    # Dealt out once, by what its lines are made distinct, counted and joined by.
+    other = listed.select("segment", F.col("id").alias("other"), F.col("counts").alias("other_counts")).repartition("segment").distinct()
+    by_segment = Window.partitionBy("segment")
+    crowded = F.count("*").over(by_segment) > CROWD if edits <= FINE_EDITS else F.lit(False)
+    other = other.select("*", crowded.alias("crowded"), F.min("other").over(by_segment).alias("least")).where("not crowded or other = least").drop("least")
+    near = (F.col("id") != F.col("other")) & (counts_apart("counts", "other_counts") <= 2 * edits)
+    met = looked.join(other, "segment").where(F.col("crowded") | near)
+    # Lines that look up a crowded segment, those that are listed under it among them, come without partner.
+    met = cut(met.select(F.when(F.col("crowded"), F.col("id")).otherwise(F.least("id", "other")).alias("a"), F.when(~F.col("crowded"), F.greatest("id", "other")).alias("b")).distinct())
+    texts = cut(_texts(docs, met, min_chars, text_col))
+    pairs, crowd = met.where("b is not null"), met.where("b is null").select(F.col("a").alias("id"))
+    if not crowd.isEmpty():
+        for more in crowd_pairs(texts, crowd, edits):
+            pairs = pairs.union(more)
+        pairs = pairs.distinct()
+    return pairs, texts
+
+
+def near_lines(docs: DataFrame, edits: int, min_chars: int, text_col: str) -> DataFrame:
+    """(a, b): keys of pairs of different lines within `edits` edits, which link all lines that are."""
+    pairs, texts = candidates(docs, edits, min_chars, text_col)
     first = texts.select(F.col("id").alias("a"), F.col("key").alias("a_key"), F.col("line").alias("a_line"))
     second = texts.select(F.col("id").alias("b"), F.col("key").alias("b_key"), F.col("line").alias("b_line"))
 

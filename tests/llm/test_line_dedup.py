@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from lattica.llm.line_dedup import character_counts, counts_apart, edit_distance, probes, repeated_lines, segments, without_repeats
+from lattica.llm import line_dedup
+from lattica.llm.line_dedup import character_counts, counts_apart, edit_distance, finer, is_last, place_key, places, probes, repeated_lines, segments, without_repeats
 
 
 def plain_distance(a, b):
@@ -116,6 +117,60 @@ def test_made_lines(spark, edits):
     assert left == want
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_every_near_pair_meets_at_every_fineness(edits):
+    rnd = random.Random(edits + 20)
+    for _ in range(150):
+        a = "".join(rnd.choice("ab") for _ in range(rnd.randrange(3, 24)))
+        b = edited(rnd, a, rnd.randrange(1, edits + 1), "ab")
+        if a == b or not b or plain_distance(a, b) > edits:
+            continue
+        short, long_ = sorted((a + "\n", b + "\n"), key=len)
+        n = len(short)
+        own, others = places(n, edits, 0), places(n, edits, len(long_) - n)
+        while True:
+            listed = {place_key(short, n, x) for x in own if not any(x[1])}
+            assert listed & {place_key(long_, n, x) for x in others}, (a, b)
+            # Only places that both share are narrowed, as if all of them were crowded.
+            own = [x for x in own if not any(x[1]) and place_key(short, n, x) in {place_key(long_, n, y) for y in others}]
+            others = [x for x in others if place_key(long_, n, x) in listed]
+            done = all(is_last(x[0]) for x in own)
+            own = [y for x in own for y in (finer(n, edits, x) if done or not is_last(x[0]) else [x])]
+            others = [y for x in others for y in (finer(n, edits, x) if done or not is_last(x[0]) else [x])]
+            if done:
+                assert {place_key(short, n, x) for x in own if not any(x[1])} & {place_key(long_, n, x) for x in others}, (a, b)
+                break
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+@pytest.mark.parametrize("crowd", [0, 2])
+def test_crowds_give_the_same_classes(spark, monkeypatch, edits, crowd):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    docs = made()
+    got = repeated_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), edits)
+    assert {(r["doc_id"], r["line"]): (r["first_doc"], r["first_line"], r["equal"]) for r in got.collect()} == brute(docs, edits, 12)
+
+
+def test_near_copies_of_a_long_line_meet_few_others(spark):
+    rnd = random.Random(5)
+    line = "".join(rnd.choice("abcdefgh ") for _ in range(240))
+
+    def changed(line, n):
+        for k in rnd.sample(range(len(line)), n):
+            line = line[:k] + chr(ord(line[k]) + 8 * rnd.randrange(50, 99)) + line[k + 1 :]
+        return line
+
+    far = [changed(line, 3) for _ in range(400)]  # with the same counts of characters
+    near = [changed(x, 2) for x in far[:50]] + [x[:100] + x[101:] + "a" for x in far[50:90]]
+    df = spark.createDataFrame(list(enumerate([*far, *near])), "doc_id bigint, text string")
+    pairs = {(r["a"], r["b"]) for r in line_dedup.candidates(df, 2, 12, "text")[0].collect()}
+    assert len(pairs) < 10 * 490
+    lines = [*far, *near]
+    ids = [line_dedup.line_id(line_dedup.line_key(x)) for x in lines]
+    links = {(min(i, j), max(i, j)) for b, (y, j) in enumerate(zip(lines, ids, strict=True)) for x, i in zip(lines[:b], ids[:b], strict=True) if edit_distance(x, y, 2) is not None}
+    assert len(links) == 90 and links <= pairs
+
+
 def test_repeated_rows_and_empty(spark):
     text = "one long enough line\none long enough line\nshort"
     df = spark.createDataFrame([(1, text), (1, text), (2, "one long enough lime")], "doc_id bigint, text string")
