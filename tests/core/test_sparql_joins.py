@@ -110,3 +110,32 @@ def test_what_a_pattern_of_one_variable_leaves_out_makes_no_product(spark):
     depth = [len(line) - len(line.lstrip(" :+-")) for line in plan.splitlines() if "Join" in line]
     # Each side's kinds are joined before the sides meet: two joins below the topmost, side by side or in line with one side whole.
     assert len(depth) == 3 and depth.count(min(depth)) == 1 and depth[1] == depth[2]
+
+
+PAIRED = ["?a ns:p/^ns:p ?b", "?a ns:p ?m . ?b ns:q ?m . ?a ns:q ?x", "?a ns:p/ns:q ?b . ?b ns:p ns:n1", "?a ?p ns:n1 . ?b ?p ns:n2", "?a ns:p ?m . ?b ns:none ?m", "?a ns:p/ns:q/ns:p ?b", "?a ns:p ?m . ?m ns:q ?b . ?m ns:p ns:n3"]
+
+
+@pytest.mark.parametrize("where", PAIRED)
+def test_distinct_pairs_that_a_variable_links(spark, monkeypatch, where):
+    """Things with one link and with several, some repeated, against all solutions made distinct."""
+    monkeypatch.setattr(sparql, "LINKED", 2)
+    rnd = random.Random(where)
+    rows = [(f"ns:n{rnd.randrange(14)}", rnd.choice(["ns:p", "ns:q"]), f"ns:n{rnd.randrange(5)}") for _ in range(34)] + [(None, "ns:p", "ns:n1"), (None, "ns:p", "ns:n2"), ("ns:n3", "ns:p", None)]
+    triples = spark.createDataFrame(rows, "s string, p string, o string")
+    got = sparql.solutions(triples, f"SELECT DISTINCT ?a ?b WHERE {{ {where} }}")
+    want = sparql.solutions(triples, f"SELECT ?a ?b WHERE {{ {where} }}").distinct()
+    shown = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert shown(got) == shown(want)
+    assert sparql.solutions(triples, f"SELECT DISTINCT ?b ?a WHERE {{ {where} }} LIMIT 2").count() == min(2, want.count())
+
+
+def test_distinct_pairs_of_one_place_cross_no_shuffle(spark):
+    """3,000 things of one place: nine million pairs, which were all written to a shuffle to be made distinct."""
+    from pyspark.sql import functions as F
+
+    things = spark.range(3000).selectExpr("concat('ns:t', id) AS s", "'ns:in' AS p", "concat('ns:x', id % 2) AS o")
+    found = sparql.solutions(things, "SELECT DISTINCT ?a ?b WHERE { ?a ns:in/^ns:in ?b }")
+    assert found.agg(F.count(F.lit(1))).first()[0] == 2 * 1500**2
+    # The pairs of which one has a single link are a join below the union, with no aggregate between; the others are made distinct.
+    top = [line.lstrip(" :+-").split()[0] for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines()[:3]]
+    assert top == ["Union", "Project", "Join"]
