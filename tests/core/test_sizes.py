@@ -82,3 +82,21 @@ def test_the_query_holds_sizes_beyond_a_long(spark, monkeypatch):
     monkeypatch.setattr(catalog, "whole", lambda spark, sf_dir: many)
     found = {r["name"]: r["size"] for r in catalog.sparql_sizes(spark, "").collect()}
     assert found == {"star": 0, "chain": 0, "product": 2_200_000**3, "shared predicate": 2_200_000**2, "none": 0}
+
+
+def test_the_query_keeps_counts_and_not_the_graph(spark, monkeypatch):
+    """The whole graph was stored, and each pattern counted by all its variables; now a count by what is shared is kept once for all queries."""
+    rows = spark.range(3000).selectExpr("concat('ns:o', id % 500) AS s", "element_at(array('ns:contains', 'ns:supplied_by', 'ns:placed_by'), CAST(id % 3 + 1 AS INT)) AS p", "concat('ns:x', id % 70) AS o").distinct()
+    more = spark.range(70).selectExpr("concat('ns:x', id) AS s", "'ns:in_nation' AS p", "concat('ns:n', id % 3) AS o").unionByName(spark.range(3).selectExpr("concat('ns:n', id) AS s", "'ns:in_region' AS p", "concat('ns:r', id % 2) AS o"))
+    graph, made = rows.unionByName(more), []
+    triples = [tuple(r) for r in graph.collect()]
+    monkeypatch.setattr(catalog, "whole", lambda spark, sf_dir: graph)
+    monkeypatch.setattr(type(graph), "checkpoint", lambda *a, **k: pytest.fail("the graph is stored"))
+    monkeypatch.setattr(sizes, "kept", lambda df, keep=sizes.kept: made.append(keep(df)) or made[-1])
+    found = {r["name"]: r["size"] for r in catalog.sparql_sizes(spark, "").collect()}
+    many = lambda p: len({t for t in triples if t[1] == p})
+    star, chain = (brute(triples, [tuple(x) for x in sparql_syntax.parse(f"SELECT * WHERE {catalog.SIZED[k]}").where.elements[0].patterns]) for k in ("star", "chain"))
+    preds = {t[1] for t in triples}
+    assert found == {"star": star, "chain": chain, "product": len(triples) ** 3, "shared predicate": sum(many(p) ** 2 for p in preds), "none": 0}
+    # contains, supplied_by and placed_by by order, in_region and in_nation by nation, all by predicate, and what does not occur.
+    assert sorted(df.count() for df in made) == sorted([*(len({t[0] for t in triples if t[1] == p}) for p in ("ns:contains", "ns:supplied_by", "ns:placed_by")), 3, 3, len(preds), 1])
