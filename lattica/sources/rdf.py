@@ -38,6 +38,8 @@ def guess(path: str) -> str:
 _IRI, _BLANK = r"<[^<>\"{}|^`\\\s]*>", r"_:[^\s<>\"]+"
 _LITERAL = r"\"(?:[^\"\\\n\r]|\\.)*\"(?:\^\^<[^<>\s]*>|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?"
 _LINE = rf"^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_IRI}|{_BLANK}|{_LITERAL})\s*\.\s*(?:#.*)?$"
+#: The line ends that are none for a text file, but before which a pattern may end.
+_END = r"[\u0085\u2028\u2029]?"
 
 
 def _unescaped(lexical: Column) -> Column:
@@ -51,17 +53,21 @@ def _unescaped(lexical: Column) -> Column:
 def _term(text: Column) -> Column:
     lexical = _unescaped(F.regexp_extract(text, r'^"(.*)"[^"]*$', 1))
     kind, tag = F.regexp_extract(text, r'"\^\^<([^<>]*)>$', 1), F.regexp_extract(text, r'"(@[A-Za-z0-9-]+)$', 1)
+    iri = F.substring(text, F.lit(2), F.length(text) - 2)
     plain = (kind == "") | (kind == XSD + "string")
     literal = F.concat(F.lit('"'), lexical, F.lit('"'), F.when(tag != "", tag).when(plain, F.lit("")).otherwise(F.concat(F.lit("^^"), terms.compacted(kind))))
-    return F.when(F.startswith(text, F.lit('"')), literal).when(F.startswith(text, F.lit("_:")), text).otherwise(terms.compacted(F.regexp_extract(text, "^<(.*)>$", 1)))
+    return F.when(F.startswith(text, F.lit('"')), literal).when(F.startswith(text, F.lit("_:")), text).otherwise(terms.compacted(iri))
 
 
 def read_nt(spark: SparkSession, path: str) -> DataFrame:
     """Triples of N-Triples files; a line that is none, but for blanks and comments, fails the read."""
     lines = spark.read.text(path).where(~F.rlike("value", F.lit(r"^\s*(#.*)?$")))
-    parts = [F.regexp_extract("value", _LINE, k) for k in (1, 2, 3)]
-    bad = F.when(parts[1] == "", F.raise_error(F.concat(F.lit("not N-Triples: "), F.substring("value", 1, 200))))
-    return lines.select(*[F.coalesce(bad, _term(p)).alias(c) for p, c in zip(parts, SPO, strict=True)]).distinct()
+    # One match a line gives all three terms; a step of its own, so that the next one's branches do not match anew.
+    found = F.split(F.regexp_replace("value", _LINE + _END, "$1\n$2\n$3"), "\n", 3)
+    parted = lines.select("value", found.alias("found"))
+    bad = F.when(F.size("found") < 3, F.raise_error(F.concat(F.lit("not N-Triples: "), F.substring("value", 1, 200))))
+    parted = parted.select(F.coalesce(bad, F.get("found", 0)).alias("s"), F.get("found", 1).alias("p"), F.get("found", 2).alias("o"))
+    return parted.select(*[_term(F.col(c)).alias(c) for c in SPO]).distinct()
 
 
 def nt_term(term: Column) -> Column:
@@ -354,11 +360,14 @@ def text_of(triples: DataFrame, fmt: str) -> str:
     raise ValueError(f"unknown format {fmt!r}")
 
 
-def write(triples: DataFrame, path: str, fmt: str | None = None, mode: str = "error") -> None:
-    """Writes a folder of text files: N-Triples, Turtle blocks (one sorted file), or one JSON-LD or XML node a line."""
+def write(triples: DataFrame, path: str, fmt: str | None = None, mode: str = "error", compression: str = "none") -> None:
+    """Writes a folder of text files: N-Triples, Turtle blocks (one sorted file), or one JSON-LD or XML node a line.
+
+    `compression` is one that Spark's text files have; a task later reads a compressed file whole.
+    """
     fmt = fmt or guess(path)
     lines = {"nt": nt_lines, "turtle": turtle_blocks, "n3": turtle_blocks, "json-ld": jsonld_nodes, "xml": xml_nodes}[fmt](triples)
-    (lines.coalesce(1) if fmt in ("turtle", "n3") else lines).write.mode(mode).text(path)
+    (lines.coalesce(1) if fmt in ("turtle", "n3") else lines).write.mode(mode).text(path, compression=compression)
 
 
 # As a data source: spark.read.format("turtle").load(path)

@@ -96,3 +96,34 @@ def test_stream(spark, tmp_path):
     assert ingest.current(spark, path).count() == 3
     assert spark.read.json(f"{path}/provenance").count() == 3
     assert [r["objects"] for r in spark.read.json(f"{path}/violations").collect()] == [["ns:osaka", "ns:tokyo"]]
+
+
+def test_the_round_trip_takes_little_disk(spark, monkeypatch, tmp_path):
+    """A line was written as it is, some 110 bytes; it is compressed, and what is read is the same."""
+    from lattica.plans import catalog
+
+    graph = spark.range(20_000).selectExpr("concat('ns:order_', id) AS s", "'ns:contains' AS p", "concat('ns:part_', id * 7919 % 20011) AS o").repartition(2)
+    monkeypatch.setattr(catalog, "whole", lambda spark, sf_dir: graph)
+    monkeypatch.setattr(catalog, "shared_dir", lambda spark: str(tmp_path))
+    got = catalog.rdf_roundtrip(spark, "")
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()) < 20 * 20_000
+    assert got.count() == 20_000 and got.exceptAll(graph).isEmpty()
+
+
+def test_lines_of_n_triples(spark, tmp_path):
+    lines = [
+        '<http://example.org/ns#a> <http://e.org/p> "x \\"y\\" \\u00e9\\n. # z"@en-GB . # said',
+        "\t_:b0\t<http://example.org/ns#p>\t<http://e.org/q>\t.\t",
+        '_:b0<http://example.org/ns#p>"5"^^<http://www.w3.org/2001/XMLSchema#integer>.',
+        '<http://example.org/ns#a> <http://example.org/ns#p> "$1 \\\\ <x>" . ',
+        "<http://example.org/ns#a> <http://example.org/ns#p> <http://example.org/ns#b> .\u0085",
+        "<http://example.org/ns#a> <http://example.org/ns#p> <http://example.org/ns#b> .",
+        "  # a comment", "",
+    ]
+    (tmp_path / "x.nt").write_text("\n".join(lines), encoding="utf-8", newline="")
+    got = {tuple(r) for r in rdf.read(spark, str(tmp_path / "x.nt")).collect()}
+    assert got == {("ns:a", "<http://e.org/p>", '"x "y" é\n. # z"@en-GB'), ("_:b0", "ns:p", "<http://e.org/q>"), ("_:b0", "ns:p", '"5"^^xsd:integer'), ("ns:a", "ns:p", '"$1 \\ <x>"'), ("ns:a", "ns:p", "ns:b")}
+    for k, bad in enumerate(["<http://e.org/a> <http://e.org/p> <http://e.org/b>", "<http://e.org/a> _:p <http://e.org/b> .", '"a" <http://e.org/p> "b" .', "<http://e.org/a> <http://e.org/p> <http://e.org/b> . more"]):
+        (tmp_path / f"bad{k}.nt").write_text(bad, encoding="utf-8")
+        with pytest.raises(Exception, match="not N-Triples"):
+            rdf.read(spark, str(tmp_path / f"bad{k}.nt")).collect()
